@@ -1,12 +1,13 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-Texts become weighted counts of hashed byte trigrams (whole texts) and of one length mark. A bounded, balanced sample
+Texts become weighted counts of hashed byte trigrams (whole texts), of one length mark and of one mark for the share of
+words that repeat the word before. A bounded, balanced sample
 of labelled texts, SAMPLE rows of each label at most, gives the weights and, by a truncated singular value
 decomposition, a latent space of RANK dimensions. The sample's vectors are broadcast (their size follows SAMPLE and
 RANK, not the data). Every document's exact cosine with every labelled vector is computed in blocks; its NEIGHBOURS
 nearest vote with their labels, weighted by similarity.
 
-Defined results: null and empty texts have their length mark only and get a score like any text; without labels every
+Defined results: null and empty texts have their marks only and get a score like any text; without labels every
 score is 0.5; null labels are left out; null ids are scored and never learned from; repeated rows get equal scores; an
 empty table gives no rows; other columns are ignored.
 """
@@ -26,13 +27,13 @@ BATCH_BYTES = 2 << 20
 #: Most labelled rows of each label that are learned from.
 SAMPLE = 1500
 RANK, NEIGHBOURS, SHARPNESS = 48, 15, 8.0
-TRIGRAMS, LENGTHS = 4096, 32
+TRIGRAMS, LENGTHS, REPEATS = 4096, 32, 16
 
 
 def counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Log counts of hashed trigrams and the length mark of each row, normalised to length one."""
+    """Log counts of hashed trigrams, normalised to length one, and the marks of each row."""
     n = len(bounds) - 1
-    out = np.zeros((n, TRIGRAMS + LENGTHS), np.float32)
+    out = np.zeros((n, TRIGRAMS + LENGTHS + REPEATS), np.float32)
     if len(data) >= 3:
         wide = data.astype(np.uint32)
         code = ((wide[:-2] * np.uint32(0x01000193) ^ wide[1:-1]) * np.uint32(0x01000193) ^ wide[2:]) * np.uint32(0x9E3779B1) >> np.uint32(20)
@@ -44,6 +45,13 @@ def counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     mark = np.minimum(np.log2(np.diff(bounds) + 1).astype(np.int64), LENGTHS - 1)
     out[np.arange(n), TRIGRAMS + mark] = np.where(np.diff(bounds) > 0, 0.2, 1.0)
+    words, word_bounds = T.split(data, bounds, lower=True)
+    index, _ = T.codes(words)
+    again = np.zeros(len(index), bool)
+    again[1:] = index[1:] == index[:-1]
+    again[word_bounds[:-1][word_bounds[:-1] < len(index)]] = False
+    share = T.row_sums(again, word_bounds) / np.maximum(np.diff(word_bounds), 1)
+    out[np.arange(n), TRIGRAMS + LENGTHS + np.minimum(np.ceil(share * REPEATS), REPEATS - 1).astype(np.int64)] = 0.5
     return out
 
 
@@ -101,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, folds: int = 5) -> M
 
     joined = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     got = joined.mapInArrow(vectors, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, TRIGRAMS + LENGTHS).astype(np.float32)
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, TRIGRAMS + LENGTHS + REPEATS).astype(np.float32)
     return Model(x, got["label"].to_numpy())
 
 
