@@ -32,7 +32,7 @@ LEAST = 100
 #: Fence: quartile plus FENCE times the distance of the quartiles.
 FENCE = 3.0
 #: Least distance of a fence from the median, by measure.
-FLOORS = {"symbols": 0.05, "lines": 0.3, "repeats": 0.2, "length": 4.0}
+FLOORS = {"symbols": 0.05, "lines": 0.6, "repeats": 0.2, "length": 4.0}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
