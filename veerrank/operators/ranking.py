@@ -25,29 +25,39 @@ def score_candidates(pairs: DataFrame, queries: DataFrame, documents: DataFrame,
 def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str]) -> DataFrame:
     """q, doc and one score per stream for every query and document, by blocked matrix products in Arrow batches.
 
-    The query side is a stated set, read in blocks of bounded size; documents are neither moved nor collected.
+    The query side is a stated set, read in blocks of bounded size; documents are neither moved nor collected, and
+    those without a vector have no scores.
     """
     spark, out = documents.sparkSession, None
-    ids = [r.q for r in queries.select("q").orderBy("q").toLocalIterator()]
     shape = "q long, doc long, " + ", ".join(f"{s} double" for s in streams)
-    for at in range(0, max(1, len(ids)), BLOCK_QUERIES):
-        block = queries.where(F.col("q").between(ids[at], ids[min(at + BLOCK_QUERIES, len(ids)) - 1])) if ids else queries
-        rows = block.select("q", *streams.values()).toArrow()
-        share = spark.sparkContext.broadcast((np.array(rows["q"].to_pylist(), np.int64), [np.array(rows[v].to_pylist(), np.float64) for v in streams.values()]))
+    sides = queries.select("q", *streams.values())
+    blocks = [sides.limit(BLOCK_QUERIES + 1).toArrow()]
+    if blocks[0].num_rows > BLOCK_QUERIES:
+        ids = queries.select("q").orderBy("q").toArrow()["q"].to_pylist()
+        cuts = range(0, len(ids), BLOCK_QUERIES)
+        blocks = (sides.where(F.col("q").between(ids[at], ids[min(at + BLOCK_QUERIES, len(ids)) - 1])).toArrow() for at in cuts)
+
+    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    for rows in blocks:
+        numbers = rows["q"].to_numpy()
+        share = spark.sparkContext.broadcast((numbers, [matrix(rows[v]) for v in streams.values()] if len(numbers) else []))
 
         def multiply(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
             numbers, sides = share.value
             for batch in batches:
                 if not batch.num_rows or not len(numbers):
                     continue
-                vectors = np.array(batch["embedding"].to_pylist(), np.float64)
+                vectors, docs = matrix(batch["embedding"]), batch["doc"].to_numpy()
                 for lo in range(0, len(vectors), 1024):
                     part = vectors[lo : lo + 1024]
-                    doc = np.repeat(batch["doc"].to_numpy()[lo : lo + 1024], len(numbers))
+                    doc = np.repeat(docs[lo : lo + 1024], len(numbers))
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(numbers, len(part))), pa.array(doc), *(pa.array((part @ side.T).ravel()) for side in sides)], ["q", "doc", *streams])
 
-        rows = documents.select("doc", "embedding").mapInArrow(multiply, shape)
-        out = rows if out is None else out.unionByName(rows)
+        found = documents.where("embedding is not null").select("doc", "embedding").mapInArrow(multiply, shape)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
