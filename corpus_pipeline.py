@@ -33,9 +33,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id, then the smallest key."""
+    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id, then the smallest key."""
     keyed = _keyed(docs)
-    groups = stash(simhash.near_duplicates(keyed, id_col=KEY), "groups").distinct()
+    groups = stash(simhash.near_duplicates(keyed, shingle=5, id_col=KEY, similarity=0.8), "groups").distinct()
     named = groups.withColumnRenamed("doc_id", KEY).join(keyed.select(KEY, "doc_id").distinct(), KEY)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first"))
     return _only(keyed, first.select(F.col(f"first.{KEY}").alias("doc_id"))).dropDuplicates(["doc_id", "text", "lang", "source"])

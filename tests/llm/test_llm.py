@@ -196,6 +196,37 @@ def test_near_duplicates(docs, empty):
     assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == want and simhash.near_duplicates(empty).count() == 0
 
 
+def test_alike_texts_link(spark, docs, empty, monkeypatch):
+    def edited(text, n):
+        ws = text.split()
+        for p in rng.integers(0, len(ws), n):
+            ws[p] = VOCABULARY[rng.integers(0, 300)]
+        return " ".join(ws)
+
+    base = [words(n) for n in (100, 150, 300, 2500)]
+    texts = [edited(b, n) for b in base for n in (0, 1, 1, 2, 3, 4, 5, 6, 8, 20, 60)] + ["ba " * 30, "ba " * 31, "four words are here", "", None, base[0], base[0].upper()]
+
+    def shingles(t):
+        ws = WORD.findall(lower(t))
+        return {tuple(ws[k : k + 5]) for k in range(max(len(ws) - 4, 1))} if ws else set()
+
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, fps = [shingles(t) for t in texts], {r.doc_id: r.fp for r in simhash.fingerprints(table, 5).collect()}
+    root = list(range(len(texts)))
+    for a in root:
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if bin((fps[a] ^ fps[b]) % 2**64).count("1") <= 2 or union and len(sets[a] & sets[b]) >= 0.8 * union:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    for tile in (1024, 3):
+        monkeypatch.setattr(simhash, "ALIKE_TILE", tile)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, shingle=5, similarity=0.8).collect()}
+        assert got == dict(enumerate(root)) and 8 < len(set(root)) < len(texts) - 15
+    assert simhash.near_duplicates(docs, shingle=5, similarity=0.8).count() == len(ROWS)
+    assert simhash.near_duplicates(empty, shingle=5, similarity=0.8).count() == 0
+
+
 def test_links_lose_nothing(spark, monkeypatch):
     centre = rng.integers(-(2**62), 2**62, 6)
     values = sorted({int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centre for a, b in rng.integers(0, 62, (60, 2))} | set(map(int, centre)))
@@ -246,7 +277,7 @@ def test_pipeline(spark, docs, tmp_path):
     judged = quality_rules.judge(docs).where("kept").count()
     assert kept.columns == docs.columns and kept.count() == judged
     single = corpus_pipeline.near_duplicate_stage(spark, kept, folder)
-    groups = simhash.near_duplicates(kept).select("component_id").distinct().count()
+    groups = simhash.near_duplicates(kept, shingle=5, similarity=0.8).select("component_id").distinct().count()
     assert single.count() == groups
     clean = corpus_pipeline.decontamination_stage(spark, single, folder)
     assert {r.doc_id for r in single.collect()} - {r.doc_id for r in clean.collect()} == {6}
