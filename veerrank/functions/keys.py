@@ -81,3 +81,21 @@ def grid_points(text: Column) -> Column:
     parts = F.transform(F.split(text, ";"), lambda p: F.split(p, ","))
     points = F.transform(parts, lambda p: F.struct(F.trim(F.get(p, F.lit(0))).try_cast("double").alias("alpha"), F.trim(F.get(p, F.lit(1))).try_cast("double").alias("tau"), F.size(p).alias("n")))
     return F.filter(points, lambda p: (p.n == 2) & p.alpha.isNotNull() & p.tau.isNotNull())
+
+
+def marked_sides(text: Column) -> tuple[Column, Column]:
+    """The positive and negative side of 'Q+: ... Q-: ...'; without a negative marker the negative side is NONE."""
+    plus, minus = F.contains(text, F.lit("Q+:")), F.contains(text, F.lit("Q-:"))
+    parts = F.split(text, "Q-:")
+    positive = F.when(plus & minus, F.trim(F.replace(F.get(parts, F.lit(0)), F.lit("Q+:"), F.lit("")))).when(plus, F.trim(F.replace(text, F.lit("Q+:"), F.lit("")))).otherwise(text)
+    return positive, F.when(plus & minus, F.trim(F.get(parts, F.lit(1)))).otherwise(NONE)
+
+
+def prompt(text: Column, passage: Column) -> Column:
+    """The encoder's prompt of a passage or a query."""
+    return F.format_string("%s: %s</s>", F.when(passage, "passage").otherwise("query"), text)
+
+
+def relative_change(before: Column, after: Column) -> Column:
+    """Change relative to a positive value, else 0."""
+    return F.when(before > 0, (after - before) / before).otherwise(0.0)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def expand_pairs(rows: DataFrame, num_neg: int = 15) -> DataFrame:
@@ -28,6 +29,19 @@ def info_nce(scores: Column, temperature: float = 0.1) -> Column:
     return F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top - F.get(z, F.lit(0))
 
 
+def margin_loss(positive: Column, negative: Column, margin: float = 0.2) -> Column:
+    """Hinge of a positive score that should lead a negative one by the margin."""
+    return F.greatest(F.lit(0.0), margin + negative - positive)
+
+
+def hard_examples(rows: DataFrame, keys: tuple[str, ...], score: str, ratio: float, largest: bool, tie: str) -> DataFrame:
+    """The hardest max(1, ratio * n) rows of each group: largest or smallest scores, ties by `tie`."""
+    group = Window.partitionBy(*keys)
+    order = F.col(score).desc() if largest else F.col(score).asc()
+    marked = rows.withColumns({"_n": F.count("*").over(group), "_at": F.row_number().over(group.orderBy(order, tie))})
+    return marked.where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_at")
+
+
 def gate(weights: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], most: float = 2.0, low: float = 0.3, high: float = 0.7):
     """Arrow UDF of a two-layer gate: vector -> struct(alpha in (0, most), tau in (low, high))."""
 

@@ -1 +1,3 @@
+"""Queries over the test tables."""
 
+from . import queries, details  # noqa: F401, I001
