@@ -61,10 +61,10 @@ def nearest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_classic(spark, sf_dir).orderBy(F.abs(F.col("p_mrr") - 0.1) + F.greatest(0.05 - F.col("p_mrr"), F.lit(0.0)), "param_index").limit(5)
 
 
-@query(_CLASSIC_SWEEP + "SELECT param_index, p_mrr > 0.05 AS passes FROM result WHERE alpha >= 1 AND abs(tau - 0.7) < 0.2", fixture=True)
+@query(_CLASSIC_SWEEP + "SELECT param_index, p_mrr > 0.05 AS passes FROM result WHERE alpha >= 1 AND abs(tau - 0.05) < 0.01", fixture=True)
 def tolerance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid points near a value."""
-    near = sweep_classic(spark, sf_dir).where((F.col("alpha") >= 1) & (F.abs(F.col("tau") - 0.7) < 0.2))
+    near = sweep_classic(spark, sf_dir).where((F.col("alpha") >= 1) & (F.abs(F.col("tau") - 0.05) < 0.01))
     return near.select("param_index", (F.col("p_mrr") > 0.05).alias("passes"))
 
 
