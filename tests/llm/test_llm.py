@@ -258,6 +258,24 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.scan(docs).count() > 0
 
 
+def test_secret_scan_finds_every_run(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(64)]
+    base64 = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    rows = [(i, words(8) + f" longlonglongplainword{'x' * (i % 5)} some.name.{i}@mail1.example.com /var/lib/tables/part{i}/index.html") for i in range(60)]
+    rows += [(100 + i, words(6) + f' token = "{h}" ' + words(4)) for i, h in enumerate(hexes[:60])]
+    rows += [(200, f'{{"aws_secret_access_key":"{base64}","region":"x","api_key":"{hexes[60]}"}}'), (201, f"{words(4)} {hexes[61]} {words(4)}"), (202, f"https://host.example.com/path?token={hexes[62]}&next=/home")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.nth): r for r in secret_scan.scan(docs).where("doc_id >= 200").collect()}
+    assert [got[200, n].value for n in (1, 2, 3)] == ["aws_secret_access_key", base64, hexes[60]]
+    assert got[200, 3].kept and got[201, 1].value == hexes[61] and got[201, 1].kept
+    assert got[202, 2].value == f"token={hexes[62]}" and not got[202, 1].kept
+    found = secret_scan.features(secret_scan.candidates(docs), secret_scan.character_counts(docs))
+    label = {(r.doc_id, r.value): r.label for r in secret_scan.weak_findings(found).collect()}
+    path = {r.value: r.path for r in found.select("value", "path").collect()}
+    assert label[200, base64] == label[200, hexes[60]] == label[202, f"token={hexes[62]}"] == 1 and label.get((201, hexes[61])) is None
+    assert path[base64] == 0 and path["/var/lib/tables/part7/index.html"] == 1 and label[7, "/var/lib/tables/part7/index.html"] == 0
+
+
 def test_quality_classifier(spark, docs, empty):
     good = [(i, words(40), 1) for i in range(80)]
     bad = [(100 + i, " ".join(w + "&&&" for w in words(40).split()), 0) for i in range(80)]

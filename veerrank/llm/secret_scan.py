@@ -1,13 +1,14 @@
 """Secret scan: a random forest removes false positives among long tokens, on DataFrame functions only.
 
-Candidates are words with a run of MIN_LENGTH or more token characters. Their features are length, shares of digits,
+Candidates are all runs of MIN_LENGTH or more token characters, any number in a word. Their features are length, shares of digits,
 capitals and marks, changes of character class, mean log transition probability of neighbouring characters and
 coverage by dictionary trigrams (both from all words of the documents, weighted by their counts), signs of a path, an
-address or quotes, and the words next to them. The forest is trained on labelled findings, at most SAMPLE of each
+address or quotes, and the name or words next to them. The forest is trained on labelled findings, at most SAMPLE of each
 label in an order by hash.
 
 Without labelled findings of their own, users can take `weak_findings`: findings that name and value both mark as
-assigned credentials, against findings that are plain words, addresses or paths.
+assigned credentials, against findings that are plain words, numbers, addresses or paths. As names make these labels, the
+forest then learns from the value alone (SHAPE), and finds values of such a shape that have no name.
 
 Defined results: null and empty texts have no candidates; null ids and repeated rows come back as they are; without
 findings of both labels the probability is the share of positive findings (0 without any); an empty table gives no
@@ -34,8 +35,15 @@ TREES, DEPTH = 20, 6
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: A trigram is in the dictionary from this share of all trigrams.
 COMMON = 1e-6
+#: Characters of a run, and the places in a word where a run of MIN_LENGTH or more begins or ends.
+RUN = "[A-Za-z0-9+/_=.@:~-]"
+BORDER = f"(?<!{RUN})(?={RUN}{{{MIN_LENGTH}}})|(?!{RUN})(?<={RUN}{{{MIN_LENGTH}}})"
+#: A part of a path: names and short numbers, unlike the parts of base64 text between its slashes.
+PART = "^[._~-]*+(?:(?:[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)*+|[A-Z]{2,}+|[A-Za-z])?[0-9]{0,8}+(?:[._~-]++|$))*+$"
 NAMES = "(?i)token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth"
 FEATURES = ["length", "digits", "capitals", "marks", "changes", "transition", "coverage", "path", "address", "quoted", "assigned", "named", "near_length"]
+#: Features that weak labels are not made of: what the forest learns from when no findings are given.
+SHAPE = [x for x in FEATURES if x not in ("assigned", "named", "near_length")]
 
 
 def _code(c: F.Column) -> F.Column:
@@ -44,18 +52,25 @@ def _code(c: F.Column) -> F.Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, place (word number), word, value, and the two words before and the one behind."""
+    """doc_id, place (word number), nth (run number within the word), value, lead and tail (the word's text next to the run), and the two words before and the one behind."""
     words = F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words")).where("words is not null")
-    long = F.filter(F.transform("words", lambda w, i: F.when(F.length(w) >= MIN_LENGTH, i + 1)), lambda i: i.isNotNull())
-    rows = slim.select("doc_id", "words", F.explode(long).alias("place"))
 
-    def at(i: F.Column) -> F.Column:
-        return F.coalesce(F.try_element_at("words", F.when(i > 0, i)), F.lit(""))
+    def at(array: str, i: F.Column) -> F.Column:
+        return F.coalesce(F.get(array, i), F.lit(""))
 
-    place = F.col("place")
-    rows = rows.select("doc_id", place.cast("long").alias("place"), at(place).alias("word"), at(place - 2).alias("before2"), at(place - 1).alias("before"), at(place + 1).alias("behind"))
-    return rows.withColumn("value", F.regexp_extract("word", rf"[A-Za-z0-9+/_=.@:~-]{{{MIN_LENGTH},}}", 0)).where("value <> ''")
+    def word(w: F.Column, i: F.Column) -> F.Column:
+        return F.when(F.length(w) >= MIN_LENGTH, F.struct((i + 1).cast("long").alias("place"), w.alias("word"), at("words", i - 2).alias("before2"), at("words", i - 1).alias("before"), at("words", i + 1).alias("behind")))
+
+    def run(x: F.Column, i: F.Column) -> F.Column:
+        last = at("parts", i - 1)
+        lead = F.when(last.rlike("^[\"'`\\\\=:>]+$"), F.concat(at("parts", i - 2), last)).otherwise(last)
+        return F.when(x.rlike(f"^{RUN}{{{MIN_LENGTH}}}"), F.struct(x.alias("value"), lead.alias("lead"), at("parts", i + 1).alias("tail"), (i < 2).alias("opens")))
+
+    long = slim.select("doc_id", F.explode(F.filter(F.transform("words", word), lambda x: x.isNotNull())).alias("w")).select("doc_id", "w.*")
+    parts = long.select("doc_id", "place", "before2", "before", "behind", F.split("word", BORDER).alias("parts"))
+    runs = parts.select("doc_id", "place", "before2", "before", "behind", F.posexplode(F.filter(F.transform("parts", run), lambda x: x.isNotNull())).alias("nth", "r"))
+    return runs.select("doc_id", "place", (F.col("nth") + 1).cast("long").alias("nth"), "before2", "before", "behind", "r.*")
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -104,41 +119,51 @@ def features(rows: DataFrame, counts: DataFrame) -> DataFrame:
     def mean(a: F.Column) -> F.Column:
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
-    near = F.concat_ws(" ", "before2", "before")
+    lead = F.col("lead")
+    own, outer = F.regexp_extract(value, "^([A-Za-z0-9_.-]{1,64})[=:]+[^=:/]", 1), F.regexp_extract(lead, "([A-Za-z0-9_.-]+)[\"'`\\\\]*[=:]>?[\"'`\\\\]*$", 1)
+    key = F.when(own != "", own).otherwise(outer)
+    near = F.when(key != "", key).when(F.col("opens"), F.concat_ws(" ", "before2", "before", lead)).otherwise(lead)
+    assigned = (key != "") | lead.rlike("[=:]>?[\"'`\\\\]*$") | (F.col("opens") & F.col("before").rlike("[=:]>?$"))
+    steps_of_path = F.split(value, "/")
+    path = F.forall(steps_of_path, lambda x: x.rlike(PART)) & ((F.size(steps_of_path) > 1) | value.rlike(r"^\.|\.[a-z]{2,4}$"))
     return rows.withColumns(
         {
             "length": n.cast("double"), "digits": share("[^0-9]"), "capitals": share("[^A-Z]"), "marks": share("[A-Za-z0-9]"), "changes": (kinds - 1) / n,
-            "transition": mean(steps), "coverage": mean(triples), "path": F.col("word").rlike(r"[/\\]|^\.|\.[a-z]{2,4}$").cast("double"), "address": F.col("word").rlike("@|://").cast("double"),
-            "quoted": F.col("word").rlike("^[\"'`].*[\"'`]").cast("double"), "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_]+[=:]")).cast("double"),
-            "named": (near.rlike(NAMES) | F.col("word").rlike(f"^[\"'`]?({NAMES})")).cast("double"), "near_length": (F.length(near) + F.length("behind")).cast("double"),
+            "transition": mean(steps), "coverage": mean(triples), "path": path.cast("double"), "address": value.rlike("@|://").cast("double"),
+            "quoted": (lead.rlike("[\"'`]$") & F.col("tail").rlike("^[\\\\]?[\"'`]")).cast("double"), "assigned": assigned.cast("double"),
+            "named": (near.rlike(NAMES) | value.rlike(f"^({NAMES})")).cast("double"), "near_length": (F.length(near) + F.length("behind")).cast("double"),
         }
     ).drop("codes")
 
 
 def weak_findings(rows: DataFrame) -> DataFrame:
     """Rows of features() that name and value label without doubt, with label 0 or 1; the rest is left out."""
-    credential = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("address") == 0) & (F.col("path") == 0)
-    harmless = (F.col("address") == 1) | (F.col("path") == 1) | ((F.col("digits") == 0) & (F.col("named") == 0))
+    told = (F.col("named") == 1) & (F.col("assigned") == 1)
+    mixed = (F.col("digits") > 0.1) | ((F.col("digits") > 0) & (F.col("capitals") > 0.1))
+    credential = told & mixed & (F.col("address") == 0) & (F.col("path") == 0)
+    plain = (F.col("digits") == 0) & (F.col("named") == 0) & (F.col("marks") < 0.2) & ((F.col("capitals") < 0.1) | (F.col("coverage") > 0.9))
+    harmless = ~told & ((F.col("address") == 1) | (F.col("path") == 1) | (F.col("digits") + F.col("marks") > 0.999) | plain)
     return rows.withColumn("label", F.when(credential, 1).when(harmless, 0)).where("label is not null")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, place, value, probability and kept (probability >= threshold) for every candidate.
+    """doc_id, place, nth, value, probability and kept (probability >= threshold) for every candidate.
 
     findings: labelled findings with the columns FEATURES and label; by default weak_findings of docs themselves.
     """
     counts = stash(character_counts(docs, text_col), "characters")
     rows = stash(features(candidates(docs, id_col, text_col), counts), "candidates")
+    inputs = SHAPE if findings is None else FEATURES
     findings = weak_findings(rows) if findings is None else findings
     order = F.xxhash64(*FEATURES)
     parts = [findings.where(F.col("label") == k).select(*FEATURES, F.col("label").cast("double").alias("label")).orderBy(order, *FEATURES).limit(SAMPLE) for k in (0, 1)]
     sample = stash(parts[0].unionByName(parts[1]), "findings")
     seen = sample.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("positive")).first()
     if 0 < seen.positive < seen.n:
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="_vector")
+        assembler = VectorAssembler(inputCols=inputs, outputCol="_vector")
         forest = RandomForestClassifier(featuresCol="_vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=5, cacheNodeIds=False)
         model = forest.fit(assembler.transform(sample))
         rows = model.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
     else:
         rows = rows.withColumn("score", F.lit(seen.positive / seen.n if seen.n else 0.0))
-    return rows.select("doc_id", "place", "value", F.round("score", 9).alias("probability"), (F.col("score") >= threshold).alias("kept"))
+    return rows.select("doc_id", "place", "nth", "value", F.round("score", 9).alias("probability"), (F.col("score") >= threshold).alias("kept"))
