@@ -128,6 +128,40 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_quality_fences_come_from_the_data(spark):
+    random = np.random.default_rng(9)
+
+    def text(lengths, symbols=0, dup=0):
+        ws = ["".join(chr(97 + c) for c in random.integers(0, 26, n)) for n in lengths]
+        lines = [" ".join(ws[k : k + 6]) for k in range(0, len(ws), 6)]
+        return "\n".join(lines + [str(lines[0].split()[0])] * dup) + "#" * symbols
+
+    rows = []
+    for source, low, high, marks in (("a", 4, 6, 4), ("b", 2, 12, 90)):
+        for i in range(240):
+            mean = random.uniform(low, high)
+            rows.append((text(np.maximum(1, random.normal(mean, 0.3, 60).round().astype(int))), source))
+        rows += [(text([5] * 60, int(k)), source) for k in random.integers(1, marks, 120)]
+        rows += [(text([5] * 60, 0, int(k)), source) for k in random.integers(1, 4, 10)]
+    shared = [text([9] * 60), text([5] * 60, 60), text([5] * 60)]
+    rows += [(x, source) for x in shared for source in ("a", "b")]
+    docs = spark.createDataFrame([(i, x, "en", source) for i, (x, source) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [got[len(rows) - 6 + k].kept for k in range(6)] == [False, True, False, True, True, True]
+
+    def quantile(values, p):
+        return sorted(values)[max(0, int(np.ceil(len(values) * p)) - 1)]
+
+    for source in ("a", "b"):
+        mine = [got[i] for i, (_, s) in enumerate(rows) if s == source]
+        for measure, values in (("symbols", [r.n_symbols / r.word_chars for r in mine]), ("length", [r.word_chars / r.n_words for r in mine])):
+            q1, q3 = quantile(values, 0.25), quantile(values, 0.75)
+            above = [x for x in values if x > 0]
+            often = len(above) / len(values)
+            fence = max(q3 + 3 * (q3 - q1), quantile(above, 0.95) * (often + 3 * (often * (1 - often)) ** 0.5) if q1 == 0 else 0)
+            assert abs(mine[0][f"{measure}_high"] - fence) < 0.12 * fence, (source, measure)
+
+
 def test_sketches_merge(docs):
     rows = quality_rules.measures(docs)
     whole = {(r.measure, r.q1, r.q2, r.q3) for r in quality_rules.quartiles(quality_rules.sketch(rows), []).collect()}

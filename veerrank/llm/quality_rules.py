@@ -2,10 +2,12 @@
 
 Four measures of a text (symbols per word character, repeated lines per line, repeated words per word, mean word
 length) are sketched by logarithmic buckets: a sketch is a table of counts by (lang, source, measure, bucket), two
-sketches merge by adding counts, and any quantile is known within GAMMA - 1 of its value. A group's thresholds are
-fences around its quartiles; groups with fewer than LEAST texts take the fences of their language's merged sketch, and
-those of small languages the merged sketch of all. Fences never come closer to the median than the measure's own
-scale (FLOORS), so that a group of clean texts rejects none of them for being uniform. Thresholds join the texts by
+sketches merge by adding counts, and any quantile is known within GAMMA - 1 of its value. Texts that
+pass the fixed base rule are sketched. A group's thresholds are fences around its quartiles; for measures that are zero
+in a quarter of its texts or more, they are the upper quantile of the values above zero times FENCE deviations of how
+often a text has one (mean included). Groups with fewer than LEAST texts (for the upper quantile, LEAST values above
+zero) take the merged sketch of their language, and those of small languages the merged sketch of all. FLOORS only
+guard ties: a fence is never closer to the median than that. Thresholds join the texts by
 language and source, and texts outside them, or failing the fixed base rule, are not kept.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept; null languages and sources
@@ -31,8 +33,10 @@ GAMMA = 1.02
 LEAST = 100
 #: Fence: quartile plus FENCE times the distance of the quartiles.
 FENCE = 3.0
-#: Least distance of a fence from the median, by measure.
-FLOORS = {"symbols": 0.05, "lines": 0.6, "repeats": 0.2, "length": 4.0}
+#: Quantile of the values above zero that fences of measures with many zeros come from.
+UPPER = 0.95
+#: Least distance of a fence from the median, by measure: a guard of ties in uniform groups.
+FLOORS = {"symbols": 0.01, "lines": 0.05, "repeats": 0.02, "length": 0.25}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -87,13 +91,15 @@ def sketch(rows: DataFrame) -> DataFrame:
 
 
 def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """q1, q2, q3 and the number of values of each sketch, merged by keys and measure."""
+    """q1, q2, q3, the number of values, those above zero and their upper quantile, of each sketch, merged by keys and measure."""
     merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     upto = merged.withColumn("upto", F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first()))).withColumn("total", F.sum("n").over(group))
+    upto = upto.withColumn("zeros", F.sum(F.when(F.col("bucket").isNull(), F.col("n")).otherwise(0)).over(group))
     value = F.when(F.col("bucket").isNull(), F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
     q = [F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p), value)).alias(f"q{i}") for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))]
-    return upto.groupBy(*keys, "measure").agg(*q, F.max("total").alias("total"))
+    above = F.col("bucket").isNotNull() & (F.col("upto") - F.col("zeros") >= F.ceil((F.col("total") - F.col("zeros")) * UPPER))
+    return upto.groupBy(*keys, "measure").agg(*q, F.min(F.when(above, value)).alias("upper"), F.max("total").alias("total"), F.max(F.col("total") - F.col("zeros")).alias("above"))
 
 
 def fences(counts: DataFrame) -> DataFrame:
@@ -102,21 +108,22 @@ def fences(counts: DataFrame) -> DataFrame:
     own, lang, whole = (quartiles(counts, k) for k in (["lang", "source"], ["lang"], []))
     best = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure"))).join(F.broadcast(whole.alias("w")), F.col("o.measure") == F.col("w.measure"))
 
-    def pick(q: str) -> F.Column:
-        return F.when(F.col("o.total") >= LEAST, F.col(f"o.{q}")).when(F.col("l.total") >= LEAST, F.col(f"l.{q}")).otherwise(F.col(f"w.{q}")).alias(q)
+    def pick(q: str, size: str = "total") -> F.Column:
+        return F.when(F.col(f"o.{size}") >= LEAST, F.col(f"o.{q}")).when(F.col(f"l.{size}") >= LEAST, F.col(f"l.{q}")).otherwise(F.col(f"w.{q}")).alias(q)
 
-    picked = best.select("o.lang", "o.source", "o.measure", *map(pick, ("q1", "q2", "q3")))
+    picked = best.select("o.lang", "o.source", "o.measure", *map(pick, ("q1", "q2", "q3", "total")), (pick("above") / pick("total")).alias("often"), F.coalesce(pick("upper", "above"), F.lit(0.0)).alias("upper"))
+    rare = F.when(F.col("q1") == 0, F.col("upper") * (F.col("often") + FENCE * F.sqrt(F.col("often") * (1 - F.col("often"))))).otherwise(0.0)
     reach = FENCE * (F.col("q3") - F.col("q1"))
-    picked = picked.withColumn("low", F.least(F.col("q1") - reach, F.col("q2") - floor)).withColumn("high", F.greatest(F.col("q3") + reach, F.col("q2") + floor))
+    picked = picked.withColumn("low", F.least(F.col("q1") - reach, F.col("q2") - floor)).withColumn("high", F.greatest(F.col("q3") + reach, rare, F.col("q2") + floor))
     return picked.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in FLOORS for side in ("low", "high")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the thresholds that held, for every row of docs."""
     rows = stash(measures(docs, 5, id_col, text_col, lang_col, source_col), "measures")
-    limits = fences(stash(sketch(rows), "sketch")).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    limits = fences(stash(sketch(rows.where(~base_failed)), "sketch")).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     inside = F.lit(True)
     for m, v in ratios().items():
         inside = inside & (v <= F.col(f"{m}_high"))
