@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from veerrank.llm import components, decontaminate, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files  # noqa: E402
+from veerrank.llm import queries as llm_queries  # noqa: E402
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,6 +115,20 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contained_items(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_hit(spark, tmp_path):
+    texts = [(1, "a null id words b"), (2, "null id words and " + ITEM), (3, "nothing here"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = llm_queries.op3_decontaminate(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(llm_queries.DECONTAMINATE).select(", ".join(rows.columns)).fetchall()
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(want) and {r[0]: (r[2], r[3]) for r in want} == {1: (3, 1), 2: (17, 3), 3: (0, 0), 4: (0, 0)}
+    kept = corpus_pipeline.decontamination_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "'en' lang", "'s' source"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {3, 4}
+
+
 def test_quality_rules(docs, empty):
     got = quality_rules.judge(docs).collect()
     want = []

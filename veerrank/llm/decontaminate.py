@@ -6,8 +6,8 @@ needs its rarest word in the document, so that one word is its necessary prefix
 must leave room for the record's words before and behind it within the document (position and length bounds), and
 then all words are compared. Items are read in blocks of bounded bytes, each broadcast, whatever their number.
 
-Defined results: null and empty texts have no words and no hits; an item without words or without an id has no windows; null ids and
-repeated rows come back as they are, a repeated item id counts once; empty tables give no rows (documents) or no
+Defined results: null and empty texts have no words and no hits; an item without words has no windows; windows of
+items without an id hit like any other, but name no item (unnamed says that a document has one); null ids and repeated rows come back as they are, a repeated item id counts once; empty tables give no rows (documents) or no
 hits (items); other columns are ignored.
 """
 
@@ -34,10 +34,10 @@ def _item_words(text: str | None) -> list[bytes]:
     return words.to_pylist()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Distinct windows with their item, block by block; the driver holds one block at a time."""
     block, size = [], 0
-    for item, text in items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").toLocalIterator():
+    for item, text in items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").toLocalIterator():
         words = _item_words(text)
         for at in range(max(1, len(words) - window + 1) if words else 0):
             block.append((item, words[at : at + window]))
@@ -52,7 +52,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterat
 class _Records:
     """One block, ordered by rarity: records by their key word."""
 
-    def __init__(self, block: list[tuple[str, list[bytes]]], counts: dict[bytes, int]):
+    def __init__(self, block: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int]):
         self.vocabulary = list(dict.fromkeys(w for _, words in block for w in words))
         code = {w: i for i, w in enumerate(self.vocabulary)}
         rarity = np.array([counts.get(w, 0) for w in self.vocabulary])
@@ -127,7 +127,7 @@ def word_counts(docs: DataFrame, wanted: list[bytes]) -> dict[bytes, int]:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, item_ids (sorted strings), spans (start, length in words), and the text."""
+    """Per document: doc_id, n_words, n_hit, item_ids (sorted strings), unnamed, spans (start, length in words), and the text."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shares = []
@@ -140,7 +140,7 @@ def contained_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
         for batch in T.slices(batches, "text", BATCH_BYTES):
             words, bounds = T.split(*T.raw(batch["text"]), T.ALNUM, lower=True)
             hit = np.zeros(len(words) + 1, np.int64)
-            owners: dict[int, set[str]] = {}
+            owners: dict[int, set[str | None]] = {}
             spans: dict[int, set[tuple[int, int]]] = {}
             for records in ready or (_Records(*s.value) for s in shares):
                 start, record = records.matches(words, bounds)
@@ -151,7 +151,7 @@ def contained_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
                     spans.setdefault(int(row), set()).add((int(s - bounds[row]), int(records.length[r])))
             n_hit = T.row_sums(np.cumsum(hit)[:-1] > 0, bounds)
             rows = range(batch.num_rows)
-            columns = [batch["doc_id"], pa.array(np.diff(bounds)), pa.array(n_hit), pa.array([sorted(owners.get(r, ())) for r in rows], pa.list_(pa.string())), pa.array([[{"start": a, "length": b} for a, b in sorted(spans.get(r, ()))] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+            columns = [batch["doc_id"], pa.array(np.diff(bounds)), pa.array(n_hit), pa.array([sorted(x for x in owners.get(r, ()) if x is not None) for r in rows], pa.list_(pa.string())), pa.array([None in owners.get(r, ()) for r in rows]), pa.array([[{"start": a, "length": b} for a, b in sorted(spans.get(r, ()))] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "unnamed", "spans"])
 
-    return slim.mapInArrow(join, "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start: long, length: long>>")
+    return slim.mapInArrow(join, "doc_id long, n_words long, n_hit long, item_ids array<string>, unnamed boolean, spans array<struct<start: long, length: long>>")
