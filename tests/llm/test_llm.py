@@ -92,6 +92,106 @@ def test_seating_follows_the_restaurant_law():
     assert abs(mean - np.mean(one_by_one)) < 0.15
 
 
+def test_predictive_probabilities_sum_to_one(docs, monkeypatch):
+    """In every restaurant, over all dishes and the unknown one, after any number of sweeps, with dishes in many buckets."""
+    seen = []
+    own = pitman_yor._totals
+    monkeypatch.setattr(pitman_yor, "_totals", lambda buckets, history, base, seed: seen.append((buckets, base)) or own(buckets, history, base, seed))
+    pitman_yor.score(docs, burn_in=1, samples=1)
+    parts, base = seen[0]
+    history = []
+    for _ in range(3):
+        history.append(own(parts, history, base, 11))
+    totals, hyper = history[-1]
+    sums = [np.zeros(size) for size in pitman_yor.SIZES]
+    dishes, words = [0, 0, 0], 0
+    root = np.zeros(0)
+    rows = [r.asDict() for r in parts.collect()]
+    made = []
+    for row in rows:
+        bucket = pitman_yor._Bucket(row)
+        for i, (before, h) in enumerate(history[:-1]):
+            bucket.sweep(i, before, base, h, 11)
+        made.append(bucket)
+        root = np.append(root, bucket.predictive(totals, base, hyper, 2)[bucket.customers[2] > 0])
+    strength, d = hyper.strengths[2], hyper.discounts[2]
+    unknown = (strength + d * totals[2][1, 0]) / (strength + totals[2][0, 0]) * base
+    n_types = round(1 / base) - 1
+    assert len(root) == n_types and abs(root.sum() + unknown - 1) < 1e-9
+    for level in (1, 0):
+        c, t = totals[level]
+        met = np.flatnonzero(c)
+        for r in met[:: max(1, len(met) // 20)]:
+            strength, d = hyper.strengths[level], hyper.discounts[level]
+            own_part = sum((b.customers[level] - d * b.tables[level])[b.restaurant[level] == r].sum() for b in made) / (strength + c[r])
+            assert abs(own_part + (strength + d * t[r]) / (strength + c[r]) - 1) < 1e-9
+
+
+def test_sampler_agrees_with_one_customer_at_a_time(spark):
+    """Held-out perplexity against a sampler that moves single customers between explicit tables, with live totals."""
+    random = np.random.default_rng(17)
+    names = ["".join(chr(97 + c) for c in random.integers(0, 26, 3)) for _ in range(60)]
+    follow = {w: random.permutation(60)[:6] for w in names}
+    rows = []
+    for i in range(120):
+        ws = [names[0]]
+        for _ in range(40):
+            ws.append(names[follow[ws[-1]][min(5, random.geometric(0.4) - 1)]])
+        rows.append((i, " ".join(ws)))
+    got = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").selectExpr("-sum(score) / sum(n_tokens) as x").first().x
+    train = [t.split() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    held = [t.split() for i, t in rows if not zlib.crc32(str(i).encode()) % 10]
+
+    def steps(ws):
+        return [((0, p[-1:], p[-2:]), w) for p, w in zip(["", *ws], [*ws, "\0"])]
+
+    tables: list[dict] = [{}, {}, {}]  # by level (root first), restaurant and dish: sizes of its tables
+    size, n = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    base, strength, discount = 1 / (len({w for ws in train for w in ws}) + 2), (1.0, 1.0, 1.0), 0.5
+
+    def p(level, context, w):
+        if level < 0:
+            return base
+        r, dish = context[level], tables[level].get((context[level], w), ())
+        s = strength[level]
+        return (sum(dish) - discount * len(dish) + (s + discount * size[level][r]) * p(level - 1, context, w)) / (s + n[level][r])
+
+    def add(level, context, w):
+        if level < 0:
+            return
+        r, dish = context[level], tables[level].setdefault((context[level], w), [])
+        weights = [c - discount for c in dish] + [(strength[level] + discount * size[level][r]) * p(level - 1, context, w)]
+        k = random.choice(len(weights), p=np.array(weights) / sum(weights))
+        n[level][r] += 1
+        if k == len(dish):
+            dish.append(0)
+            size[level][r] += 1
+            add(level - 1, context, w)
+        dish[k] += 1
+
+    def remove(level, context, w):
+        if level < 0:
+            return
+        r, dish = context[level], tables[level][context[level], w]
+        k = random.choice(len(dish), p=np.array(dish) / sum(dish))
+        dish[k] -= 1
+        n[level][r] -= 1
+        if not dish[k]:
+            dish.pop(k)
+            size[level][r] -= 1
+            remove(level - 1, context, w)
+
+    tokens = [x for ws in train for x in steps(ws)]
+    for context, w in tokens:
+        add(2, context, w)
+    for _ in range(3):
+        for context, w in tokens:
+            remove(2, context, w)
+            add(2, context, w)
+    logs = [np.log10(p(2, context, w)) for ws in held for context, w in steps(ws)]
+    assert abs(got + np.mean(logs)) < 0.03, (got, -np.mean(logs))
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, ",".join(r.item_ids)) for r in decontaminate.contained_items(docs, items).collect())
