@@ -268,14 +268,38 @@ def test_quality_fences_come_from_the_data(spark):
     def quantile(values, p):
         return sorted(values)[max(0, int(np.ceil(len(values) * p)) - 1)]
 
+    def measured(rows, measure):
+        values = [r.n_symbols / r.word_chars if measure == "symbols" else r.word_chars / r.n_words for r in rows]
+        above = [x for x in values if x > 0]
+        return len(values), len(above), quantile(values, 0.25), quantile(values, 0.75), quantile(above, 0.95), len(above) / len(values)
+
+    def shrunk(own, above):
+        n, k = own[:2], quality_rules.PRIOR
+        return own[:2] + tuple((n[i == 4] * own[i] + k * above[i]) / (n[i == 4] + k) for i in range(2, 6))
+
     for source in ("a", "b"):
         mine = [got[i] for i, (_, s) in enumerate(rows) if s == source]
-        for measure, values in (("symbols", [r.n_symbols / r.word_chars for r in mine]), ("length", [r.word_chars / r.n_words for r in mine])):
-            q1, q3 = quantile(values, 0.25), quantile(values, 0.75)
-            above = [x for x in values if x > 0]
-            often = len(above) / len(values)
-            fence = max(q3 + 3 * (q3 - q1), quantile(above, 0.95) * (often + 3 * (often * (1 - often)) ** 0.5) if q1 == 0 else 0)
-            assert abs(mine[0][f"{measure}_high"] - fence) < 0.12 * fence, (source, measure)
+        for measure in ("symbols", "length"):
+            everything = measured(list(got.values()), measure)  # one language, so its quantiles are those of all
+            _, _, q1, q3, upper, often = shrunk(measured(mine, measure), everything)
+            fence = max(q3 + 3 * (q3 - q1), upper * (often + 3 * (often * (1 - often)) ** 0.5))
+            assert abs(mine[0][f"{measure}_high"] - fence) < 0.04 * fence, (source, measure)
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """A group of one text takes nearly its language's fences, a large group its own, and no size changes the rule."""
+    rows = [("en", "big", i % 5, 100) for i in range(2000)] + [("en", "one", 90, 100)] + [("de", "far", 50 + i % 5, 100) for i in range(400)]
+    counts = quality_rules.sketch(spark.createDataFrame([(lang, source, 10, c, n, 0, 0, 1) for lang, source, n, c in rows], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"))
+    got = {r.source: r.symbols_high for r in quality_rules.fences(counts).collect()}
+    assert abs(got["one"] - got["big"]) < abs(got["one"] - got["far"]) and got["big"] < 0.3 * got["far"]
+
+
+def test_quality_verdicts_equal_sql(docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = llm_queries.op4_quality_rules(docs.sparkSession, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, con.sql(llm_queries.QUALITY).select(", ".join(rows.columns)).fetchall()))
 
 
 def test_sketches_merge(docs):

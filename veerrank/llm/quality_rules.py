@@ -3,12 +3,13 @@
 Four measures of a text (symbols per word character, repeated lines per line, repeated words per word, mean word
 length) are sketched by logarithmic buckets: a sketch is a table of counts by (lang, source, measure, bucket), two
 sketches merge by adding counts, and any quantile is known within GAMMA - 1 of its value. Texts that
-pass the fixed base rule are sketched. A group's thresholds are fences around its quartiles; for measures that are zero
-in a quarter of its texts or more, they are the upper quantile of the values above zero times FENCE deviations of how
-often a text has one (mean included). Groups with fewer than LEAST texts (for the upper quantile, LEAST values above
-zero) take the merged sketch of their language, and those of small languages the merged sketch of all. FLOORS only
-guard ties: a fence is never closer to the median than that. Thresholds join the texts by
-language and source, and texts outside them, or failing the fixed base rule, are not kept.
+pass the fixed base rule are sketched. A group's thresholds are fences FENCE quartile distances beyond its quartiles, or,
+as many texts have none of a measure, the upper quantile of the values above zero times FENCE deviations of how often a
+text has one (mean included), whichever is farther. A group's quantiles are means of its own and its language's, the
+latter with the weight of PRIOR texts, and a language's of its own and those of all texts: a small group leans on its
+language, a large one hardly, without a size at which that changes. One occurrence is never decisive: a measure that is
+above its fence by one symbol, one line or one pair of windows only passes. Thresholds join the texts by language and
+source, and texts outside them, or failing the fixed base rule, are not kept.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept; null languages and sources
 are groups of their own; repeated rows come back as they are; an empty table gives no rows; other columns are ignored.
@@ -30,13 +31,13 @@ from .store import stash
 
 BATCH_BYTES = 4 << 20
 GAMMA = 1.02
-LEAST = 100
+#: Texts that a group's language weighs in the group's quantiles, and all texts in a language's.
+PRIOR = 20
 #: Fence: quartile plus FENCE times the distance of the quartiles.
 FENCE = 3.0
 #: Quantile of the values above zero that fences of measures with many zeros come from.
 UPPER = 0.95
-#: Least distance of a fence from the median, by measure: a guard of ties in uniform groups.
-FLOORS = {"symbols": 0.01, "lines": 0.05, "repeats": 0.02, "length": 0.25}
+MEASURES = ("symbols", "lines", "repeats", "length")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -76,11 +77,13 @@ def measures(docs: DataFrame, window: int = 5, id_col: str = "doc_id", text_col:
     return slim.mapInArrow(count, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
 
 
-def ratios() -> dict[str, F.Column]:
-    def of(a: str, b: str) -> F.Column:
-        return F.col(a) / F.greatest(F.col(b), F.lit(1))
+def ratios(less: int = 0, window: int = 5) -> dict[str, F.Column]:
+    """The measures; less=1 leaves out one occurrence of each that counts occurrences."""
 
-    return {"symbols": of("n_symbols", "word_chars"), "lines": of("n_dup_lines", "n_lines"), "repeats": of("n_repeat_words", "n_words"), "length": of("word_chars", "n_words")}
+    def of(a: str, b: str, one: int = 0) -> F.Column:
+        return F.greatest(F.col(a) - less * one, F.lit(0)) / F.greatest(F.col(b), F.lit(1))
+
+    return {"symbols": of("n_symbols", "word_chars", 1), "lines": of("n_dup_lines", "n_lines", 1), "repeats": of("n_repeat_words", "n_words", 2 * window), "length": of("word_chars", "n_words")}
 
 
 def sketch(rows: DataFrame) -> DataFrame:
@@ -104,18 +107,21 @@ def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def fences(counts: DataFrame) -> DataFrame:
     """lang, source, and low and high for each measure."""
-    floor = F.create_map(*(F.lit(x) for kv in FLOORS.items() for x in kv))[F.col("measure")]
     own, lang, whole = (quartiles(counts, k) for k in (["lang", "source"], ["lang"], []))
     best = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure"))).join(F.broadcast(whole.alias("w")), F.col("o.measure") == F.col("w.measure"))
 
-    def pick(q: str, size: str = "total") -> F.Column:
-        return F.when(F.col(f"o.{size}") >= LEAST, F.col(f"o.{q}")).when(F.col(f"l.{size}") >= LEAST, F.col(f"l.{q}")).otherwise(F.col(f"w.{q}")).alias(q)
+    def of(side: str, q: str) -> F.Column:
+        return F.col(f"{side}.above") / F.col(f"{side}.total") if q == "often" else F.coalesce(F.col(f"{side}.{q}"), F.lit(0.0))
+
+    def shrunk(q: str, size: str = "total") -> F.Column:
+        upper = (F.col(f"l.{size}") * of("l", q) + PRIOR * of("w", q)) / (F.col(f"l.{size}") + PRIOR)
+        return ((F.col(f"o.{size}") * of("o", q) + PRIOR * upper) / (F.col(f"o.{size}") + PRIOR)).alias(q)
 
-    picked = best.select("o.lang", "o.source", "o.measure", *map(pick, ("q1", "q2", "q3", "total")), (pick("above") / pick("total")).alias("often"), F.coalesce(pick("upper", "above"), F.lit(0.0)).alias("upper"))
-    rare = F.when(F.col("q1") == 0, F.col("upper") * (F.col("often") + FENCE * F.sqrt(F.col("often") * (1 - F.col("often"))))).otherwise(0.0)
+    picked = best.select("o.lang", "o.source", "o.measure", *map(shrunk, ("q1", "q3", "often")), shrunk("upper", "above"))
     reach = FENCE * (F.col("q3") - F.col("q1"))
-    picked = picked.withColumn("low", F.least(F.col("q1") - reach, F.col("q2") - floor)).withColumn("high", F.greatest(F.col("q3") + reach, rare, F.col("q2") + floor))
-    return picked.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in FLOORS for side in ("low", "high")))
+    rare = F.col("upper") * (F.col("often") + FENCE * F.sqrt(F.greatest(F.col("often") * (1 - F.col("often")), F.lit(0.0))))
+    picked = picked.withColumn("low", F.col("q1") - reach).withColumn("high", F.greatest(F.col("q3") + reach, rare))
+    return picked.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -125,8 +131,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     limits = fences(stash(sketch(rows.where(~base_failed)), "sketch")).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     inside = F.lit(True)
-    for m, v in ratios().items():
+    for m, v in ratios(less=1).items():
         inside = inside & (v <= F.col(f"{m}_high"))
     inside = inside & (ratios()["length"] >= F.col("length_low"))
-    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.coalesce(inside, F.lit(False))).alias("kept"), *(f"{m}_high" for m in FLOORS), "length_low")
+    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.coalesce(inside, F.lit(False))).alias("kept"), *(f"{m}_high" for m in MEASURES), "length_low")
     return out

@@ -69,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": DECONTAMINATE, "op6_substring_dedup": SUBSTRINGS}
+    return {"op3_decontaminate": DECONTAMINATE, "op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS}
 
 
 #: Windows of ten words as text, found by their exact text; hit words are counted once.
@@ -110,3 +110,46 @@ kept AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM split_docs d LEFT JOIN kept USING (doc_id)
 """
+
+#: Counts by text functions; the sketches as counts by logarithmic bucket, merged by group, language and all, their quantiles shrunk upwards.
+QUALITY = r"""
+WITH split_docs AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (SELECT row, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM split_docs WHERE len(w) >= 5)),
+twice AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM grams) WHERE c > 1) GROUP BY row),
+base AS (
+  SELECT d.row, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(t.n, 0) AS n_repeat_words
+  FROM split_docs d LEFT JOIN twice t USING (row)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+parts AS (
+  SELECT lang, source, unnest([{'m': 'symbols', 'v': n_symbols / greatest(word_chars, 1)}, {'m': 'lines', 'v': n_dup_lines / greatest(n_lines, 1)}, {'m': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)}, {'m': 'length', 'v': word_chars / greatest(n_words, 1)}], recursive := true)
+  FROM failed WHERE NOT base_failed),
+counts AS (SELECT lang, source, m, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / ln(1.02e0)) AS BIGINT) END AS b, count(*) AS n FROM parts GROUP BY ALL),
+levels AS (
+  SELECT 'o' AS level, * FROM counts UNION ALL SELECT 'l', lang, NULL, m, b, sum(n) FROM counts GROUP BY lang, m, b UNION ALL SELECT 'w', NULL, NULL, m, b, sum(n) FROM counts GROUP BY m, b),
+upto AS (
+  SELECT *, CASE WHEN b IS NULL THEN 0e0 ELSE 2 * pow(1.02e0, b) / 2.02e0 END AS v, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY b NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS total, sum(CASE WHEN b IS NULL THEN n ELSE 0 END) OVER (PARTITION BY level, lang, source, m) AS zeros
+  FROM levels),
+found AS (
+  SELECT level, lang, source, m, min(CASE WHEN upto >= ceil(total * 0.25e0) THEN v END) AS q1, min(CASE WHEN upto >= ceil(total * 0.75e0) THEN v END) AS q3,
+    coalesce(min(CASE WHEN b IS NOT NULL AND upto - zeros >= ceil((total - zeros) * 0.95e0) THEN v END), 0) AS upper, CAST(max(total) AS DOUBLE) AS total, CAST(max(total - zeros) AS DOUBLE) AS above
+  FROM upto GROUP BY level, lang, source, m),
+shrunk AS (
+  SELECT o.lang, o.source, o.m,
+    (o.total * o.q1 + 20 * (l.total * l.q1 + 20 * w.q1) / (l.total + 20)) / (o.total + 20) AS q1,
+    (o.total * o.q3 + 20 * (l.total * l.q3 + 20 * w.q3) / (l.total + 20)) / (o.total + 20) AS q3,
+    (o.above + 20 * (l.above + 20 * w.above / w.total) / (l.total + 20)) / (o.total + 20) AS often,
+    (o.above * o.upper + 20 * (l.above * l.upper + 20 * w.upper) / (l.above + 20)) / (o.above + 20) AS upper
+  FROM (SELECT * FROM found WHERE level = 'o') o JOIN (SELECT * FROM found WHERE level = 'l') l ON o.lang IS NOT DISTINCT FROM l.lang AND o.m = l.m JOIN (SELECT * FROM found WHERE level = 'w') w ON o.m = w.m),
+fences AS (SELECT lang, source, m, q1 - 3 * (q3 - q1) AS low, greatest(q3 + 3 * (q3 - q1), upper * (often + 3 * sqrt(greatest(often * (1 - often), 0)))) AS high FROM shrunk),
+wide AS (
+  SELECT lang, source, max(CASE WHEN m = 'symbols' THEN high END) AS symbols, max(CASE WHEN m = 'lines' THEN high END) AS lines, max(CASE WHEN m = 'repeats' THEN high END) AS repeats, max(CASE WHEN m = 'length' THEN high END) AS most, max(CASE WHEN m = 'length' THEN low END) AS least
+  FROM fences GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(greatest(n_symbols - 1, 0) / greatest(word_chars, 1) <= symbols AND greatest(n_dup_lines - 1, 0) / greatest(n_lines, 1) <= f.lines AND greatest(n_repeat_words - 10, 0) / greatest(n_words, 1) <= repeats AND word_chars / greatest(n_words, 1) BETWEEN least AND most, false) AS kept
+FROM failed d LEFT JOIN wide f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source
+"""
