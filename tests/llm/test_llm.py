@@ -55,6 +55,22 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def source_targets(sizes, weights, factor, most):
+    """Targets by hand: sources in code point order with null last; sources that are over give to the others."""
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i][0] is None, (sizes[i][0] or "").encode()))
+    weight = {i: weights[k % len(weights)] for k, i in enumerate(order)}
+    left, open_, target = factor * sum(n for _, n in sizes), set(weight), [0.0] * len(sizes)
+    while open_:
+        unit = left / sum(weight[i] for i in open_)
+        full = {i for i in open_ if weight[i] * unit >= most * sizes[i][1]}
+        for i in full or open_:
+            target[i] = most * sizes[i][1] if full else weight[i] * unit
+        if not full:
+            break
+        left, open_ = left - sum(target[i] for i in full), open_ - full
+    return target
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS) and Counter(r.size for r in rows) == Counter(len(WORD.findall(t or "")) for _, t, _, _ in ROWS)
@@ -64,7 +80,36 @@ def test_mixing(docs, empty):
     for s, t in target.items():
         assert abs(sum(r.taken for r in rows if r.source == s) - t) <= max(r.size for r in rows if r.source == s)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect())) and mixing.mix(empty).count() == 0
-    assert mixing.targets([("b", 10), (None, 10), ("a", 10)], (5, 2, 1), 1.5, 2.0) == [25 * 2 / 3, 25 / 3, 20.0]
+    assert source_targets([("b", 10), (None, 10), ("a", 10)], (5, 2, 1), 1.5, 2.0) == [25 * 2 / 3, 25 / 3, 20.0]
+    sizes = sorted({(r.source, r.source_size) for r in rows}, key=str)
+    assert [target[s] for s, _ in sizes] == pytest.approx(source_targets(sizes, (5, 2, 1), 1.5, 2.0))
+
+
+@pytest.mark.parametrize("buckets", [65_536, 4])
+def test_unequal_odds_are_calibrated_and_cut_by_rank(spark, monkeypatch, buckets):
+    """Against a sort by hand: expected copies add up to the target, long documents have fewer, the cut follows the ranks."""
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
+    random = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(n)), "abcde"[i % 5] if i % 7 else None) for i, n in enumerate(random.integers(1, 400, 900))] + [(1000 + i, "w", "f") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(table).collect()
+    sizes = sorted({(r.source, r.source_size) for r in got}, key=str)
+    want = dict(zip((s for s, _ in sizes), source_targets(sizes, (5, 2, 1), 1.5, 2.0)))
+    for s, t in want.items():
+        mine = [r for r in got if r.source == s]
+        assert mine[0].target == pytest.approx(t) and sum(r.expected * r.size for r in mine) == pytest.approx(t, rel=0.01)
+        free = [r for r in mine if r.expected < 2]
+        assert len({round(r.expected * r.size**0.25, 6) for r in free}) <= 1 and all(r.expected <= 2 for r in mine)
+        left = t - sum(int(r.expected + 1e-12) * r.size for r in mine)
+        live = sorted((r for r in mine if r.expected % 1 > 1e-9), key=lambda r: (r.u / (1 - r.u) / ((r.expected % 1) / (1 - r.expected % 1)), r.doc_id))
+        run, taken = 0, {}
+        for r in live:
+            run += r.size
+            taken[r.doc_id] = run - r.size / 2 <= left
+        assert {r.doc_id: r.copies - int(r.expected + 1e-12) for r in live} == taken
+    assert any(len({r.copies for r in got if r.source == s}) > 1 for s in want)
+    even = mixing.mix(table, weight=F.lit(1.0)).collect()
+    assert all(len({round(r.expected, 9) for r in even if r.source == s}) == 1 for s in want)
 
 
 def test_language_model(docs, empty):

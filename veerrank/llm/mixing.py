@@ -1,23 +1,25 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a share of `factor` times all sizes by its weight, but no more than `most` times its own size; what is
-over goes to the others by weight until none is above. A document gets the whole part of its expected copies for
-certain. The rest is sampled: documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)),
-where p is the fractional part of the expected copies, and are taken in that order until the source's remaining words
-are filled, each taken if that comes nearer to them.
+over goes to the others by weight until none is above. Within a source, documents have unequal expected copies: in
+proportion to their weight (by default size to the power of -length_power, so that a few long documents do not fill a
+source), scaled so that they add up to the target, and `most` at the most. A document gets the whole part of its expected
+copies for certain. The rest is sampled: documents are ranked by random odds over inclusion odds,
+(u / (1 - u)) / (p / (1 - p)), where p is the fractional part of the expected copies, and are taken in that order until
+the source's remaining words are filled, each taken if that comes nearer to them: a sample of fixed size in words.
 
-The order's cut is found without sorting a source in one task: ranks fall into fine buckets, buckets are summed by
-source and added up, and only the bucket that holds the cut is sorted. u comes from a hash of seed, id and text, so
-reruns agree.
+Nothing is sorted by source in one task: sources are numbered by prefix, the shares come from a few rounds of sums, scales
+from sums by weight class, and the order's cut from sums by fine buckets of rank, of which only the one that holds the cut
+is sorted. u comes from a hash of seed, id and text, so reruns agree.
 
 Defined results: null and empty texts have size 0, take nothing and come back; null sources are one source, last in
 order; rows alike in id and text share their random number, and their number in the cut decides; an empty table gives
-no rows; a null unequal-probability weight counts as 1; other columns are ignored.
+no rows; a null weight counts as 1, one of zero or below as never taken; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,62 +27,77 @@ from .store import stash
 
 #: Rank buckets of a source.
 BUCKETS = 65_536
-#: Most sources whose table of targets is broadcast; with more, it is joined by a shuffle.
+#: Weight classes to a doubling of the weight.
+CLASSES = 16
+#: Most sources whose table is broadcast; with more, it is joined by a shuffle, where adaptive execution parts hot sources.
 BROADCAST_SOURCES = 100_000
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], factor: float, most: float) -> list[float]:
-    """Target of each source, sources in code point order with null last."""
-    order = sorted(range(len(sizes)), key=lambda i: (sizes[i][0] is None, (sizes[i][0] or "").encode()))
-    weight = {i: weights[k % len(weights)] for k, i in enumerate(order)}
-    left, open_, target = factor * sum(n for _, n in sizes), set(weight), [0.0] * len(sizes)
-    while open_:
-        unit = left / sum(weight[i] for i in open_)
-        full = {i for i in open_ if weight[i] * unit >= most * sizes[i][1]}
-        for i in full or open_:
-            target[i] = most * sizes[i][1] if full else weight[i] * unit
-        if not full:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], factor: float, most: float) -> DataFrame:
+    """source, source_size, target; sizes: a row for each source."""
+    prefix = F.coalesce(F.substring("source", 1, 2), F.lit(""))
+    blocks = sizes.groupBy(F.col("source").isNull().alias("last"), prefix.alias("prefix")).agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.orderBy("last", "prefix")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("last", "prefix").orderBy("source")) - 1
+    numbered = sizes.withColumns({"last": F.col("source").isNull(), "prefix": prefix}).withColumn("place", place).join(blocks, ["last", "prefix"])
+    weight = F.get(F.array(*map(F.lit, map(float, weights))), ((F.col("place") + F.col("before")) % len(weights)).cast("int"))
+    table = stash(numbered.select("source", "source_size", weight.alias("weight")), "sources")
+    limit, unit, full = most * F.col("source_size"), 0.0, -1
+    while True:  # each round fills at least one more source
+        above = F.col("weight") * unit >= limit
+        sums = table.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, limit)).alias("given"), F.sum(F.when(~above, F.col("weight"))).alias("open"), F.count_if(above).alias("full")).first()
+        if sums.full == full or not sums.open:
             break
-        left, open_ = left - sum(target[i] for i in full), open_ - full
-    return target
+        full, unit = sums.full, (factor * sums.all - (sums.given or 0.0)) / sums.open
+    above = F.col("weight") * unit >= limit
+    return table.select("source", "source_size", F.when(above, limit).otherwise(F.col("weight") * unit).alias("target"))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], factor: float, most: float) -> DataFrame:
-    """source, source_size, target; the table of sources has one row each."""
-    rows = [(r.source, r.source_size) for r in sizes.toLocalIterator()]
-    table = [(s, n, float(t)) for (s, n), t in zip(rows, targets(rows, weights, factor, most))]
-    return sizes.sparkSession.createDataFrame(table, "source string, source_size long, target double")
+def scales(rows: DataFrame, plan: DataFrame, most: float) -> DataFrame:
+    """source, scale: expected copies are least(most, scale * weight), and with sizes they add up to the source's target."""
+    kind = F.floor(F.log2("weight") * CLASSES)
+    sums = rows.where("weight > 0 and size > 0").groupBy("source", kind.alias("class")).agg(F.sum("size").alias("n"), F.sum(F.col("size") * F.col("weight")).alias("weighted"), F.max("weight").alias("heaviest"))
+    down = Window.partitionBy("source").orderBy(F.desc("class"))
+    rest = down.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sums = sums.withColumns({"capped": F.sum("n").over(down) - F.col("n"), "weighted": F.sum("weighted").over(rest)})
+    sums = sums.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    # The heavier classes have `most` copies each; of the ways to part them, the first whose rest stays within it.
+    scale = F.greatest(F.col("target") - most * F.col("capped"), F.lit(0.0)) / F.col("weighted")
+    fits = sums.withColumn("scale", scale).withColumn("fits", F.col("scale") * F.col("heaviest") <= most * 2.0 ** (1 / CLASSES))
+    return fits.groupBy("source").agg(F.coalesce(F.max_by("scale", F.when(F.col("fits"), F.col("class"))), F.max("scale")).alias("scale"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies * size) for every row; weight_col: inclusion odds are multiplied by it."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, most: float = 2.0, length_power: float = 0.25, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, expected (copies), u, copies, taken (copies * size) for every row; weight: a Column of docs that takes the place of size ** -length_power."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    odds = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), u.alias("u"), odds.alias("odds")), "mix")
-    plan = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, most)
-    same = F.col("source").eqNullSafe(F.col("of"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), u.alias("u"), (F.lit(None) if weight is None else weight).cast("double").alias("weight"))
+    by_size = F.pow(F.greatest("size", F.lit(1)).cast("double"), F.lit(-length_power)) if weight is None else F.lit(1.0)
+    rows = stash(slim.withColumn("weight", F.coalesce("weight", by_size)), "mix")
+    plan = stash(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, factor, most), "targets")
     small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
-    joined = rows.join(small(plan.withColumnRenamed("source", "of")), same).drop("of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate + 1e-12)
-    part = F.greatest(rate - whole, F.lit(0.0))
-    left = F.greatest(F.col("target") - whole * F.col("source_size"), F.lit(0.0))
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("odds") * F.col("part") / (1 - F.col("part")))
-    joined = joined.withColumns({"whole": whole, "part": part, "left": left})
+
+    def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        return left.join(small(right.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), how).drop("of")
+
+    scale = stash(scales(rows, plan, most), "scales")
+    joined = by_source(by_source(rows, plan), scale, "left")
+    expected = F.when((F.col("size") > 0) & (F.col("weight") > 0), F.least(F.lit(float(most)), F.coalesce("scale", F.lit(0.0)) * F.col("weight"))).otherwise(0.0)
+    joined = joined.withColumn("expected", expected).withColumn("whole", F.floor(F.col("expected") + 1e-12)).withColumn("part", F.greatest(F.col("expected") - F.col("whole"), F.lit(0.0)))
     # A rank's bucket: rank / (1 + rank) is even enough over the unit interval.
-    live = (F.col("part") > 0) & (F.col("size") > 0) & (F.col("odds") > 0)
-    joined = joined.withColumn("rank", F.when(live, rank)).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
-    by_bucket = joined.where("bucket is not null").groupBy("source", "left", "bucket").agg(F.sum("size").alias("n"))
+    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
+    joined = joined.withColumn("rank", F.when(F.col("part") > 0, rank)).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
+    sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.sum(F.col("whole") * F.col("size")).alias("whole"))
+    left = by_source(sums.groupBy("source").agg(F.sum("whole").alias("whole")), plan).select("source", F.greatest(F.col("target") - F.col("whole"), F.lit(0.0)).alias("left"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
     # Whole buckets below the cut are taken; the one that the cut falls into is sorted.
-    cut = by_bucket.withColumn("upto", upto).where("upto > left").groupBy("source").agg(F.min(F.struct("bucket", "upto", "n")).alias("c"))
-    cut = cut.select(F.col("source").alias("of"), F.col("c.bucket").alias("cut"), (F.col("c.upto") - F.col("c.n")).alias("before"))
-    with_cut = joined.join(small(cut), same, "left").drop("of")
-    edge = F.col("bucket").isNotNull() & (F.col("bucket") == F.col("cut"))
+    cut = by_source(sums.where("bucket is not null").withColumn("upto", upto), left).where("upto > left").groupBy("source", "left").agg(F.min(F.struct("bucket", "upto", "n")).alias("c"))
+    cut = stash(cut.select("source", "left", F.col("c.bucket").alias("cut"), (F.col("c.upto") - F.col("c.n")).alias("before")), "cuts")
+    with_cut = by_source(joined, cut, "left")
+    edge = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
     running = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = with_cut.where(edge).withColumn("extra", (F.col("before") + running - F.col("size") / 2 <= F.col("left")).cast("long"))
-    outer = with_cut.where(~F.coalesce(edge, F.lit(False))).withColumn("extra", (F.col("bucket").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))).cast("long"))
+    outer = with_cut.where(~edge).withColumn("extra", (F.col("bucket").isNotNull() & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))).cast("long"))
     out = inner.unionByName(outer).withColumn("copies", F.col("whole").cast("long") + F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)).alias("copies"), (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "expected", "u", "copies", (F.col("copies") * F.col("size")).alias("taken"))
