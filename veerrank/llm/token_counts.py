@@ -1,7 +1,9 @@
 """Token counts of whole texts by a public tokenizer, in Arrow functions that return lengths only.
 
 Texts are cut at boundaries that the tokenizer's own splitting never crosses: before a single space or line feed
-between two characters that are surely not white space, and between an ASCII letter and a punctuation mark. Batches are balanced by bytes, the pieces of a batch are made
+between two characters that are surely not white space, and between an ASCII letter and a punctuation mark. That holds
+for byte-level files with their own pattern and no prefix space; any other file, and one with a special token that such a
+cut would part, encodes every text whole. Batches are balanced by bytes, the pieces of a batch are made
 distinct, and the library encodes each distinct piece once. A text's tokens are those of its pieces in order, so the
 counts are those of the whole text, special strings included.
 
@@ -11,6 +13,7 @@ an empty table gives no rows, other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +67,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.safe = self._safe()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         special = set(self.library.get_added_tokens_decoder())
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -73,6 +77,14 @@ class Encoder:
         self.met = np.zeros(0, np.uint8)
         self.begins, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _safe(self) -> bool:
+        """Whether the file splits texts as piece_starts supposes."""
+        file = json.loads(self.library.to_str())
+        splitter = file.get("pre_tokenizer") or {}
+        plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True) and not file.get("normalizer")
+        special = [np.frombuffer(b"a" + t["content"].encode() + b"a", np.uint8) for t in file.get("added_tokens", [])]
+        return bool(plain) and all(len(piece_starts(x, np.array([0, len(x)]))) == 1 for x in special)
+
     def _forget(self) -> None:
         keep = self.met > 1
         kept = np.flatnonzero(keep)
@@ -85,14 +97,16 @@ class Encoder:
         self.met, self.begins, self.sizes = np.ones(len(kept), np.uint8), upto[:-1], sizes
 
     def _learn(self, fresh: list[bytes]) -> None:
-        joined = [p for p in fresh if p[0] == 0x20 and p[1:].decode() == p.decode().strip() != ""]
+        joined = [p for p in fresh if self.safe and p[0] == 0x20 and p[1:].decode() == p.decode().strip() != ""]
         alone = list(set(fresh).difference(joined))
         fresh = joined + alone
         texts = [b"".join(joined[lo : lo + 64]).decode() for lo in range(0, len(joined), 64)] + [p.decode() for p in alone]
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         flat = np.concatenate([np.asarray(e.ids, np.uint32) for e in got])
-        ends = np.cumsum(self.token_bytes[flat])
-        upto = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))) + 1
+        if self.safe:
+            upto = np.searchsorted(np.cumsum(self.token_bytes[flat]), np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))) + 1
+        else:
+            upto = np.cumsum([len(e.ids) for e in got])
         sizes = np.diff(np.concatenate([[0], upto]))
         self.begins = np.concatenate([self.begins, len(self.flat) + upto - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -102,7 +116,7 @@ class Encoder:
 
     def rows(self, data: np.ndarray, bounds: np.ndarray, keep_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens of each row, and all ids in order if they are asked for."""
-        starts = piece_starts(data, bounds)
+        starts = piece_starts(data, bounds) if self.safe else np.unique(bounds[:-1][np.diff(bounds) > 0])
         if not len(starts):
             return np.zeros(len(bounds) - 1, np.int64), np.zeros(0, np.uint32) if keep_ids else None
         offsets = np.append(starts, len(data)).astype(np.int32)
