@@ -6,7 +6,7 @@ its packed differences, the byte at which its packed part starts (the index), an
 Differences that need more than the block's width are stored whole in the exception lists (place in the block,
 difference), and their packed place holds their low bits. The width is that of a percentile of the block's
 differences. Shards follow the range partitions of the document id, so (shard, segment) gives the global order; the
-table of shards, a row each, gives the ids before a shard.
+table of shards, a row each and MOST_SHARDS rows at most, gives the ids before a shard; segments add up within shards.
 
 Defined results: null and empty texts are one end id; null ids come first; repeated ids follow each other, by text;
 an empty table gives an empty dataset; other columns are ignored.
@@ -34,8 +34,8 @@ BLOCK = 128
 SEGMENT = 1 << 18
 #: Share of a block's differences that its width must hold.
 PERCENTILE = 90
-#: Text bytes of one range partition.
-SHARD_BYTES = 16 << 20
+#: File bytes of one range partition, and the most partitions: a table of shards, and of their first ids, stays that small.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 50_000
 
 SCHEMA = S.StructType(
     [S.StructField(n, S.LongType()) for n in ("shard", "segment", "n_ids")]
@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: s
 
     arrow = pa.schema([(n, pa.int64()) for n in ("shard", "segment", "n_ids")] + [(n, pa.list_(pa.int64())) for n in ("doc_ids", "doc_sizes")] + [(f.name, pa.binary()) for f in SCHEMA.fields[5:]])
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(12, -(-2 * input_bytes(slim) // SHARD_BYTES))
+    shards = min(MOST_SHARDS, max(12, -(-input_bytes(slim) // SHARD_BYTES)))
     ordered = slim.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
     return path
