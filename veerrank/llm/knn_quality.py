@@ -8,7 +8,8 @@ RANK, not the data). Every document's exact cosine with every labelled vector is
 nearest vote with their labels, weighted by similarity.
 
 Defined results: null and empty texts have their marks only and get a score like any text; without labels every
-score is 0.5; null labels are left out; null ids are scored and never learned from; repeated rows get equal scores; an
+score is 0.5; null labels are left out; null ids are scored and never learned from; repeated rows get equal scores; of a labelled id with several texts the one
+with the smallest vector is learned from, and of several labels the larger; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, folds: int = 5) -> M
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     joined = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = joined.mapInArrow(vectors, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = joined.mapInArrow(vectors, "doc_id long, label int, x binary").groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, TRIGRAMS + LENGTHS + REPEATS).astype(np.float32)
     return Model(x, got["label"].to_numpy())
 
