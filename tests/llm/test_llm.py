@@ -495,6 +495,30 @@ def test_secret_scan_finds_every_run(spark):
     assert path[base64] == 0 and path["/var/lib/tables/part7/index.html"] == 1 and label[7, "/var/lib/tables/part7/index.html"] == 0
 
 
+def test_secret_scan_precision_and_recall(spark):
+    """Kinds of keys that half are named and assigned; the unnamed half is held out, as its labels never reach the forest."""
+    random = np.random.default_rng(23)
+
+    def draw(alphabet, n):
+        return "".join(alphabet[i] for i in random.integers(0, len(alphabet), n))
+
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [lambda: hashlib.sha1(random.bytes(8)).hexdigest(), lambda: draw(lower + lower.upper() + digits, 32), lambda: "AK" + draw(lower.upper() + digits, 18), lambda: "pk_" + draw(lower + lower.upper() + digits, 24), lambda: draw(lower + digits, 12)]
+    name = ["token", "api_key", "password", "secret"]
+    plain = [lambda: f"/srv/{VOCABULARY[random.integers(300)]}/index{random.integers(9)}.html", lambda: f"{draw(lower, 5)}.{random.integers(99)}@mail{random.integers(9)}.example.com", lambda: "".join(w.title() for w in words(4).split()), lambda: f"see-chapter-{random.integers(99)}-of-the-manual", lambda: "https://www.example.org/" + "/".join(words(3).split())]
+    rows, secret = [], {}
+    for i in range(600):
+        value = kinds[i % 5]()
+        secret[i] = value
+        rows.append((i, f"{words(8)} {name[i % 4]} = \"{value}\" {words(4)}" if i % 2 else f"{words(8)} {value} {words(4)}"))
+        rows.append((1000 + i, f"{words(6)} {plain[i % 5]()} {words(6)}"))
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").select("doc_id", "value").collect()
+    hit = {r.doc_id for r in got if r.doc_id < 1000 and secret[r.doc_id] in r.value}
+    unnamed = {i for i in secret if i % 2 == 0}
+    assert len(hit & unnamed) >= 0.9 * len(unnamed) and len(hit) >= 0.9 * len(secret)
+    assert sum(r.doc_id < 1000 for r in got) >= 0.9 * len(got), [r for r in got if r.doc_id >= 1000][:9]
+
+
 def test_quality_classifier(spark, docs, empty):
     good = [(i, words(40), 1) for i in range(80)]
     bad = [(100 + i, " ".join(w + "&&&" for w in words(40).split()), 0) for i in range(80)]

@@ -1,14 +1,16 @@
 """Secret scan: a random forest removes false positives among long tokens, on DataFrame functions only.
 
-Candidates are all runs of MIN_LENGTH or more token characters, any number in a word. Their features are length, shares of digits,
+Candidates are all runs of MIN_LENGTH or more token characters, and those of SHORT or more that hold a digit, any number in
+a word. Their features are length, shares of digits,
 capitals and marks, changes of character class, mean log transition probability of neighbouring characters and
 coverage by dictionary trigrams (both from all words of the documents, weighted by their counts), signs of a path, an
 address or quotes, and the name or words next to them. The forest is trained on labelled findings, at most SAMPLE of each
 label in an order by hash.
 
-Without labelled findings of their own, users can take `weak_findings`: findings that name and value both mark as
-assigned credentials, against findings that are plain words, numbers, addresses or paths. As names make these labels, the
-forest then learns from the value alone (SHAPE), and finds values of such a shape that have no name.
+Without labelled findings of their own, users can take `weak_findings`, whose evidence is not among the features that the
+forest then sees (SHAPE): a finding is true if it is assigned to the name of a credential, whatever its value, and harmless
+if it is neither named nor assigned and is, or has a word of LETTERS_TOLD letters that is, in several documents. The rest
+(unnamed values of their own) is not learned from, but judged like all.
 
 Defined results: null and empty texts have no candidates; null ids and repeated rows come back as they are; without
 findings of both labels the probability is the share of positive findings (0 without any); an empty table gives no
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .store import stash
 
-MIN_LENGTH = 16
+MIN_LENGTH, SHORT = 16, 8
+#: Letters of a word that tells a value to be harmless if several documents have it.
+LETTERS_TOLD = 4
 #: Most labelled findings of each label that the forest learns from.
 SAMPLE = 5_000
 TREES, DEPTH = 20, 6
@@ -35,15 +39,15 @@ TREES, DEPTH = 20, 6
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: A trigram is in the dictionary from this share of all trigrams.
 COMMON = 1e-6
-#: Characters of a run, and the places in a word where a run of MIN_LENGTH or more begins or ends.
+#: Characters of a run, and the places in a word where a run of SHORT or more begins or ends.
 RUN = "[A-Za-z0-9+/_=.@:~-]"
-BORDER = f"(?<!{RUN})(?={RUN}{{{MIN_LENGTH}}})|(?!{RUN})(?<={RUN}{{{MIN_LENGTH}}})"
+BORDER = f"(?<!{RUN})(?={RUN}{{{SHORT}}})|(?!{RUN})(?<={RUN}{{{SHORT}}})"
 #: A part of a path: names and short numbers, unlike the parts of base64 text between its slashes.
 PART = "^[._~-]*+(?:(?:[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)*+|[A-Z]{2,}+|[A-Za-z])?[0-9]{0,8}+(?:[._~-]++|$))*+$"
 NAMES = "(?i)token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth"
 FEATURES = ["length", "digits", "capitals", "marks", "changes", "transition", "coverage", "path", "address", "quoted", "assigned", "named", "near_length"]
 #: Features that weak labels are not made of: what the forest learns from when no findings are given.
-SHAPE = [x for x in FEATURES if x not in ("assigned", "named", "near_length")]
+SHAPE = [x for x in FEATURES if x not in ("assigned", "named", "quoted", "near_length")]
 
 
 def _code(c: F.Column) -> F.Column:
@@ -60,12 +64,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.coalesce(F.get(array, i), F.lit(""))
 
     def word(w: F.Column, i: F.Column) -> F.Column:
-        return F.when(F.length(w) >= MIN_LENGTH, F.struct((i + 1).cast("long").alias("place"), w.alias("word"), at("words", i - 2).alias("before2"), at("words", i - 1).alias("before"), at("words", i + 1).alias("behind")))
+        return F.when(F.length(w) >= SHORT, F.struct((i + 1).cast("long").alias("place"), w.alias("word"), at("words", i - 2).alias("before2"), at("words", i - 1).alias("before"), at("words", i + 1).alias("behind")))
 
     def run(x: F.Column, i: F.Column) -> F.Column:
         last = at("parts", i - 1)
         lead = F.when(last.rlike("^[\"'`\\\\=:>]+$"), F.concat(at("parts", i - 2), last)).otherwise(last)
-        return F.when(x.rlike(f"^{RUN}{{{MIN_LENGTH}}}"), F.struct(x.alias("value"), lead.alias("lead"), at("parts", i + 1).alias("tail"), (i < 2).alias("opens")))
+        return F.when(x.rlike(f"^{RUN}{{{MIN_LENGTH}}}|^(?=[^0-9]*[0-9]){RUN}{{{SHORT}}}"), F.struct(x.alias("value"), lead.alias("lead"), at("parts", i + 1).alias("tail"), (i < 2).alias("opens")))
 
     long = slim.select("doc_id", F.explode(F.filter(F.transform("words", word), lambda x: x.isNotNull())).alias("w")).select("doc_id", "w.*")
     parts = long.select("doc_id", "place", "before2", "before", "behind", F.split("word", BORDER).alias("parts"))
@@ -137,13 +141,14 @@ def features(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def weak_findings(rows: DataFrame) -> DataFrame:
-    """Rows of features() that name and value label without doubt, with label 0 or 1; the rest is left out."""
+    """Rows of features() that their surroundings or other documents label, with label 0 or 1; the rest is left out."""
     told = (F.col("named") == 1) & (F.col("assigned") == 1)
-    mixed = (F.col("digits") > 0.1) | ((F.col("digits") > 0) & (F.col("capitals") > 0.1))
-    credential = told & mixed & (F.col("address") == 0) & (F.col("path") == 0)
-    plain = (F.col("digits") == 0) & (F.col("named") == 0) & (F.col("marks") < 0.2) & ((F.col("capitals") < 0.1) | (F.col("coverage") > 0.9))
-    harmless = ~told & ((F.col("address") == 1) | (F.col("path") == 1) | (F.col("digits") + F.col("marks") > 0.999) | plain)
-    return rows.withColumn("label", F.when(credential, 1).when(harmless, 0)).where("label is not null")
+    harmless = rows.where((F.col("named") == 0) & (F.col("assigned") == 0))
+    words = F.transform(F.regexp_extract_all("value", F.lit(f"[A-Z]?[a-z]{{{LETTERS_TOLD},}}|[A-Z]{{{LETTERS_TOLD},}}"), 0), F.lower)
+    pieces = harmless.select("doc_id", "value", F.explode(F.array_append(words, F.concat(F.lit("="), "value"))).alias("piece"))
+    often = pieces.groupBy("piece").agg((F.min("doc_id") < F.max("doc_id")).alias("several"))
+    known = pieces.select("value", "piece").distinct().join(often.where("several"), "piece", "left_semi").select("value").distinct()
+    return rows.where(told).withColumn("label", F.lit(1)).unionByName(harmless.join(known.hint("shuffle_hash"), "value", "left_semi").withColumn("label", F.lit(0)).select(*rows.columns, "label"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
