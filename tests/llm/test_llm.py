@@ -237,7 +237,7 @@ def test_sampler_agrees_with_one_customer_at_a_time(spark):
     assert abs(got + np.mean(logs)) < 0.03, (got, -np.mean(logs))
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, ",".join(r.item_ids)) for r in decontaminate.contained_items(docs, items).collect())
     want = []
@@ -257,6 +257,9 @@ def test_decontamination(spark, docs, empty):
         want.append((-1 if i is None else i, len(ws), len(hit), ",".join(sorted(owners))))
     assert got == sorted(want) and any(x[2] for x in got)
     assert decontaminate.contained_items(empty, items).count() == 0
+    one = sorted(map(str, decontaminate.contained_items(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)  # every item is a block
+    assert sorted(map(str, decontaminate.contained_items(docs, items).collect())) == one
     assert decontaminate.contained_items(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 

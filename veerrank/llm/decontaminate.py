@@ -15,11 +15,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -126,32 +128,58 @@ def word_counts(docs: DataFrame, wanted: list[bytes]) -> dict[bytes, int]:
     return {wanted[r.word]: r.n for r in rows.toLocalIterator()}
 
 
+def _union_length(spans: Column) -> Column:
+    """Words that lie in any of the spans."""
+    seen = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def grow(seen: Column, x: Column) -> Column:
+        end = x.start + x.length
+        return F.struct(F.greatest(seen.end, end).alias("end"), (seen.n + F.greatest(end - F.greatest(seen.end, x.start), F.lit(0))).alias("n"))
+
+    return F.aggregate(F.array_sort(spans), seen, grow, lambda seen: seen.n)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, item_ids (sorted strings), unnamed, spans (start, length in words), and the text."""
+    """Per document: doc_id, n_words, n_hit, item_ids (sorted strings), unnamed, spans (start, length in words).
+
+    One block of items is one pass over the documents; of more blocks, each is a pass of its own, whose hits meet by document.
+    """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = slim.withColumn("key", F.xxhash64("doc_id", "text"))
     shares = []
     for block in _blocks(items, item_col, item_text_col, window):
         counts = word_counts(slim.select("text"), list(Counter(w for _, words in block for w in words)))
         shares.append(spark.sparkContext.broadcast((block, counts)))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [_Records(*shares[0].value)] if len(shares) == 1 else None
-        for batch in T.slices(batches, "text", BATCH_BYTES):
-            words, bounds = T.split(*T.raw(batch["text"]), T.ALNUM, lower=True)
-            hit = np.zeros(len(words) + 1, np.int64)
-            owners: dict[int, set[str | None]] = {}
-            spans: dict[int, set[tuple[int, int]]] = {}
-            for records in ready or (_Records(*s.value) for s in shares):
-                start, record = records.matches(words, bounds)
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + records.length[record], -1)
-                for row, s, r in zip(np.searchsorted(bounds, start, "right") - 1, start, record):
-                    owners.setdefault(int(row), set()).update(records.items[o] for o in records.owners[r])
-                    spans.setdefault(int(row), set()).add((int(s - bounds[row]), int(records.length[r])))
-            n_hit = T.row_sums(np.cumsum(hit)[:-1] > 0, bounds)
-            rows = range(batch.num_rows)
-            columns = [batch["doc_id"], pa.array(np.diff(bounds)), pa.array(n_hit), pa.array([sorted(x for x in owners.get(r, ()) if x is not None) for r in rows], pa.list_(pa.string())), pa.array([None in owners.get(r, ()) for r in rows]), pa.array([[{"start": a, "length": b} for a, b in sorted(spans.get(r, ()))] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "unnamed", "spans"])
-
-    return slim.mapInArrow(join, "doc_id long, n_words long, n_hit long, item_ids array<string>, unnamed boolean, spans array<struct<start: long, length: long>>")
+    def against(share: Broadcast | None):
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            records = _Records(*share.value) if share else None
+            for batch in T.slices(batches, "text", BATCH_BYTES):
+                words, bounds = T.split(*T.raw(batch["text"]), T.ALNUM, lower=True)
+                hit = np.zeros(len(words) + 1, np.int64)
+                owners: dict[int, set[str | None]] = {}
+                spans: dict[int, set[tuple[int, int]]] = {}
+                if records:
+                    start, record = records.matches(words, bounds)
+                    np.add.at(hit, start, 1)
+                    np.add.at(hit, start + records.length[record], -1)
+                    for row, s, r in zip(np.searchsorted(bounds, start, "right") - 1, start, record):
+                        owners.setdefault(int(row), set()).update(records.items[o] for o in records.owners[r])
+                        spans.setdefault(int(row), set()).add((int(s - bounds[row]), int(records.length[r])))
+                n_hit = T.row_sums(np.cumsum(hit)[:-1] > 0, bounds)
+                rows = range(batch.num_rows)
+                columns = [batch["doc_id"], batch["key"], pa.array(np.diff(bounds)), pa.array(n_hit), pa.array([sorted(x for x in owners.get(r, ()) if x is not None) for r in rows], pa.list_(pa.string())), pa.array([None in owners.get(r, ()) for r in rows]), pa.array([[{"start": a, "length": b} for a, b in sorted(spans.get(r, ()))] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_words", "n_hit", "item_ids", "unnamed", "spans"])
+
+        return keyed.mapInArrow(join, "doc_id long, key long, n_words long, n_hit long, item_ids array<string>, unnamed boolean, spans array<struct<start: long, length: long>>")
+
+    if len(shares) < 2:
+        return against(shares[0] if shares else None).drop("key")
+    found = reduce(DataFrame.unionByName, (against(s).where("n_hit > 0").select("key", "item_ids", "unnamed", "spans") for s in shares))
+    found = found.groupBy("key").agg(F.flatten(F.collect_set("item_ids")).alias("item_ids"), F.bool_or("unnamed").alias("unnamed"), F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    rows = keyed.select("doc_id", "key", n_words.alias("n_words")).join(found.hint("shuffle_hash"), "key", "left")
+    none = F.array().cast("array<string>")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start: long, length: long>>"))
+    return rows.select("doc_id", "n_words", _union_length(spans).alias("n_hit"), F.coalesce(F.array_sort(F.array_distinct("item_ids")), none).alias("item_ids"), F.coalesce("unnamed", F.lit(False)).alias("unnamed"), F.array_sort(spans).alias("spans"))
