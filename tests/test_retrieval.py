@@ -1,6 +1,7 @@
 """Penalties, metrics, sources and sinks: hand-made cases, invariants, and every query against its SQL."""
 
 import math
+import os
 
 import duckdb
 import numpy as np
@@ -82,6 +83,10 @@ def test_sources(spark, tmp_path):
     lists = spark.createDataFrame([("a-og", ["x", "y"], 0), ("a-changed", ["z"], 1)], ["qid", "results", "o"])
     assert [r.doc_id for r in readers.candidates(lists, F.col("o")).orderBy("pos").collect()] == ["x", "y"]
     texts = spark.createDataFrame([("1-og", "q"), ("1-other", "q")], ["_id", "text"])
+    twice = spark.createDataFrame([("1-og", "first", 0), ("1-og", "last", 1)], ["query-id", "instruction", "o"])
+    assert [r.instruction for r in readers.queries(texts, twice, F.col("o")).collect()] == ["last"]
+    parts = spark.createDataFrame([("z", 1, 0), ("a", 2, 1)], "split string, v int, o int")
+    assert readers.split_of(parts, "test", F.col("o")).first().v == 1 and readers.split_of(parts, "a", F.col("o")).first().v == 2
     told = spark.createDataFrame([("1-og", "only old")], ["query-id", "instruction"])
     assert [tuple(r) for r in readers.queries(texts, told).collect()] == [("1-og", "1", "og", "q", "only old")]
     (tmp_path / "d.jsonl").write_text('{"qid": "1", "q_plus": "a"}\nnot json\n{"qid": "1", "q_plus": "b"}\n')
@@ -99,7 +104,7 @@ def test_run_files_round_trip(spark, tmp_path):
 
 
 def test_resume_equals_one_run(spark, tmp_path):
-    points = grid.preset(spark, "wide")
+    points = grid.preset(spark, "fine_grained")
     half = points.where("param_index < 5").withColumn("p_mrr", F.col("alpha"))
     sinks.append_results(half, str(tmp_path / "r"))
     sinks.append_results(grid.remaining(points, spark.read.parquet(str(tmp_path / "r"))).withColumn("p_mrr", F.col("alpha")), str(tmp_path / "r"))
@@ -109,14 +114,47 @@ def test_resume_equals_one_run(spark, tmp_path):
         grid.preset(spark, "other")
 
 
-def test_stream_drains_each_record_once(spark, tmp_path):
+def test_stream_keeps_the_last_value(spark, tmp_path):
+    """Each line is drained once; a query that returns to an earlier value has it again."""
     folder = tmp_path / "log"
     folder.mkdir()
-    (folder / "a.json").write_text('{"qid": "1", "query_type": "og", "q_plus": "a"}\n' * 2)
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    for _ in range(2):
+    for i, value in enumerate("aba"):
+        (folder / f"{i}.json").write_text(f'{{"qid": "1", "query_type": "og", "q_plus": "{value}"}}\n' * 2)
+        os.utime(folder / f"{i}.json", (1_000_000 + i, 1_000_000 + i))
         cache_log.drain(cache_log.cache_stream(spark, str(folder)), out, mark).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    rows = spark.read.parquet(out)
+    assert rows.count() == 6 and [r.q_plus for r in cache_log.latest(rows).collect()] == ["a"]
+
+
+def test_ends_are_cleared_of_all_white_space(spark):
+    row = spark.range(1).select(K.token_length(F.lit("\tfoo bar\n")).alias("n"), K.query_text(F.lit("q"), F.lit("do it\n\u3000")).alias("q"), K.mask_strict(F.lit("\n none\t")).alias("m"), K.token_length(F.lit("\n")).alias("z")).first()
+    assert tuple(row) == (2, "q do it", 0.0, 0)
+
+
+def test_defaults_of_conditional_penalties(spark):
+    """Documents above the default thresholds stay as they are."""
+    s = Streams(F.col("sb"), F.col("sn"), F.lit(0.1), F.lit(1.0))
+    row = spark.createDataFrame([(0.75, 0.5), (0.65, 0.5), (0.4, 0.25), (0.4, 0.35)], "sb double, sn double").select("sb", PENALTIES["conditional"](s).alias("c"), PENALTIES["triple"](s).alias("t")).collect()
+    assert [r.c == r.sb for r in row] == [True, False, False, False] and [r.t == r.sb for r in row] == [True, True, True, False]
+
+
+def test_blocks_of_queries_score_each_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(50)] + [(99, None, 0)], "doc long, embedding array<float>, label int")
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(9)] + [(3, [1.0, 3.0]), (20, None)], "q long, v array<float>")
+    whole = sorted(map(tuple, ranking.score_all(queries, docs, {"s": "v"}, ("label",)).collect()))
+    monkeypatch.setattr(ranking, "BLOCK_QUERIES", 2)
+    assert whole == sorted(map(tuple, ranking.score_all(queries, docs, {"s": "v"}, ("label",)).collect())) and len(whole) == 500
+    assert all(r[2] == r[1] % 2 for r in whole)
+    few = ranking.score_all(queries.where("q <> 3"), docs, {"s": "v"}, top=("s", 3))
+    assert few.count() < 120 and ranking.top_k(few, "s", 3).count() == 24
+    assert sorted(map(tuple, ranking.top_k(few, "s", 3).collect())) == sorted(map(tuple, ranking.top_k(ranking.score_all(queries.where("q <> 3"), docs, {"s": "v"}), "s", 3).collect()))
+
+
+def test_places_run_through_spans(spark):
+    rows = [(g, m, n) for g in "ab" for m in range(0, 50, 3) for n in (1, 2)]
+    got = ranking.numbered(spark.createDataFrame(rows, "g string, m long, n int").repartition(5), "g", "m", "n", span=4)
+    assert sorted((r.g, r.place, r.m, r.n) for r in got.collect()) == [(g, i, m, n) for g in "ab" for i, (m, n) in enumerate((m, n) for k, m, n in rows if k == g)]
 
 
 def test_training_steps(spark):

@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NONE = "[NONE]"
+#: White space that ends of texts are cleared of, as in Unicode's definition.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def base_qid(qid: Column) -> Column:
@@ -22,7 +29,7 @@ def numeric_id(qid: Column) -> Column:
 
 
 def query_text(query: Column, instruction: Column) -> Column:
-    return F.trim(F.concat_ws(" ", query, F.coalesce(instruction, F.lit(""))))
+    return strip(F.concat_ws(" ", query, F.coalesce(instruction, F.lit(""))))
 
 
 def document_text(title: Column, body: Column) -> Column:
@@ -31,7 +38,7 @@ def document_text(title: Column, body: Column) -> Column:
 
 def mask_strict(q: Column) -> Column:
     """0 where the negative text is null, blank or any spelling of none."""
-    return F.when(q.isNull() | F.upper(F.trim(q)).isin("", "[NONE]", "NONE", "NULL", "N/A"), 0.0).otherwise(1.0)
+    return F.when(q.isNull() | F.upper(strip(q)).isin("", "[NONE]", "NONE", "NULL", "N/A"), 0.0).otherwise(1.0)
 
 
 def mask_marker(q: Column) -> Column:
@@ -40,7 +47,7 @@ def mask_marker(q: Column) -> Column:
 
 
 def mask_blank(q: Column) -> Column:
-    return F.when(q.isNull() | (q == NONE) | (F.trim(q) == ""), 0.0).otherwise(1.0)
+    return F.when(q.isNull() | (q == NONE) | (strip(q) == ""), 0.0).otherwise(1.0)
 
 
 def mask_exact(q: Column) -> Column:
@@ -54,7 +61,7 @@ def mask_vector(v: Column) -> Column:
 
 def negative_terms(q: Column) -> Column:
     """Comma-separated terms, trimmed, blanks left out."""
-    return F.filter(F.transform(F.split(q, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(q, ","), strip), lambda t: t != "")
 
 
 def first_term_in(terms: Column, text: Column) -> Column:
@@ -63,8 +70,8 @@ def first_term_in(terms: Column, text: Column) -> Column:
 
 
 def token_length(text: Column) -> Column:
-    trimmed = F.trim(text)
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    trimmed = F.coalesce(strip(text), F.lit(""))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"[{_BLANKS}]+")))
 
 
 def file_name(name: Column) -> Column:
@@ -79,7 +86,7 @@ def rank_score(og: Column, new: Column) -> Column:
 def grid_points(text: Column) -> Column:
     """'a,t;a,t' as an array of (alpha, tau); pairs that are not two numbers are left out."""
     parts = F.transform(F.split(text, ";"), lambda p: F.split(p, ","))
-    points = F.transform(parts, lambda p: F.struct(F.trim(F.get(p, F.lit(0))).try_cast("double").alias("alpha"), F.trim(F.get(p, F.lit(1))).try_cast("double").alias("tau"), F.size(p).alias("n")))
+    points = F.transform(parts, lambda p: F.struct(strip(F.get(p, F.lit(0))).try_cast("double").alias("alpha"), strip(F.get(p, F.lit(1))).try_cast("double").alias("tau"), F.size(p).alias("n")))
     return F.filter(points, lambda p: (p.n == 2) & p.alpha.isNotNull() & p.tau.isNotNull())
 
 
@@ -87,8 +94,8 @@ def marked_sides(text: Column) -> tuple[Column, Column]:
     """The positive and negative side of 'Q+: ... Q-: ...'; without a negative marker the negative side is NONE."""
     plus, minus = F.contains(text, F.lit("Q+:")), F.contains(text, F.lit("Q-:"))
     parts = F.split(text, "Q-:")
-    positive = F.when(plus & minus, F.trim(F.replace(F.get(parts, F.lit(0)), F.lit("Q+:"), F.lit("")))).when(plus, F.trim(F.replace(text, F.lit("Q+:"), F.lit("")))).otherwise(text)
-    return positive, F.when(plus & minus, F.trim(F.get(parts, F.lit(1)))).otherwise(NONE)
+    positive = F.when(plus & minus, strip(F.replace(F.get(parts, F.lit(0)), F.lit("Q+:"), F.lit("")))).when(plus, strip(F.replace(text, F.lit("Q+:"), F.lit("")))).otherwise(text)
+    return positive, F.when(plus & minus, strip(F.get(parts, F.lit(1)))).otherwise(NONE)
 
 
 def prompt(text: Column, passage: Column) -> Column:

@@ -112,11 +112,11 @@ def combined(s: Streams, alpha: float = 1.0, share: float = 0.5, beta: float = 5
     return s.sb - alpha * (share * relu(s.sn - s.tau) + (1 - share) * softplus(s.sn - s.tau, beta)) * s.mask
 
 
-def conditional(s: Streams, alpha: float = 1.0, below: float = 0.1, beta: float = 50.0) -> Column:
+def conditional(s: Streams, alpha: float = 1.0, below: float = 0.7, beta: float = 50.0) -> Column:
     return s.sb - alpha * _when(s.sb < below) * softplus(s.sn - s.tau, beta) * s.mask
 
 
-def gradual(s: Streams, alpha: float = 1.0, below: float = 0.1, beta: float = 50.0) -> Column:
+def gradual(s: Streams, alpha: float = 1.0, below: float = 0.7, beta: float = 50.0) -> Column:
     return s.sb - alpha * (1 - sigmoid(10 * (s.sb - below))) * softplus(s.sn - s.tau, beta) * s.mask
 
 
@@ -124,7 +124,7 @@ def smart(s: Streams, alpha: float = 1.0, beta: float = 50.0) -> Column:
     return s.sb - alpha * sigmoid(10 * (s.sn - s.sb)) * softplus(s.sn - s.tau, beta) * s.mask
 
 
-def selective(s: Streams, alpha: float = 1.0, below: float = 0.1, boost: float = 0.1, beta: float = 50.0) -> Column:
+def selective(s: Streams, alpha: float = 1.0, below: float = 0.5, boost: float = 0.1, beta: float = 50.0) -> Column:
     return s.sb - alpha * sigmoid(10 * (s.sn - s.sb + boost)) * sigmoid(10 * (below - s.sb)) * softplus(s.sn - s.tau, beta) * s.mask
 
 
@@ -132,7 +132,7 @@ def harm_aware(s: Streams, alpha: float = 1.0, gamma: float = 1.0, beta: float =
     return s.sb - alpha * F.exp(gamma * relu(s.sn - s.sb)) * softplus(s.sn - s.tau, beta) * s.mask
 
 
-def triple(s: Streams, alpha: float = 1.0, below: float = 0.1, above: float = 0.0, beta: float = 50.0) -> Column:
+def triple(s: Streams, alpha: float = 1.0, below: float = 0.5, above: float = 0.3, beta: float = 50.0) -> Column:
     return s.sb - alpha * _when(s.sb < below) * _when(s.sn > above) * _when(s.sn > s.tau) * softplus(s.sn - s.tau, beta) * s.mask
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .ranking import last_wins
 
-#: Preset sweeps: strengths and thresholds.
+#: Preset sweeps, fixed values: strengths and thresholds, every pair of them.
 PRESETS = {
-    "balanced": ((0.5, 1.0, 2.0), (0.0, 0.05, 0.1)),
-    "low": ((0.25, 0.5, 0.75), (0.05, 0.1, 0.15)),
-    "high": ((2.0, 3.0, 5.0), (-0.05, 0.0, 0.05)),
-    "wide": ((0.5, 1.0, 2.0, 4.0), (-0.05, 0.0, 0.1, 0.2)),
-    "fine": ((0.5, 0.75, 1.0, 1.5, 2.0), (-0.05, 0.0, 0.05, 0.1, 0.15)),
+    "conservative": ((0.5, 0.8, 1.0), (0.50, 0.55, 0.60)),
+    "balanced": ((0.8, 1.0, 1.2), (0.45, 0.50, 0.55)),
+    "aggressive": ((1.0, 1.2, 1.5), (0.40, 0.45, 0.50)),
+    "fine_grained": ((0.6, 0.8, 1.0, 1.2), (0.40, 0.45, 0.50, 0.55)),
+    "repllama_25": ((0.5, 0.8, 1.2, 1.5, 2.0), (0.50, 0.60, 0.70, 0.80, 0.90)),
 }
 
 
@@ -25,7 +25,7 @@ def points(spark: SparkSession, **axes: tuple[float, ...]) -> DataFrame:
     return spark.createDataFrame(rows, "param_index long, " + ", ".join(f"{a} double" for a in axes))
 
 
-def preset(spark: SparkSession, name: str) -> DataFrame:
+def preset(spark: SparkSession, name: str = "balanced") -> DataFrame:
     if name not in PRESETS:
         raise ValueError(f"unknown grid {name!r}; known: {', '.join(PRESETS)}")
     alphas, taus = PRESETS[name]

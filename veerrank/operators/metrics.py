@@ -21,12 +21,12 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...], keys: tuple
     """
     relevant = F.col("rel") > 0
     judged = F.col("rel").isNotNull() if binary == "present" else relevant
-    joined = run.join(qrels, [*keys, "doc"], "left").withColumn("gain", F.when(relevant, F.col("rel").cast("double")).otherwise(0.0)).withColumn("hit", F.when(judged, 1.0).otherwise(0.0))
+    # Everything below the largest cut-off is all that any measure needs, running sums included.
+    joined = run.where(F.col("rank") <= max(ks)).join(qrels, [*keys, "doc"], "left").withColumn("gain", F.when(relevant, F.col("rel").cast("double")).otherwise(0.0)).withColumn("hit", F.when(judged, 1.0).otherwise(0.0))
     upto = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn("precision", F.sum("hit").over(upto) / F.col("rank"))
     cut = F.explode(F.array(*map(F.lit, ks))).alias("k")
-    # Everything below the largest cut-off is all that any measure needs.
-    rows = joined.where(F.col("rank") <= max(ks)).select(*keys, "rank", "gain", "hit", "precision", cut).where(F.col("rank") <= F.col("k"))
+    rows = joined.select(*keys, "rank", "gain", "hit", "precision", cut).where(F.col("rank") <= F.col("k"))
     got = rows.groupBy(*keys, "k").agg(
         F.sum(F.col("gain") / _log2(F.col("rank"))).alias("dcg"),
         F.sum(F.col("hit") / _log2(F.col("rank"))).alias("dcg_binary"),

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
@@ -22,26 +23,26 @@ def score_candidates(pairs: DataFrame, queries: DataFrame, documents: DataFrame,
     return joined.select(*[c for c in joined.columns if c != "_d" and c not in streams.values()], *(dot(v, "_d").alias(s) for s, v in streams.items()))
 
 
-def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str]) -> DataFrame:
-    """q, doc and one score per stream for every query and document, by blocked matrix products in Arrow batches.
+def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str], carry: tuple[str, ...] = (), top: tuple[str, int] | None = None) -> DataFrame:
+    """q, doc, the carried columns of documents and one score per stream for every query and document, by blocked matrix products in Arrow batches.
 
-    The query side is a stated set, read in blocks of bounded size; documents are neither moved nor collected, and
-    those without a vector have no scores.
+    The query side is a stated set, read in blocks of bounded size (a query's hash names its block, so repeated ids stay
+    together); documents are neither moved nor collected. Queries and documents without a vector have no scores. top:
+    a stream and k; of each batch only the documents leave that can be among a query's first k (by score, then doc).
     """
     spark, out = documents.sparkSession, None
-    shape = "q long, doc long, " + ", ".join(f"{s} double" for s in streams)
-    sides = queries.select("q", *streams.values())
-    blocks = [sides.limit(BLOCK_QUERIES + 1).toArrow()]
-    if blocks[0].num_rows > BLOCK_QUERIES:
-        ids = queries.select("q").orderBy("q").toArrow()["q"].to_pylist()
-        cuts = range(0, len(ids), BLOCK_QUERIES)
-        blocks = (sides.where(F.col("q").between(ids[at], ids[min(at + BLOCK_QUERIES, len(ids)) - 1])).toArrow() for at in cuts)
+    carried = documents.select(*carry).schema.fields
+    shape = S.StructType([S.StructField("q", S.LongType()), S.StructField("doc", S.LongType()), *carried, *(S.StructField(s, S.DoubleType()) for s in streams)])
+    sides = queries.select("q", *streams.values()).dropna(subset=list(streams.values()))
+    n_blocks = max(1, -(-sides.count() // BLOCK_QUERIES))
+    names = [f.name for f in shape]
 
     def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    for rows in blocks:
+    for block in range(n_blocks):
+        rows = sides.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block).toArrow()
         numbers = rows["q"].to_numpy()
         share = spark.sparkContext.broadcast((numbers, [matrix(rows[v]) for v in streams.values()] if len(numbers) else []))
 
@@ -52,11 +53,17 @@ def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str])
                     continue
                 vectors, docs = matrix(batch["embedding"]), batch["doc"].to_numpy()
                 for lo in range(0, len(vectors), 1024):
-                    part = vectors[lo : lo + 1024]
-                    doc = np.repeat(docs[lo : lo + 1024], len(numbers))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(numbers, len(part))), pa.array(doc), *(pa.array((part @ side.T).ravel()) for side in sides)], ["q", "doc", *streams])
-
-        found = documents.where("embedding is not null").select("doc", "embedding").mapInArrow(multiply, shape)
+                    scores = [vectors[lo : lo + 1024] @ side.T for side in sides]
+                    at, who = np.indices(scores[0].shape).reshape(2, -1)
+                    if top and top[1] < len(scores[0]):
+                        by = scores[list(streams).index(top[0])]
+                        keep = by >= -np.partition(-by, top[1] - 1, axis=0)[top[1] - 1]  # ties with the k-th stay for the ranking
+                        at, who = np.nonzero(keep)
+                    place = pa.array(at + lo)
+                    parts = [pa.array(numbers[who]), pa.array(docs[at + lo]), *(batch[c].take(place) for c in carry), *(pa.array(x[at, who]) for x in scores)]
+                    yield pa.RecordBatch.from_arrays(parts, names)
+
+        found = documents.where("embedding is not null").select("doc", "embedding", *carry).mapInArrow(multiply, shape)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -71,12 +78,31 @@ def top_k(scored: DataFrame, score: str, k: int, keys: tuple[str, ...] = ("q",),
     return ranked(scored, score, keys, tie).where(F.col("rank") <= k)
 
 
+def _one(rows: DataFrame, keys: tuple[str, ...], order: Column) -> DataFrame:
+    """The first row of each key; rows of equal order are told apart by a hash of all they hold."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.xxhash64(*rows.columns)))
+    return rows.withColumn("_n", place).where("_n = 1").drop("_n")
+
+
 def first_wins(rows: DataFrame, keys: tuple[str, ...], ordinal: Column) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal.asc()))).where("_n = 1").drop("_n")
+    return _one(rows, keys, ordinal.asc())
 
 
 def last_wins(rows: DataFrame, keys: tuple[str, ...], ordinal: Column) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal.desc()))).where("_n = 1").drop("_n")
+    return _one(rows, keys, ordinal.desc())
+
+
+def numbered(rows: DataFrame, group: str, major: str, minor: str, span: int = 4096) -> DataFrame:
+    """Rows with place: their number from 0 within group in the order of major (a whole number), then minor.
+
+    Spans of `span` majors are numbered apart; only a row for each span meets in the running sum over a group.
+    """
+    block = F.floor(F.col(major) / span)
+    inside = F.row_number().over(Window.partitionBy(group, "_block").orderBy(major, minor)) - 1
+    marked = rows.withColumn("_block", block)
+    sizes = marked.groupBy(group, "_block").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(group).orderBy("_block")) - F.col("_size"))
+    return marked.withColumn("_inside", inside).join(before.drop("_size"), [group, "_block"]).withColumn("place", F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside")
 
 
 def query_statistics(scored: DataFrame, column: str, gamma: Column | float, keys: tuple[str, ...] = ("q",)) -> DataFrame:

@@ -6,10 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
+#: Pieces of a gradient, and the partial sums of each.
+CHUNKS, SALTS = 256, 64
+_PIECE = S.StructType([S.StructField("at", S.IntegerType()), S.StructField("salt", S.IntegerType()), S.StructField("value", S.BinaryType()), S.StructField("loss", S.DoubleType()), S.StructField("n", S.LongType())])
+
 
 def expand_pairs(rows: DataFrame, num_neg: int = 15) -> DataFrame:
     """idx, query, pos, neg: each positive with the first num_neg negatives; rows without either are left out."""
@@ -49,7 +56,7 @@ def gate(weights: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], most: f
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w1, b1, w2, b2 = weights
         for vectors in batches:
-            x = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+            x = np.stack(vectors.to_numpy()).astype(np.float64)
             z = 1 / (1 + np.exp(-(np.maximum(x @ w1 + b1, 0) @ w2 + b2)))
             yield pd.DataFrame({"alpha": z[:, 0] * most, "tau": low + z[:, 1] * (high - low)})
 
@@ -59,14 +66,16 @@ def gate(weights: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], most: f
 def projection_step(weight: np.ndarray, pairs: DataFrame, rate: float = 0.5, margin: float = 0.1) -> tuple[np.ndarray, float]:
     """One full gradient step of a linear projection that pulls q to pos and pushes it from neg by a hinge.
 
-    pairs: q, pos, neg (arrays). Gradients are summed on executors, a matrix per partition; only their sum comes back.
+    pairs: q, pos, neg (arrays). Each partition sums its own gradient and sends it in CHUNKS pieces of whole rows; pieces are
+    added in two steps, so that no task holds all partitions', and one matrix comes back.
     """
     dim = len(weight)
+    cuts = np.linspace(0, dim, min(CHUNKS, dim) + 1).astype(int)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, loss, n = np.zeros((dim, dim)), 0.0, 0
         for batch in batches:
-            q, p, m = (np.array(batch[c].tolist(), np.float64) for c in ("q", "pos", "neg"))
+            q, p, m = (batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for c in ("q", "pos", "neg"))
             z = q @ weight.T
             size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
             u = z / size
@@ -76,8 +85,16 @@ def projection_step(weight: np.ndarray, pairs: DataFrame, rate: float = 0.5, mar
             total += ((g - u * (g * u).sum(axis=1, keepdims=True)) / size).T @ q
             loss += gap[live].sum()
             n += len(q)
-        yield pd.DataFrame({"at": np.arange(dim * dim + 2), "value": np.append(total.ravel(), [loss, n])})
-
-    got = pairs.mapInPandas(partial, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")["value"].to_numpy()
-    n = max(1.0, got[-1])
-    return weight - rate * got[:-2].reshape(dim, dim) / n, got[-2] / n
+        at = range(len(cuts) - 1)
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([salt] * len(at), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([loss] + [0.0] * (len(at) - 1)), pa.array([n] + [0] * (len(at) - 1), pa.int64())], _PIECE.names)
+
+    def add(table: pa.Table) -> pa.Table:
+        value = sum(np.frombuffer(x, np.float64) for x in table["value"].to_pylist())
+        return pa.table({"at": table["at"][:1], "salt": pa.array([0], pa.int32()), "value": pa.array([value.tobytes()], pa.binary()), "loss": pa.array([sum(table["loss"].to_pylist())]), "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
+
+    pieces = pairs.select("q", "pos", "neg").mapInArrow(partial, _PIECE)
+    got = pieces.groupBy("at", "salt").applyInArrow(add, _PIECE).groupBy("at").applyInArrow(add, _PIECE).toArrow().sort_by("at")
+    gradient = np.frombuffer(b"".join(got["value"].to_pylist()), np.float64).reshape(dim, dim)
+    n = max(1, sum(got["n"].to_pylist()))
+    return weight - rate * gradient / n, sum(got["loss"].to_pylist()) / n

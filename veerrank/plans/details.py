@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import keys as K
 from ..operators import metrics, ranking, training
+from ..sources.shared import stash
 from . import fixture as X
 from .queries import _CLASSIC, _CLASSIC_SWEEP, _METRICS, _changed, _per_query, query, sweep_classic
 
@@ -21,7 +22,7 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
   WITH marked AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Q+: ' || source || ' Q-: ' || lang || ' ' WHEN 1 THEN 'Q+:' || source ELSE source END AS t FROM documents)
-  SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN t ELSE trim(replace(string_split(t, 'Q-:')[1], 'Q+:', '')) END AS positive, CASE WHEN contains(t, 'Q-:') THEN trim(string_split(t, 'Q-:')[2]) ELSE '[NONE]' END AS negative FROM marked""")
+  SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN t ELSE trim(replace(string_split(t, 'Q-:')[1], 'Q+:', ''), {BLANKS}) END AS positive, CASE WHEN contains(t, 'Q-:') THEN trim(string_split(t, 'Q-:')[2], {BLANKS}) ELSE '[NONE]' END AS negative FROM marked""")
 def marked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, i = X.table(spark, sf_dir, "documents"), F.col("doc_id") % 3
     text = F.when(i == 0, F.concat(F.lit("Q+: "), "source", F.lit(" Q-: "), "lang", F.lit(" "))).when(i == 1, F.concat(F.lit("Q+:"), "source")).otherwise(F.col("source"))
@@ -107,7 +108,7 @@ _FIRST = "SELECT q, min(rank) AS first FROM {run} JOIN {qrels} USING (q, doc) GR
 @query(f"{_CLASSIC}, a AS ({_FIRST.format(run='og', qrels='qrels_changed')}), b AS ({_FIRST.format(run='new', qrels='qrels_changed')}) SELECT q, round((1e0 / b.first - 1e0 / a.first) / (1e0 / a.first), 6) AS change FROM a JOIN b USING (q)", fixture=True)
 def reciprocal_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative change of each query's reciprocal rank."""
-    rows = _changed(spark, sf_dir).persist()
+    rows = stash(_changed(spark, sf_dir), "scored")
     judged = X.qrels(rows, True)
     first = [ranking.ranked(rows, s).join(judged, ["q", "doc"]).groupBy("q").agg((1 / F.min("rank")).alias(n)) for s, n in (("so", "a"), ("score", "b"))]
     return first[0].join(first[1], "q").select("q", F.round(K.relative_change(F.col("a"), F.col("b")), 6).alias("change"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..operators.ranking import score_all
 
-N_QUERIES = 20
+#: Every embedding whose id is a multiple of this is a query.
+QUERY_STEP = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,19 +24,19 @@ def dual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q, mask, and the vectors orig, qp (positive side) and qm (negative side) of each query."""
     docs = documents(spark, sf_dir)
     n = docs.count()
-    base = docs.where(F.col("doc") < N_QUERIES).select(F.col("doc").alias("q"), F.col("embedding").alias("orig"), F.col("label").alias("q_label"))
+    base = docs.where(F.col("doc") % QUERY_STEP == 0).select(F.col("doc").alias("q"), F.col("embedding").alias("orig"), F.col("label").alias("q_label"))
     keyed = base.withColumns({"p_id": (17 * F.col("q") + 3) % n, "m_id": (37 * F.col("q") + 11) % n, "mask": F.when(F.col("q") % 3 == 0, 0.0).otherwise(1.0)})
     plus = docs.select(F.col("doc").alias("p_id"), F.col("embedding").alias("qp"))
     minus = docs.select(F.col("doc").alias("m_id"), F.col("embedding").alias("qm"))
     return keyed.join(plus, "p_id").join(minus, "m_id").select("q", "q_label", "mask", "orig", "qp", "qm")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q, doc, mask, tau_q (dynamic threshold), so, sb, sn, label, q_label of each candidate pair."""
+def scored(spark: SparkSession, sf_dir: str, top: tuple[str, int] | None = None) -> DataFrame:
+    """q, doc, mask, tau_q (dynamic threshold), so, sb, sn, label, q_label of each candidate pair: every query with every other document; top: as in score_all."""
     queries, docs = dual(spark, sf_dir), documents(spark, sf_dir)
-    scores = score_all(queries, docs, {"so": "orig", "sb": "qp", "sn": "qm"}).where(((31 * F.col("doc") + 17 * F.col("q")) % 5 != 0) & (F.col("doc") != F.col("q")))
+    scores = score_all(queries, docs, {"so": "orig", "sb": "qp", "sn": "qm"}, ("label",), top).where(F.col("doc") != F.col("q"))
     sides = queries.select("q", "q_label", "mask", F.least(cosine("orig", "qm"), cosine("qp", "qm")).alias("tau_q"))
-    return scores.join(F.broadcast(sides), "q").join(docs.select("doc", "label"), "doc")
+    return scores.join(sides, "q")
 
 
 def qrels(scored_rows: DataFrame, changed: bool) -> DataFrame:
@@ -55,12 +56,12 @@ n AS (SELECT count(*) AS n FROM embeddings),
 dual AS (
   SELECT b.vec_id AS q, b.label AS q_label, b.embedding::DOUBLE[] AS orig, p.embedding::DOUBLE[] AS qp, m.embedding::DOUBLE[] AS qm, CASE WHEN b.vec_id % 3 = 0 THEN 0e0 ELSE 1e0 END AS mask
   FROM embeddings b CROSS JOIN n JOIN embeddings p ON p.vec_id = (17 * b.vec_id + 3) % n.n JOIN embeddings m ON m.vec_id = (37 * b.vec_id + 11) % n.n
-  WHERE b.vec_id < 20),
+  WHERE b.vec_id % 100 = 0),
 taus AS (
   SELECT q, least(list_dot_product(orig, qm) / greatest(sqrt(list_dot_product(orig, orig)) * sqrt(list_dot_product(qm, qm)), 1e-8), list_dot_product(qp, qm) / greatest(sqrt(list_dot_product(qp, qp)) * sqrt(list_dot_product(qm, qm)), 1e-8)) AS tau_q FROM dual),
 scored AS (
   SELECT d.q, e.vec_id AS doc, d.mask, d.q_label, e.label, t.tau_q, list_dot_product(d.orig, e.embedding::DOUBLE[]) AS so, list_dot_product(d.qp, e.embedding::DOUBLE[]) AS sb, list_dot_product(d.qm, e.embedding::DOUBLE[]) AS sn
-  FROM dual d JOIN taus t USING (q) CROSS JOIN embeddings e WHERE (31 * e.vec_id + 17 * d.q) % 5 <> 0 AND e.vec_id <> d.q),
+  FROM dual d JOIN taus t USING (q) CROSS JOIN embeddings e WHERE e.vec_id <> d.q),
 og AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY so DESC, doc) AS rank FROM scored),
 og_plus AS (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY sb DESC, doc) AS og_rank FROM scored),
 qrels_og AS (SELECT q, doc, CASE WHEN doc % 2 = 0 THEN 2 ELSE 1 END AS rel FROM scored WHERE label = q_label),

@@ -13,19 +13,22 @@ from ..functions.penalties import PENALTIES, Streams
 from ..functions.vectors import cosine, dot, l2, normalize
 from ..operators import diagnostics, grid, metrics, ranking, training
 from ..sources import readers, sinks
+from ..sources.shared import stash
 from . import fixture as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 KS = (1, 3, 5, 10, 100)
+#: White space that Unicode knows, as SQL text; queries write {BLANKS} for it.
+BLANKS = "concat(" + ", ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)) + ")"
 
 
 def query(sql: str | None = None, fixture: bool = False):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (f"WITH {X.SQL}, " if fixture else "") + sql.strip()
+            ORACLES[f.__name__] = ((f"WITH {X.SQL}, " if fixture else "") + sql.strip()).replace("{BLANKS}", BLANKS)
         return f
 
     return add
@@ -62,12 +65,12 @@ PENALTY_SQL: dict[str, tuple[dict, str]] = {
     "exponential": ({}, f"sb - (exp(5e0 * greatest({_O}, 0e0)) - 1e0) / 5e0 * mask"),
     "rank_aware": ({}, f"sb - (1e0 + (1e0 - sb) * (1e0 - sb)) * {_soft(_O, 50)} * mask"),
     "combined": ({}, f"sb - (0.5e0 * greatest({_O}, 0e0) + 0.5e0 * {_soft(_O, 50)}) * mask"),
-    "conditional": ({}, f"sb - CASE WHEN sb < 0.1e0 THEN 1e0 ELSE 0e0 END * {_soft(_O, 50)} * mask"),
-    "gradual": ({}, f"sb - (1e0 - {_sig('10e0 * (sb - 0.1e0)')}) * {_soft(_O, 50)} * mask"),
+    "conditional": ({"below": 0.1}, f"sb - CASE WHEN sb < 0.1e0 THEN 1e0 ELSE 0e0 END * {_soft(_O, 50)} * mask"),
+    "gradual": ({"below": 0.1}, f"sb - (1e0 - {_sig('10e0 * (sb - 0.1e0)')}) * {_soft(_O, 50)} * mask"),
     "smart": ({}, f"sb - {_sig('10e0 * (sn - sb)')} * {_soft(_O, 50)} * mask"),
-    "selective": ({}, f"sb - {_sig('10e0 * (sn - sb + 0.1e0)')} * {_sig('10e0 * (0.1e0 - sb)')} * {_soft(_O, 50)} * mask"),
+    "selective": ({"below": 0.1}, f"sb - {_sig('10e0 * (sn - sb + 0.1e0)')} * {_sig('10e0 * (0.1e0 - sb)')} * {_soft(_O, 50)} * mask"),
     "harm_aware": ({}, f"sb - exp(greatest(sn - sb, 0e0)) * {_soft(_O, 50)} * mask"),
-    "triple": ({}, f"sb - CASE WHEN sb < 0.1e0 THEN 1e0 ELSE 0e0 END * CASE WHEN sn > 0e0 THEN 1e0 ELSE 0e0 END * CASE WHEN sn > tau THEN 1e0 ELSE 0e0 END * {_soft(_O, 50)} * mask"),
+    "triple": ({"below": 0.1, "above": 0.0}, f"sb - CASE WHEN sb < 0.1e0 THEN 1e0 ELSE 0e0 END * CASE WHEN sn > 0e0 THEN 1e0 ELSE 0e0 END * CASE WHEN sn > tau THEN 1e0 ELSE 0e0 END * {_soft(_O, 50)} * mask"),
 }
 
 
@@ -105,15 +108,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT q, doc, rank, round(so, 6) AS score FROM (SELECT q, doc, so, row_number() OVER (PARTITION BY q ORDER BY so DESC, doc) AS rank FROM scored) WHERE rank <= 100""", fixture=True)
 def baseline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates ranked by the original query alone, 100 kept."""
-    return ranking.top_k(X.scored(spark, sf_dir), "so", 100).select("q", "doc", "rank", F.round("so", 6).alias("score"))
+    return ranking.top_k(X.scored(spark, sf_dir, ("so", 101)), "so", 100).select("q", "doc", "rank", F.round("so", 6).alias("score"))
 
 
-@query("SELECT q, doc, round(so, 6) AS so, round(sb, 6) AS sb, round(sn, 6) AS sn FROM scored WHERE q < 5", fixture=True)
+@query("SELECT q, doc, round(so, 6) AS so, round(sb, 6) AS sb, round(sn, 6) AS sn FROM scored", fixture=True)
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join path: candidate pairs meet vectors first, then are scored as Columns."""
     docs = X.documents(spark, sf_dir)
-    queries = X.dual(spark, sf_dir).where("q < 5")
-    pairs = docs.select("doc").crossJoin(F.broadcast(queries.select("q"))).where(((31 * F.col("doc") + 17 * F.col("q")) % 5 != 0) & (F.col("doc") != F.col("q")))
+    queries = X.dual(spark, sf_dir)
+    pairs = X.scored(spark, sf_dir).select("q", "doc")  # the candidate lists
     rows = ranking.score_candidates(pairs, queries.select("q", "orig", "qp", "qm"), docs, {"so": "orig", "sb": "qp", "sn": "qm"})
     return rows.select("q", "doc", *(F.round(c, 6).alias(c) for c in ("so", "sb", "sn")))
 
@@ -147,7 +150,7 @@ _ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES)
 
 
 def _per_query(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
-    rows = (_changed(spark, sf_dir) if changed else X.scored(spark, sf_dir).withColumn("score", F.col("so"))).persist()
+    rows = stash(_changed(spark, sf_dir) if changed else X.scored(spark, sf_dir).withColumn("score", F.col("so")), "scored")
     run = ranking.ranked(rows, "score").select("q", "doc", "rank")
     return metrics.per_query(run, X.qrels(rows, changed), KS)
 
@@ -182,7 +185,7 @@ _BOTH = "og_run AS (SELECT q, doc, og_rank AS rank FROM og_plus), " + _CLASSIC +
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _changed(spark, sf_dir).persist()
+    rows = stash(_changed(spark, sf_dir), "scored")
     return metrics.rank_changes(ranking.ranked(rows, "sb"), ranking.ranked(rows, "score"), X.qrel_diff(rows))
 
 
@@ -204,7 +207,7 @@ def p_mrr_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sweep(spark: SparkSession, sf_dir: str, points: DataFrame, name: str) -> DataFrame:
     """p-MRR of every grid point in one plan: scored once, crossed with the small grid, ranked by point and query."""
-    rows = ranking.ranked(X.scored(spark, sf_dir), "sb", name="og_rank").persist()
+    rows = stash(ranking.ranked(X.scored(spark, sf_dir), "sb", name="og_rank"), "scored")
     if name == "distribution":
         rows = rows.withColumn("m", F.avg("sn").over(Window.partitionBy("q"))).withColumn("d", F.stddev_pop("sn").over(Window.partitionBy("q")))
     crossed = rows.crossJoin(F.broadcast(points))
@@ -241,14 +244,14 @@ def _points_sql(**axes: tuple[float, ...]) -> str:
 
 _DADT = {"gamma": (0.0, 0.5, 1.0, 1.5, 2.0), "alpha": (0.5, 1.0, 2.0)}
 _PATS = {"alpha": (0.5, 1.0, 2.0, 3.0), "tau_base": (0.0, 0.05), "lam": (0.1, 0.2, 0.3)}
-_GRID = dict(zip(("alpha", "tau"), grid.PRESETS["balanced"]))
+_GRID = {"alpha": (0.5, 1.0, 2.0), "tau": (0.0, 0.05, 0.1)}  # thresholds that the test vectors reach
 _CLASSIC_SWEEP = _sweep_sql(_points_sql(**_GRID), "alpha, tau", "sb - alpha * greatest(sn - tau, 0e0) * mask")
 _PAT_PENALTY = "alpha * greatest(sn - (tau_base + lam * sb), 0e0) * mask"
 
 
 @query(_CLASSIC_SWEEP + "SELECT * FROM result", fixture=True)
 def sweep_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sweep(spark, sf_dir, grid.preset(spark, "balanced"), "classic")
+    return _sweep(spark, sf_dir, grid.points(spark, **_GRID), "classic")
 
 
 @query(_sweep_sql(_points_sql(**_DADT), "gamma, alpha", "sb - alpha * greatest(sn - (m + gamma * d), 0e0) * mask") + "SELECT * FROM result", fixture=True)
@@ -279,14 +282,14 @@ def sweep_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CLASSIC_SWEEP + "SELECT * FROM result WHERE param_index % 3 <> 0", fixture=True)
 def sweep_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only points without a result are run; every third has one."""
-    points = grid.preset(spark, "balanced")
+    points = grid.points(spark, **_GRID)
     return _sweep(spark, sf_dir, grid.remaining(points, points.where("param_index % 3 = 0")), "classic")
 
 
 @query(_CLASSIC + """
   SELECT q, doc, o.rank AS rank_before, w.rank AS rank_after, CAST(j.rel AS BIGINT) AS rel FROM og o JOIN new w USING (q, doc) JOIN qrels_og j USING (q, doc) WHERE o.rank <= 10 AND w.rank > 20""", fixture=True)
 def victims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _changed(spark, sf_dir).persist()
+    rows = stash(_changed(spark, sf_dir), "scored")
     return diagnostics.victims(ranking.ranked(rows, "so"), ranking.ranked(rows, "score"), X.qrels(rows, False)).withColumn("rel", F.col("rel").cast("long"))
 
 
@@ -302,13 +305,13 @@ def deviation_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
   good AS (SELECT j.q, b.rank AS irrelevant_rank, min(j.rank) AS relevant_rank FROM judged j JOIN bad b USING (q) WHERE j.rel > 0 AND j.rank > b.rank GROUP BY j.q, b.rank)
   SELECT q, irrelevant_rank, relevant_rank FROM good""", fixture=True)
 def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.scored(spark, sf_dir).persist()
+    rows = stash(X.scored(spark, sf_dir), "scored")
     return diagnostics.inversions(ranking.ranked(rows, "so"), X.qrels(rows, False)).select("q", "irrelevant_rank", "relevant_rank")
 
 
 @query("SELECT format('{}-og Q0 {} {} {:.6f} base', q, doc, rank, score) AS line FROM (SELECT q, doc, so AS score, row_number() OVER (PARTITION BY q ORDER BY so DESC, doc) AS rank FROM scored) WHERE rank <= 5", fixture=True)
 def trec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = ranking.top_k(X.scored(spark, sf_dir), "so", 5)
+    run = ranking.top_k(X.scored(spark, sf_dir, ("so", 6)), "so", 5)
     return run.select(sinks.trec_line(F.concat(F.col("q").cast("string"), F.lit("-og")), F.col("doc").cast("string"), F.col("rank"), F.col("so"), "base").alias("line"))
 
 
@@ -342,20 +345,20 @@ def vector_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy((F.col("vec_id") % 5).alias("idx")).agg(F.count("*").alias("n"), F.round(F.avg(l2("embedding")), 5).alias("length"), F.sum(K.mask_vector(F.col("embedding"))).alias("live"))
 
 
-@query("""SELECT conv_id || CASE WHEN role = 'user' THEN '-og' ELSE '-changed' END AS qid, CAST(conv_id AS VARCHAR) AS base_qid, conv_id AS number, CASE WHEN role = 'user' THEN 'og' ELSE 'changed' END AS query_type, trim(concat_ws(' ', left(text, 20), coalesce(role, ''))) AS query FROM conversations""")
+@query("""SELECT conv_id || CASE WHEN role = 'user' THEN '-og' ELSE '-changed' END AS qid, CAST(conv_id AS VARCHAR) AS base_qid, conv_id AS number, CASE WHEN role = 'user' THEN 'og' ELSE 'changed' END AS query_type, trim(concat_ws(' ', text, coalesce(role, '')), {BLANKS}) AS query FROM conversations""")
 def query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.table(spark, sf_dir, "conversations").withColumn("qid", F.concat(F.col("conv_id").cast("string"), F.when(F.col("role") == "user", "-og").otherwise("-changed")))
-    return rows.select("qid", K.base_qid(F.col("qid")).alias("base_qid"), K.numeric_id(F.col("qid")).alias("number"), K.query_type(F.col("qid")).alias("query_type"), K.query_text(F.substring("text", 1, 20), F.col("role")).alias("query"))
+    return rows.select("qid", K.base_qid(F.col("qid")).alias("base_qid"), K.numeric_id(F.col("qid")).alias("number"), K.query_type(F.col("qid")).alias("query_type"), K.query_text(F.col("text"), F.col("role")).alias("query"))
 
 
-_TEXTS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[NONE]' WHEN 2 THEN ' none ' WHEN 3 THEN '' WHEN 4 THEN 'n/a' ELSE left(text, 12) END AS t FROM documents"
+_TEXTS = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[NONE]' WHEN 2 THEN ' none ' WHEN 3 THEN '' WHEN 4 THEN 'n/a' ELSE text END AS t FROM documents"
 
 
-@query(f"""SELECT doc_id, CASE WHEN t IS NULL OR upper(trim(t)) IN ('', '[NONE]', 'NONE', 'NULL', 'N/A') THEN 0e0 ELSE 1e0 END AS strict, CASE WHEN t IS NULL OR upper(t) = '[NONE]' THEN 0e0 ELSE 1e0 END AS marker,
-  CASE WHEN t IS NULL OR t = '[NONE]' OR trim(t) = '' THEN 0e0 ELSE 1e0 END AS blank, CASE WHEN t = '[NONE]' THEN 0e0 ELSE 1e0 END AS exact FROM ({_TEXTS})""")
+@query("""SELECT doc_id, CASE WHEN t IS NULL OR upper(trim(t, {BLANKS})) IN ('', '[NONE]', 'NONE', 'NULL', 'N/A') THEN 0e0 ELSE 1e0 END AS strict, CASE WHEN t IS NULL OR upper(t) = '[NONE]' THEN 0e0 ELSE 1e0 END AS marker,
+  CASE WHEN t IS NULL OR t = '[NONE]' OR trim(t, {BLANKS}) = '' THEN 0e0 ELSE 1e0 END AS blank, CASE WHEN t = '[NONE]' THEN 0e0 ELSE 1e0 END AS exact FROM (""" + _TEXTS + ")")
 def negative_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id") % 6
-    t = F.when(i == 0, F.lit(None)).when(i == 1, "[NONE]").when(i == 2, " none ").when(i == 3, "").when(i == 4, "n/a").otherwise(F.substring("text", 1, 12))
+    t = F.when(i == 0, F.lit(None)).when(i == 1, "[NONE]").when(i == 2, " none ").when(i == 3, "").when(i == 4, "n/a").otherwise(F.col("text"))
     rows = X.table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select("doc_id", *(f(F.col("t")).alias(n) for n, f in (("strict", K.mask_strict), ("marker", K.mask_marker), ("blank", K.mask_blank), ("exact", K.mask_exact))))
 
@@ -369,7 +372,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS qid, CAST(quality AS INTEGER) AS rel, count(*) AS n FROM labels GROUP BY ALL")
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = X.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("quality").alias("score"))
-    return readers.qrels(labels, F.lit(0)).groupBy("qid", "rel").agg(F.count("*").alias("n"))
+    return readers.qrels(labels, F.col("score")).groupBy("qid", "rel").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id AS qid, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -384,20 +387,19 @@ def first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_wins(events, ("qid",), F.col("event_id"))
 
 
-@query("SELECT conv_id AS idx, p.turn AS pos_turn, n.turn AS neg_turn FROM (SELECT * FROM conversations WHERE role = 'user') p JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'user') n USING (conv_id) WHERE n.i <= 2")
+@query("SELECT conv_id AS idx, p.turn AS pos_turn, n.turn AS neg_turn FROM (SELECT * FROM conversations WHERE role = 'user') p JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'user') n USING (conv_id) WHERE n.i <= 15")
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = X.table(spark, sf_dir, "conversations")
     user = F.col("role") == "user"
     lists = turns.groupBy(F.col("conv_id").alias("idx")).agg(F.lit("").alias("query"), F.sort_array(F.collect_list(F.when(user, F.col("turn")))).alias("pos"), F.sort_array(F.collect_list(F.when(~user, F.col("turn")))).alias("neg"))
-    return training.expand_pairs(lists, 2).select("idx", F.col("pos").alias("pos_turn"), F.col("neg").alias("neg_turn"))
+    return training.expand_pairs(lists).select("idx", F.col("pos").alias("pos_turn"), F.col("neg").alias("neg_turn"))
 
 
 @query("SELECT role AS doc_type, conv_id AS idx, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS global_idx FROM conversations")
 def encoding_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running place of every text within its type. The two types are few and large; the order is global by contract."""
-    turns = X.table(spark, sf_dir, "conversations")
-    place = (F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")) - 1).cast("long")
-    return turns.select(F.col("role").alias("doc_type"), F.col("conv_id").alias("idx"), "turn", place.alias("global_idx"))
+    """Running place of every text within its type."""
+    turns = ranking.numbered(X.table(spark, sf_dir, "conversations").select("role", "conv_id", "turn"), "role", "conv_id", "turn")
+    return turns.select(F.col("role").alias("doc_type"), F.col("conv_id").alias("idx"), "turn", F.col("place").alias("global_idx"))
 
 
 @query("SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
@@ -415,7 +417,7 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.stddev_pop("n_chars"), 6).alias("deviation"))
 
 
-@query("SELECT role, round(avg(CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END), 6) AS tokens FROM conversations GROUP BY role")
+@query("SELECT role, round(avg(CASE WHEN trim(text, {BLANKS}) = '' THEN 0 ELSE len(list_filter(string_split(translate(text, {BLANKS}, repeat(' ', 29)), ' '), lambda x: x <> '')) END), 6) AS tokens FROM conversations GROUP BY role")
 def query_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "conversations").groupBy("role").agg(F.round(F.avg(K.token_length(F.col("text"))), 6).alias("tokens"))
 
@@ -426,7 +428,7 @@ def passes_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("quality").agg(F.bool_and(F.col("n") > 1).alias("passes"), F.sum("n").alias("n"))
 
 
-@query("SELECT item_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')[1] AS first_term, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '')) AS n FROM benchmark")
+@query("SELECT item_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x, {BLANKS})), lambda x: x <> '')[1] AS first_term, len(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, {BLANKS})), lambda x: x <> '')) AS n FROM benchmark")
 def negative_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = K.negative_terms(F.col("text"))
     return X.table(spark, sf_dir, "benchmark").select("item_id", K.first_term_in(terms, F.col("text")).alias("first_term"), F.size(terms).cast("long").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ..functions.keys import base_qid, document_text, query_type
+from ..functions.keys import base_qid, document_text, query_type, strip
 from ..operators.ranking import first_wins, last_wins
 
 DUAL = S.StructType([S.StructField(n, S.LongType() if n == "idx" else S.StringType()) for n in ("task_name", "qid", "idx", "query", "instruction", "query_type", "q_plus", "q_minus", "created_at")])
@@ -18,11 +18,12 @@ def alias(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*found) if found else F.lit(None)
 
 
-def split_of(df: DataFrame, preferred: str) -> DataFrame:
-    """Rows of the named split if there are any, else of the first split."""
+def split_of(df: DataFrame, preferred: str, ordinal: Column | None = None) -> DataFrame:
+    """Rows of the named split if there are any, else of the split that comes first by ordinal (without one: by name)."""
     if "split" not in df.columns:
         return df
-    first = df.select(F.min(F.struct(F.col("split") != preferred, "split")).alias("s"))
+    place = F.lit(0) if ordinal is None else ordinal
+    first = df.select(F.min(F.struct(F.col("split") != preferred, place.alias("o"), "split")).alias("s"))
     return df.join(F.broadcast(first), F.col("split") == F.col("s.split")).drop("s")
 
 
@@ -31,10 +32,13 @@ def corpus(df: DataFrame, with_title: bool = True) -> DataFrame:
     return df.select(alias(df, "_id", "id", "doc_id").cast("string").alias("doc_id"), title.alias("title"), body.alias("body"), (document_text(title, body) if with_title else body).alias("text"))
 
 
-def queries(df: DataFrame, instructions: DataFrame) -> DataFrame:
-    """qid, base_qid, query_type, query, instruction; suffixes other than -og and -changed are dropped."""
+def queries(df: DataFrame, instructions: DataFrame, ordinal: Column | None = None) -> DataFrame:
+    """qid, base_qid, query_type, query, instruction; suffixes other than -og and -changed are dropped.
+
+    Of several instructions of a query the last by ordinal holds (without one: the greatest)."""
     left = df.select(alias(df, "_id", "id", "qid").cast("string").alias("qid"), F.coalesce(alias(df, "text", "query").cast("string"), F.lit("")).alias("query"))
-    right = instructions.select(alias(instructions, "query-id", "query_id", "qid").cast("string").alias("qid"), alias(instructions, "instruction").alias("instruction"))
+    right = instructions.select(alias(instructions, "query-id", "query_id", "qid").cast("string").alias("qid"), alias(instructions, "instruction").alias("instruction"), (F.lit(0) if ordinal is None else ordinal).alias("_o"))
+    right = right.groupBy("qid").agg(F.max(F.struct("_o", "instruction")).alias("_last")).select("qid", F.col("_last.instruction").alias("instruction"))
     joined = left.join(right, "qid", "left").withColumn("query_type", query_type(F.col("qid"))).where("query_type is not null")
     return joined.select("qid", base_qid(F.col("qid")).alias("base_qid"), "query_type", "query", F.coalesce("instruction", F.lit("")).alias("instruction"))
 
@@ -74,7 +78,7 @@ def trec_run(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_trec(lines: DataFrame, line: Column, ordinal: Column) -> DataFrame:
-    parts = lines.select(F.split(F.trim(line), r"\s+").alias("p"), ordinal.alias("_o")).where(F.size("p") >= 6)
+    parts = lines.select(F.split(strip(line), r"\s+").alias("p"), ordinal.alias("_o")).where(F.size("p") >= 6)
     rows = parts.select(F.get("p", F.lit(0)).alias("qid"), F.get("p", F.lit(2)).alias("doc_id"), F.get("p", F.lit(4)).cast("double").alias("score"), "_o")
     return last_wins(rows, ("qid", "doc_id"), F.col("_o")).drop("_o")
 

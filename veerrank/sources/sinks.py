@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def trec_line(qid: Column, doc: Column, rank: Column, score: Column, run: str) -> Column:
-    return F.format_string(f"%s Q0 %s %d %.6f {run}", qid, doc, rank, score)
+    return F.format_string("%s Q0 %s %d %.6f %s", qid, doc, rank, score, F.lit(run))
 
 
 def write_trec(run: DataFrame, path: str, name: str) -> None:

@@ -1,15 +1,27 @@
-"""The append-only log of split queries as a stream: each record once, resumable by its checkpoint."""
+"""The append-only log of split queries as a stream, resumable by its checkpoint.
+
+A query may return to an earlier value, so every record is kept, with the file and times that order it; readers take the
+last one of each (readers.dual_queries). The stream holds no state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.readers import DUAL
+from ..sources.readers import DUAL, dual_queries
 
 
 def cache_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(DUAL).json(folder).dropDuplicates(["qid", "query_type", "q_plus", "q_minus"])
+    lines = spark.readStream.schema(DUAL).json(folder)
+    return lines.withColumns({"logged_at": F.col("_metadata.file_modification_time"), "logged_in": F.col("_metadata.file_path"), "logged_from": F.col("_metadata.file_block_start")})
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The last record of each query of a drained log."""
+    order = F.struct("logged_at", "logged_in", "logged_from", "created_at", "q_plus", "q_minus")
+    return dual_queries(log, order).drop("logged_at", "logged_in", "logged_from")
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
