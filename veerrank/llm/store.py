@@ -2,41 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from ..sources.shared import buckets_for, input_bytes, scratch, shared_dir, stash
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only where driver and executors are one process can a temporary folder stand in for it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{os.path.join(tempfile.gettempdir(), 'veerrank-shared')}"
-    return folder.rstrip("/")
-
-
-def stash(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df once and read it back: later uses neither repeat its work nor depend on lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files under df, all columns, as the reader knows them; 0 where it knows none."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)
-
-
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 16) -> int:
-    """So many buckets that each holds a bounded share of df, growing with it."""
-    return max(least, -(-input_bytes(df) // bytes_each))
+__all__ = ["buckets_for", "input_bytes", "scratch", "shared_dir", "stash"]

@@ -14,7 +14,6 @@ an empty table gives an empty dataset; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from . import text as T
-from .store import input_bytes, shared_dir
+from .store import input_bytes, scratch
 from .token_counts import BATCH_BYTES, encoder
 
 BLOCK = 128
@@ -89,7 +88,7 @@ def unpack(part: dict[str, bytes], n: int) -> np.ndarray:
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text, append end_id, and write segments in ascending id order; gives the dataset's path."""
-    path = path or f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    path = path or scratch(docs.sparkSession, "token-files")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shard, segment = encoder(tokenizer_file), TaskContext.get().partitionId(), 0
