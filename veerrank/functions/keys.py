@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import l2
+
 NONE = "[NONE]"
 #: White space that ends of texts are cleared of, as in Unicode's definition.
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -106,3 +108,36 @@ def prompt(text: Column, passage: Column) -> Column:
 def relative_change(before: Column, after: Column) -> Column:
     """Change relative to a positive value, else 0."""
     return F.when(before > 0, (after - before) / before).otherwise(0.0)
+
+
+def empty_gate(vector: Column, alpha: Column) -> Column:
+    """No strength where the negative side's vector is all but zero."""
+    return F.when(l2(vector) < 1e-6, 0.0).otherwise(alpha)
+
+
+def split_prompt(query: Column, instruction: Column) -> Column:
+    """The request that asks for a query's two sides."""
+    return F.format_string("Query: %s\nInstruction: %s", query, F.coalesce(instruction, F.lit("")))
+
+
+def number_list(text: Column) -> Column:
+    """Comma-separated numbers; what is none is left out."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: strip(x).try_cast("double")), lambda x: x.isNotNull())
+
+
+#: Encoders by a part of their name (fixed values), and the family that any other belongs to.
+ENCODERS = {"repllama": "repllama", "mistral": "mistral", "bge": "bge"}
+DEFAULT_ENCODER = "bge"
+
+
+def encoder_family(model: Column) -> Column:
+    """The encoder family that a model's name tells."""
+    chosen = F.lit(DEFAULT_ENCODER)
+    for part, family in reversed(list(ENCODERS.items())):
+        chosen = F.when(F.contains(F.lower(model), F.lit(part)), family).otherwise(chosen)
+    return chosen
+
+
+def cache_folder(model: Column, task: Column) -> Column:
+    """Where a model keeps a task's vectors: the last part of its name, then the task."""
+    return F.concat_ws("/", F.element_at(F.split(model, "/"), -1), file_name(task))

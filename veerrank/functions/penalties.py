@@ -146,3 +146,13 @@ def penalty(name: str) -> Callable[..., Column]:
     if name not in PENALTIES:
         raise ValueError(f"unknown penalty {name!r}; known: {', '.join(sorted(PENALTIES))}")
     return PENALTIES[name]
+
+
+def method(name: str) -> Callable[..., Column]:
+    """The two methods of the plain scorer: micro, or classic for any other name."""
+    return micro if name == "micro" else classic
+
+
+def gated(s: Streams, raw_alpha: Column, raw_tau: Column) -> Column:
+    """The classic penalty with a raw gate: softplus gives alpha, a sigmoid tau."""
+    return classic(Streams(s.sb, s.sn, sigmoid(raw_tau), s.mask), softplus(raw_alpha))

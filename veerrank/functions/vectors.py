@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +28,16 @@ def cosine(a: Column | str, b: Column | str, eps: float = 1e-8) -> Column:
     return dot(a, b) / F.greatest(l2(a) * l2(b), F.lit(eps))
 
 
-def project(rows: list[list[float]], vector: Column | str) -> Column:
-    """Matrix times vector, normalised: a linear projection of a query's negative side."""
-    weights = F.array(*(F.array(*map(F.lit, r)) for r in rows))
-    return normalize(F.transform(weights, lambda r: dot(r, vector)))
+def project(rows: list[list[float]] | np.ndarray):
+    """Matrix times vector, normalised: a linear projection of a query's negative side, as an Arrow function of a vector column."""
+    weight = np.asarray(rows, np.float64)
+
+    @F.pandas_udf("array<double>")
+    def apply(vectors: pd.Series) -> pd.Series:
+        z = np.stack(vectors.to_numpy()).astype(np.float64) @ weight.T
+        return pd.Series(list(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)))
+
+    return apply
 
 
 def relu(x: Column) -> Column:

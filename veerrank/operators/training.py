@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,7 +49,21 @@ def hard_examples(rows: DataFrame, keys: tuple[str, ...], score: str, ratio: flo
     return marked.where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_at")
 
 
-def gate(weights: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], most: float = 2.0, low: float = 0.3, high: float = 0.7):
+#: Bounds of a gate by encoder family (fixed values): largest alpha, least and largest tau.
+GATE_BOUNDS = {"repllama": (1.2, 0.45, 0.85), "mistral": (1.5, 0.4, 0.8), "bge": (2.0, 0.3, 0.7)}
+Gate = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def gate_bounds(encoder: str) -> tuple[float, float, float]:
+    return GATE_BOUNDS.get(encoder, GATE_BOUNDS["bge"])
+
+
+def new_gate(dim: int, hidden: int = 128, seed: int = 42) -> Gate:
+    random = np.random.default_rng(seed)
+    return random.standard_normal((dim, hidden)) / np.sqrt(dim), np.zeros(hidden), random.standard_normal((hidden, 2)) / np.sqrt(hidden), np.zeros(2)
+
+
+def gate(weights: Gate, most: float = 2.0, low: float = 0.3, high: float = 0.7):
     """Arrow UDF of a two-layer gate: vector -> struct(alpha in (0, most), tau in (low, high))."""
 
     @F.pandas_udf("alpha double, tau double")
@@ -63,28 +77,20 @@ def gate(weights: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], most: f
     return apply
 
 
-def projection_step(weight: np.ndarray, pairs: DataFrame, rate: float = 0.5, margin: float = 0.1) -> tuple[np.ndarray, float]:
-    """One full gradient step of a linear projection that pulls q to pos and pushes it from neg by a hinge.
+def _summed(rows: DataFrame, columns: list[str], of: Callable[[pa.RecordBatch], tuple[np.ndarray, float, int]], length: int) -> tuple[np.ndarray, float]:
+    """The mean gradient and loss over rows; of: a batch's summed gradient, summed loss and rows.
 
-    pairs: q, pos, neg (arrays). Each partition sums its own gradient and sends it in CHUNKS pieces of whole rows; pieces are
-    added in two steps, so that no task holds all partitions', and one matrix comes back.
+    Each partition sends its sum in CHUNKS pieces; pieces are added in two steps, so that no task holds all partitions',
+    and one gradient comes back.
     """
-    dim = len(weight)
-    cuts = np.linspace(0, dim, min(CHUNKS, dim) + 1).astype(int)
+    cuts = np.linspace(0, length, min(CHUNKS, length) + 1).astype(int)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, loss, n = np.zeros((dim, dim)), 0.0, 0
+        total, loss, n = np.zeros(length), 0.0, 0
         for batch in batches:
-            q, p, m = (batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for c in ("q", "pos", "neg"))
-            z = q @ weight.T
-            size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            u = z / size
-            gap = margin + (u * (m - p)).sum(axis=1)
-            live = gap > 0
-            g = (m - p) * live[:, None]
-            total += ((g - u * (g * u).sum(axis=1, keepdims=True)) / size).T @ q
-            loss += gap[live].sum()
-            n += len(q)
+            if batch.num_rows:
+                value, l, m = of(batch)
+                total, loss, n = total + value, loss + l, n + m
         at = range(len(cuts) - 1)
         salt = TaskContext.get().partitionId() % SALTS
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([salt] * len(at), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([loss] + [0.0] * (len(at) - 1)), pa.array([n] + [0] * (len(at) - 1), pa.int64())], _PIECE.names)
@@ -93,8 +99,93 @@ def projection_step(weight: np.ndarray, pairs: DataFrame, rate: float = 0.5, mar
         value = sum(np.frombuffer(x, np.float64) for x in table["value"].to_pylist())
         return pa.table({"at": table["at"][:1], "salt": pa.array([0], pa.int32()), "value": pa.array([value.tobytes()], pa.binary()), "loss": pa.array([sum(table["loss"].to_pylist())]), "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
 
-    pieces = pairs.select("q", "pos", "neg").mapInArrow(partial, _PIECE)
+    pieces = rows.select(*columns).mapInArrow(partial, _PIECE)
     got = pieces.groupBy("at", "salt").applyInArrow(add, _PIECE).groupBy("at").applyInArrow(add, _PIECE).toArrow().sort_by("at")
-    gradient = np.frombuffer(b"".join(got["value"].to_pylist()), np.float64).reshape(dim, dim)
     n = max(1, sum(got["n"].to_pylist()))
-    return weight - rate * gradient / n, sum(got["loss"].to_pylist()) / n
+    return np.frombuffer(b"".join(got["value"].to_pylist()), np.float64) / n, sum(got["loss"].to_pylist()) / n
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def projection_step(weight: np.ndarray, pairs: DataFrame, rate: float = 0.5, margin: float = 0.1) -> tuple[np.ndarray, float]:
+    """One full gradient step of a linear projection that pulls q to pos and pushes it from neg by a hinge; pairs: q, pos, neg (arrays)."""
+    dim = len(weight)
+
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, float, int]:
+        q, p, m = (_matrix(batch[c], batch.num_rows) for c in ("q", "pos", "neg"))
+        z = q @ weight.T
+        size = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        u = z / size
+        gap = margin + (u * (m - p)).sum(axis=1)
+        live = gap > 0
+        g = (m - p) * live[:, None]
+        return (((g - u * (g * u).sum(axis=1, keepdims=True)) / size).T @ q).ravel(), float(gap[live].sum()), len(q)
+
+    gradient, loss = _summed(pairs, ["q", "pos", "neg"], of, dim * dim)
+    return weight - rate * gradient.reshape(dim, dim), loss
+
+
+def gate_step(weights: Gate, rows: DataFrame, rate: float = 0.5, encoder: str = "bge", temperature: float = 0.1) -> tuple[Gate, float]:
+    """One full gradient step of the gate under the cross-entropy of training scores.
+
+    rows: q_minus (vector), pos (the positive's base score), neg (the negatives' base scores, as many in every row). A zero
+    q_minus is no constraint and gets no penalty.
+    """
+    most, low, high = gate_bounds(encoder)
+    sizes = [w.size for w in weights]
+
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, float, int]:
+        w1, b1, w2, b2 = weights
+        n = batch.num_rows
+        x, pos, neg = _matrix(batch["q_minus"], n), batch["pos"].to_numpy(zero_copy_only=False).astype(np.float64), _matrix(batch["neg"], n)
+        hidden = np.maximum(x @ w1 + b1, 0)
+        z = 1 / (1 + np.exp(-(hidden @ w2 + b2)))
+        alpha, tau = z[:, :1] * most, low + z[:, 1:] * (high - low)
+        over = np.maximum(neg - tau, 0) * (np.abs(x).sum(axis=1, keepdims=True) > 0)
+        logits = np.column_stack([pos, neg - alpha * over]) / temperature
+        logits -= logits.max(axis=1, keepdims=True)
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        share = p[:, 1:] / temperature
+        slope = np.column_stack([-(share * over).sum(axis=1) * most, (share * (over > 0) * alpha).sum(axis=1) * (high - low)]) * z * (1 - z)
+        back = (slope @ w2.T) * (hidden > 0)
+        parts = (x.T @ back, back.sum(axis=0), hidden.T @ slope, slope.sum(axis=0))
+        return np.concatenate([g.ravel() for g in parts]), float(-np.log(np.maximum(p[:, 0], 1e-300)).sum()), n
+
+    gradient, loss = _summed(rows, ["q_minus", "pos", "neg"], of, sum(sizes))
+    steps = np.split(gradient, np.cumsum(sizes)[:-1])
+    return tuple(w - rate * g.reshape(w.shape) for w, g in zip(weights, steps)), loss
+
+
+def fit(step: Callable, start, epochs: int, patience: int = 3) -> tuple[object, list[float]]:
+    """Steps until the loss has not fallen for `patience` epochs; gives the best weights and the history of losses.
+
+    step: weights -> (new weights, loss of the weights that it was given)."""
+    weights, best, history = start, (start, float("inf")), []
+    for _ in range(epochs):
+        after, loss = step(weights)
+        history.append(loss)
+        if loss < best[1]:
+            best = (weights, loss)
+        elif len(history) - 1 - history.index(best[1]) >= patience:
+            break
+        weights = after
+    return best[0], history
+
+
+#: What each mode trains, in order.
+MODES = {"baseline": (), "lap_only": ("projection",), "mlp_only": ("gate",), "hybrid": ("projection", "gate"), "lap_then_mlp": ("projection", "gate")}
+
+
+def train(mode: str, pairs: DataFrame, gate_rows: Callable[[np.ndarray], DataFrame], dim: int, epochs: int = 5, encoder: str = "bge") -> tuple[np.ndarray, Gate | None, dict[str, list[float]]]:
+    """The projection, the gate (None where the mode has none) and both histories; gate_rows: the gate's rows for a projection."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
+    weight, found, history = np.eye(dim), None, {}
+    if "projection" in MODES[mode]:
+        weight, history["projection"] = fit(lambda w: projection_step(w, pairs), weight, epochs)
+    if "gate" in MODES[mode]:
+        rows = gate_rows(weight)
+        found, history["gate"] = fit(lambda g: gate_step(g, rows, encoder=encoder), new_gate(dim), epochs)
+    return weight, found, history
