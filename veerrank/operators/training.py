@@ -127,7 +127,7 @@ def projection_step(weight: np.ndarray, pairs: DataFrame, rate: float = 0.5, mar
     return weight - rate * gradient.reshape(dim, dim), loss
 
 
-def gate_step(weights: Gate, rows: DataFrame, rate: float = 0.5, encoder: str = "bge", temperature: float = 0.1) -> tuple[Gate, float]:
+def gate_step(weights: Gate, rows: DataFrame, rate: float = 0.05, encoder: str = "bge", temperature: float = 0.1) -> tuple[Gate, float]:
     """One full gradient step of the gate under the cross-entropy of training scores.
 
     rows: q_minus (vector), pos (the positive's base score), neg (the negatives' base scores, as many in every row). A zero
