@@ -380,7 +380,7 @@ def test_blocks_round_trip(values):
     assert token_files.unpack(token_files.pack(ids), len(ids)).tolist() == values
 
 
-def test_substring_dedup(docs, empty):
+def test_substring_dedup(docs, empty, monkeypatch):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs).collect())
     first: dict[tuple, int] = {}
     split = [(i, WORD.findall(t or "")) for i, t, _, _ in ROWS]
@@ -395,6 +395,25 @@ def test_substring_dedup(docs, empty):
         kept = [w for p, w in enumerate(ws) if p not in gone]
         want.append((-1 if i is None else i, len(ws), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     assert got == sorted(want) and any(x[2] for x in got) and substrings.remove_repeats(empty).count() == 0
+    monkeypatch.setattr(substrings, "MEET", 1)  # every shared anchor meets in salted parts first
+    rows = substrings.remove_repeats(docs).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == got
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in rows)
+
+
+def test_windows_are_told_apart_by_their_words():
+    """Hashes that all windows share change nothing."""
+    random = np.random.default_rng(8)
+    codes = random.integers(0, 2, 400)
+    starts, docs = np.arange(0, 396), random.integers(0, 30, 396)
+    least: dict[bytes, int] = {}
+    for s, d in zip(starts, docs):
+        w = codes[s : s + 4].tobytes()
+        least[w] = min(least.get(w, 99), d)
+    for hashes in (np.zeros(396, np.uint64), random.integers(0, 3, 396).astype(np.uint64), np.array([hash(codes[s : s + 4].tobytes()) % 2**63 for s in starts], np.uint64)):
+        same = hashes if len(set(hashes.tolist())) > 3 else None
+        first = substrings.first_equal(codes, starts, hashes if same is not None else np.zeros(396, np.uint64), docs, 4)
+        assert [docs[f] for f in first] == [least[codes[s : s + 4].tobytes()] for s in starts]
 
 
 def test_near_duplicates(docs, empty):
