@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veerrank import __main__ as cli
-from veerrank.operators import cases, engine, grid, losses, training
+from veerrank.functions.vectors import dot
+from veerrank.operators import cases, encoders, engine, grid, losses, training
 from veerrank.sources import caches, readers, reports, sinks
 
 DUAL = [
@@ -113,6 +114,13 @@ def test_caches(spark, tmp_path):
         (tmp_path / f"trial_{i}").mkdir()
         (tmp_path / f"trial_{i}" / "metrics.json").write_text(json.dumps({"map": m}, indent=1))
     assert "trial_1" in caches.best_trial(spark, str(tmp_path / "trial_*" / "metrics.json")).first().file
+    version = str(tmp_path / "version")
+    assert caches.version_of(spark, version) == {"version": "1.0", "created_at": None, "updated_at": None}
+    caches.note_version(spark, version, "2.0")
+    first = caches.version_of(spark, version)
+    caches.note_version(spark, version, "3.0")
+    last = caches.version_of(spark, version)
+    assert last["version"] == "3.0" and last["created_at"] == first["created_at"] < last["updated_at"]
     caches.write_weights(spark, {"w": [[1.0]]}, str(tmp_path / "weights"), 0.5)
     caches.write_weights(spark, {"w": [[2.0]]}, str(tmp_path / "weights"), 0.3)
     caches.write_weights(spark, {"w": [[3.0]]}, str(tmp_path / "weights"), 0.4)
@@ -163,3 +171,26 @@ def test_anchors_are_unit_vectors_and_stay(spark):
 def test_no_query_is_chosen_twice(spark):
     rows = spark.createDataFrame([(1, 0, "high_noise"), (1, 3, "logical_negation"), (2, 0, "high_noise"), (2, 2, "entity_entangled"), (3, 0, "high_noise")], "q long, place int, class string")
     assert sorted((r.q, r["class"]) for r in cases.chosen(rows).collect()) == [(1, "high_noise"), (1, "logical_negation"), (2, "entity_entangled"), (3, "high_noise")]
+
+
+def test_training_data_from_texts_to_steps(spark):
+    """Rows to texts, texts to vectors, vectors to lists, lists to scores and a gate's step."""
+    rows = spark.createDataFrame([(i, f"fruit {i}", "pears" if i % 2 else "[NONE]", [f"fruit {i} apples"], ["cars", "pears", None]) for i in range(6)] + [(9, "x", "y", [], ["z"])], "idx long, q_plus string, q_minus string, pos array<string>, neg array<string>")
+    texts = caches.training_rows(rows)
+    vectors = encoders.prepared(texts, "hashed_words")
+    assert vectors.count() == texts.count() == 6 * 6 + 3 and {len(r.embedding) for r in vectors.collect()} == {256}
+    lists = caches.training_lists(vectors, 2).where("size(pos) > 0")
+    scored = lists.select("q_minus", dot("q_plus", F.get("pos", F.lit(0))).alias("pos"), F.transform("neg", lambda v: dot("q_plus", v)).alias("neg"))
+    gate, loss = training.gate_step(training.new_gate(256, 4), scored)
+    assert loss > 0 and len(gate) == 4 and lists.count() == 6
+    blank = spark.createDataFrame([("a", None), ("b", " "), ("c", "x x")], "id string, text string")
+    assert {r.id: sum(abs(x) for x in r.embedding) for r in encoders.encoded(blank, "org/Hashed_Words-v2").collect()} == {"a": 0, "b": 0, "c": 1}
+    with pytest.raises(ValueError):
+        encoders.encoder("none")
+    encoders.register("tiny", lambda: encoders.HashedWords(4))
+    assert encoders.encoder("tiny").dim == 4
+
+
+def test_random_split_by_row(spark):
+    train, held = training.row_split(spark.range(2000), 0.1)
+    assert train.count() + held.count() == 2000 and 120 < held.count() < 280 and train.join(held, "id").isEmpty()

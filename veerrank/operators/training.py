@@ -29,6 +29,12 @@ def grouped_split(rows: DataFrame, key: str = "idx", percent: int = 10, seed: in
     return rows.withColumn("validation", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(100)) < percent)
 
 
+def row_split(rows: DataFrame, share: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Train and held-out rows, each row by its own hash; rows alike in all columns stay together."""
+    low = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1_000_000)) < int(share * 1_000_000)
+    return rows.where(~low), rows.where(low)
+
+
 def info_nce(scores: Column, temperature: float = 0.1) -> Column:
     """Cross-entropy of the first of an array of scores."""
     z = F.transform(scores, lambda s: s / temperature)

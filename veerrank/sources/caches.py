@@ -122,6 +122,20 @@ def tolerant_lines(lines: DataFrame, line: Column, schema: S.StructType) -> tupl
     return parsed.where(~bad).select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in schema)), parsed.where(bad).select(F.col("r._corrupt_record").alias("line"))
 
 
+def version_of(spark: SparkSession, path: str) -> dict:
+    """What is noted of a cache's version; 1.0 without times where nothing is."""
+    rows = read_or_empty(spark, path, "version string, created_at string, updated_at string", "json")
+    row = rows.orderBy(F.desc("updated_at")).first()
+    return row.asDict() if row else {"version": "1.0", "created_at": None, "updated_at": None}
+
+
+def note_version(spark: SparkSession, path: str, version: str) -> None:
+    """Add a note with the time; the first note's time of creation stays."""
+    created = version_of(spark, path)["created_at"]
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    spark.range(1).select(F.lit(version).alias("version"), F.coalesce(F.lit(created), now).alias("created_at"), now.alias("updated_at")).write.mode("append").json(path)
+
+
 def baseline_of(spark: SparkSession, path: str) -> dict[str, float]:
     """A task's earlier result; zeros where there is none."""
     try:
