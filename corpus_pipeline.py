@@ -27,13 +27,14 @@ def _only(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: null and empty texts go, repeated rows share their verdict and all stay or go; no rows give no rows."""
     keyed = _keyed(docs)
     return _only(keyed, quality_rules.judge(keyed, id_col=KEY).where("kept").select("doc_id").distinct())
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id, then the smallest key."""
+    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id, then the smallest
+    key; null ids come last, texts without words are one group, repeated rows leave one; no rows give no rows."""
     keyed = _keyed(docs)
     groups = stash(simhash.near_duplicates(keyed, shingle=5, id_col=KEY, similarity=0.8), "groups").distinct()
     named = groups.withColumnRenamed("doc_id", KEY).join(keyed.select(KEY, "doc_id").distinct(), KEY)
@@ -42,14 +43,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; items without an id count, without items all stay, null texts stay, repeated rows stay or go together."""
     keyed = _keyed(docs)
     clean = decontaminate.contained_items(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, id_col=KEY).where("n_hit = 0")
     return _only(keyed, clean.select("doc_id").distinct())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix of sources takes."""
+    """As many copies of each document as the mix of sources takes: texts without words have none, repeated rows get theirs
+    as one document, null sources are one source; no rows give no rows."""
     keyed = _keyed(docs)
     copies = mixing.mix(keyed, weights=(5, 2, 1), factor=1.5, most=2.0, id_col=KEY).groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
     copies = copies.where("_copies > 0").withColumnRenamed("doc_id", KEY).hint("shuffle_hash")
@@ -58,7 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_file_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in files, and what the files hold for each document."""
+    """The documents' token ids in files, and what the files hold for each document: null texts are one end id, null ids come first, repeated rows follow each other."""
     return token_files.read_token_files(spark, token_files.write_token_files(docs, TOKENIZER, END_ID))
 
 
