@@ -568,3 +568,58 @@ def test_pipeline(spark, docs, tmp_path):
     assert mixed.columns == docs.columns and mixed.count() == mixing.mix(clean).agg(F.sum("copies")).first()[0]
     out = corpus_pipeline.run(spark, folder)
     assert out.count() == mixed.count() and [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "source_mixing", "token_files"]
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_beyond_a_batch(spark, monkeypatch):
+    """Batches smaller than every text: each text is a batch of its own, and none is cut."""
+    for module in (token_counts, token_files, simhash, substrings, decontaminate, quality_rules, knn_quality, pitman_yor):
+        monkeypatch.setattr(module, "BATCH_BYTES", 16)
+    texts = [words(200), words(3) + " é " + words(400), PASSAGE + " " + words(30), words(10) + " " + PASSAGE, "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    library = Tokenizer.from_file(TOKENIZER)
+    n = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(table, TOKENIZER, 512).collect()} == n
+    back = token_files.read_token_files(spark, token_files.write_token_files(table, TOKENIZER, 2))
+    assert {r.doc_id: r.n_tokens - 1 for r in back.collect()} == n
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(table).collect()} == {0: 0, 1: 0, 2: 0, 3: 70, 4: 0, 5: 0}
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(table, 3).collect()}
+    assert fps == {i: simhash.fingerprint(simhash.shingle_hashes((t or "").encode(), 3)) for i, t in enumerate(texts)}
+    assert pitman_yor.score(table).count() == 6 and quality_rules.measures(table.selectExpr("*", "'en' lang", "'s' source")).count() == 6
+
+
+def test_hot_anchors_through_the_query(spark, tmp_path, monkeypatch):
+    """Many fingerprints around one centre: tiles link what single anchors would, for every document."""
+    monkeypatch.setattr(simhash, "HOT", 3)
+    monkeypatch.setattr(simhash, "TILE", 4)
+    base = words(400).split()
+    texts = []
+    for i in range(60):
+        ws = list(base)
+        ws[int(rng.integers(0, 400))] = VOCABULARY[i]
+        texts.append(" ".join(ws))
+    texts += [words(50) for _ in range(10)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.component_id for r in llm_queries.op9_simhash(spark, str(tmp_path)).collect()}
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3)) for t in texts]
+    root = list(range(len(texts)))
+    for a in root:
+        for b in range(a):
+            if bin((fps[a] ^ fps[b]) % 2**64).count("1") <= 2:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    assert got == dict(enumerate(root)) and len(set(root)) < 50
+
+
+def test_repeated_labelled_ids_have_one_result(spark):
+    """A labelled id with several texts lends the same vector however the table is dealt."""
+    rows = [(i, words(30), i % 2) for i in range(40)] + [(i, words(30) + " &&& ###", i % 2) for i in range(0, 40, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1) for i in range(10)], "doc_id long, quality int")
+    found = [sorted((r.doc_id, r.score) for r in knn_quality.score(table.repartition(n).select("doc_id", "text"), labels.repartition(n)).collect()) for n in (1, 5)]
+    assert [i for i, _ in found[0]] == [i for i, _ in found[1]] and np.allclose([x for _, x in found[0]], [x for _, x in found[1]], atol=1e-5)  # batches round alike but for single precision
