@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veerrank import __main__ as cli
 from veerrank.functions.vectors import dot
-from veerrank.operators import cases, encoders, engine, grid, losses, training
+from veerrank.operators import cases, encoders, engine, experiments, grid, losses, training
 from veerrank.sources import caches, readers, reports, sinks
 
 DUAL = [
@@ -194,3 +194,16 @@ def test_training_data_from_texts_to_steps(spark):
 def test_random_split_by_row(spark):
     train, held = training.row_split(spark.range(2000), 0.1)
     assert train.count() + held.count() == 2000 and 120 < held.count() < 280 and train.join(held, "id").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["softplus_v2", "selective", "micro"])
+def test_experiments_run_every_point(spark, tables, name):
+    loaded = cli.load(spark, tables, engine.TASKS[0])
+    config = engine.Config(tau="both")
+    scores = engine.dual_scores(loaded["vectors"], loaded["candidates"], loaded["documents"], config)
+    found = experiments.run(scores, name, loaded["qrels"], loaded["diff"]).cache()
+    assert found.count() == experiments.points(spark, name).count() and found.where("map > 0 and p_mrr >= 0").count() == found.count()
+    assert experiments.leaderboard(found, 3).count() == 3 and experiments.passing(found, 0.0, -1.0).count() == found.count()
+    found.unpersist()
+    with pytest.raises(ValueError):
+        experiments.points(spark, "none")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.penalties import Streams, gated, method
 from ..functions.vectors import cosine, dot, project
-from ..operators import cases, engine, grid, losses, metrics, ranking, training
+from ..operators import cases, engine, experiments, grid, losses, metrics, ranking, training
 from ..sources import caches, readers, reports
 from ..sources.shared import scratch, stash
 from . import fixture as X
@@ -460,3 +460,33 @@ def victim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = rows.select("q", "doc", "sb", "sn", F.col("tau_q").alias("tau"), F.lit(1.0).alias("alpha"), "mask")
     nested = reports.victim_report(found.drop("rel"), scores, rows.select("q", F.lit("").alias("q_plus")).distinct(), texts)
     return nested.select("context.query_id", "victim_doc.doc", "physics.rank_before", "physics.rank_after", F.round("physics.score_neg", 6).alias("score_neg"), F.round("physics.final_penalty", 6).alias("final_penalty"), "victim_doc.text")
+
+
+_AXES = {"alpha": (0.5, 1.0, 2.0), "delta": (0.0, -0.05), "gamma": (3.0, 5.0, 10.0)}
+_EXPERIMENT = f"""
+  points AS ({_points_sql(**_AXES)}),
+  finals AS (
+    SELECT param_index, q || '-og' AS qid, q, 'og' AS query_type, doc, sb AS score FROM scored CROSS JOIN points UNION ALL
+    SELECT param_index, q || '-changed', q, 'changed', doc, sb - alpha * (exp(gamma * greatest(sn - (tau_q + delta), 0e0)) - 1e0) / gamma * mask FROM scored CROSS JOIN points),
+  run AS (SELECT *, row_number() OVER (PARTITION BY param_index, qid ORDER BY score DESC, doc) AS rank FROM finals),
+  hits AS (SELECT param_index, r.q, rank, row_number() OVER (PARTITION BY param_index, r.q ORDER BY rank) / rank AS p FROM run r JOIN qrels_changed j ON j.q = r.q AND j.doc = r.doc WHERE query_type = 'changed'),
+  maps AS (SELECT param_index, avg(m) AS map FROM (SELECT p.param_index, d.q, coalesce((SELECT sum(h.p) FROM hits h WHERE h.param_index = p.param_index AND h.q = d.q AND h.rank <= 1000) / (SELECT count(*) FROM qrels_changed j WHERE j.q = d.q), 0) AS m FROM points p CROSS JOIN dual d) GROUP BY param_index),
+  moved AS (SELECT c.param_index, c.q, avg(CASE WHEN o.rank >= c.rank THEN c.rank * 1e0 / o.rank - 1 ELSE 1 - o.rank * 1e0 / c.rank END) AS change FROM diff JOIN run o ON o.query_type = 'og' AND o.q = diff.q AND o.doc = diff.doc JOIN run c ON c.query_type = 'changed' AND c.q = diff.q AND c.doc = diff.doc AND c.param_index = o.param_index GROUP BY ALL),
+  result AS (SELECT p.*, round(map, 6) AS map, (SELECT round(avg(change), 6) FROM moved m WHERE m.param_index = p.param_index) AS p_mrr FROM points p JOIN maps USING (param_index))"""
+
+
+@query(_EXPERIMENT + " SELECT * FROM result", fixture=True)
+def experiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One experiment on a penalty: every combination of its parameters, with the dynamic threshold moved by delta."""
+    task = _task(spark, sf_dir)
+    found = experiments.run(_scores(task, _Q_PLUS), "exponential", task.qrels, task.diff)
+    return found.select("param_index", "alpha", "delta", "gamma", F.round("map", 6).alias("map"), F.round("p_mrr", 6).alias("p_mrr"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS points" for n, c in (("softplus", 30), ("hybrid_v3", 48), ("softplus_v2", 24), ("adaptive", 9), ("double_threshold", 12), ("hard", 18), ("exponential", 18), ("rank_aware", 6), ("conditional", 24), ("gradual", 12), ("selective", 72), ("harm_aware", 24), ("micro", 4), ("combined", 16), ("smart", 9), ("triple", 54))))
+def experiment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [experiments.points(spark, n).agg(F.lit(n).alias("name"), F.count("*").cast("int").alias("points")) for n in experiments.EXPERIMENTS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
