@@ -38,7 +38,7 @@ def _task(spark: SparkSession, sf_dir: str) -> Task:
     two = two.withColumn("qid", F.concat_ws("-", "base_qid", "query_type")).withColumn("mask", F.when(F.col("query_type") == "og", 0.0).otherwise(F.col("mask")))
     documents = X.documents(spark, sf_dir).select(F.col("doc").alias("doc_id"), "embedding")
     judged = [X.qrels(rows, c).select(F.concat(F.col("q").cast("string"), F.lit(s)).alias("qid"), F.col("doc").alias("doc_id"), "rel") for c, s in ((False, "-og"), (True, "-changed"))]
-    diff = X.qrel_diff(rows).groupBy(F.col("q").cast("string").alias("base_qid")).agg(F.collect_list("doc").alias("doc_ids"))
+    diff = X.qrel_diff(rows).select(F.col("q").cast("string").alias("base_qid"), F.array("doc").alias("doc_ids"))  # lists may come in parts
     return Task(two, rows.select(F.col("q").cast("string").alias("base_qid"), F.col("doc").alias("doc_id")), documents, judged[0].unionByName(judged[1]), diff)
 
 
