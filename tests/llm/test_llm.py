@@ -484,8 +484,9 @@ def test_links_lose_nothing(spark, monkeypatch):
             if bin((a ^ b) % 2**64).count("1") <= 2:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    for hot, tile in ((256, 2048), (2, 4)):
+    for hot, visits, tile in ((256, 16_384, 2048), (2, 16_384, 4), (256, 5, 4)):
         monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "VISITS", visits)
         monkeypatch.setattr(simhash, "TILE", tile)
         got = {r.node: r.root for r in components.components(simhash.links(df), "a", "b").collect()}
         assert all(got.get(v, v) == find(v) for v in values)

@@ -4,7 +4,7 @@ Anchors are the words of a covering code: two copies of the perfect binary Golay
 46-bit value within 3 flipped bits a half. A fingerprint's home is the anchor nearest to it; it also visits each
 anchor that could be the home of a fingerprint within `distance` flipped bits, that is each anchor whose halves need no
 more than `distance` flips beyond the covering radius in all. Two linked fingerprints therefore meet at the home of
-either, and all 64 bits are compared there. Anchors that are home to many fingerprints are cut into tiles of bounded
+either, and all 64 bits are compared there. Anchors that are home to many fingerprints, or are visited by very many, are cut into tiles of bounded
 size, and a tile gives a spanning forest of its links instead of all pairs.
 
 With `similarity`, texts whose sets of shingles are that alike (Jaccard) link as well. At 0.8 about ten of 64 bits
@@ -37,8 +37,8 @@ BATCH_BYTES = 4 << 20
 RADIUS, HALF, CHECKS = 3, 23, 11
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
-#: Homes at an anchor from which it is cut into tiles, and members of a tile's side.
-HOT, TILE = 256, 2048
+#: Homes or visits at an anchor from which it is cut into tiles, and members of a tile's side.
+HOT, VISITS, TILE = 256, 16_384, 2048
 #: Bands of minima, minima in each, and the odd multipliers that order shingles anew for every minimum.
 BANDS, ROWS = 20, 4
 ORDERS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,17 +167,16 @@ def links(found: DataFrame, distance: int = 2) -> DataFrame:
     met = members(found, distance)
     homes = met.where("home").select("anchor", F.col("fp").alias("a"))
     homes = stash(homes, "homes")
-    hot = homes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    hot = stash(hot, "hot-anchors")
-    few, many = homes.join(hot, "anchor", "left_anti"), homes.join(hot, "anchor")
+    visited = met.groupBy("anchor").agg(F.count("*").alias("visits"), F.count_if("home").alias("n"))
+    hot = stash(visited.where((F.col("n") > HOT) | (F.col("n") > 0) & (F.col("visits") > VISITS)), "hot-anchors")
+    few, many = homes.join(hot, "anchor", "left_anti"), homes.join(hot.select("anchor"), "anchor")
     pairs = met.select("anchor", F.col("fp").alias("b")).join(few.hint("shuffle_hash"), "anchor")
     pairs = pairs.where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (F.col("a") != F.col("b"))).select("a", "b")
     if hot.isEmpty():
         return pairs
     # A hot anchor's homes and visitors are cut into tiles; each tile of homes meets each tile of visitors.
     guests = met.join(hot.select("anchor"), "anchor").select("anchor", "fp")
-    sides = guests.groupBy("anchor").agg(F.count("*").alias("visits")).join(hot, "anchor")
-    sides = sides.select("anchor", F.ceil(F.col("n") / TILE).cast("int").alias("rows"), F.ceil(F.col("visits") / TILE).cast("int").alias("columns"))
+    sides = hot.select("anchor", F.ceil(F.col("n") / TILE).cast("int").alias("rows"), F.ceil(F.col("visits") / TILE).cast("int").alias("columns"))
 
     def tile(side: str, other: str) -> tuple:
         own = F.pmod(F.xxhash64("fp"), F.col(side)).cast("int").alias(side)
