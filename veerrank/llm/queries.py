@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files
+from . import decontaminate, hamerly, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -63,13 +63,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality")
 
 
+def op13_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_lm_score, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_substring_dedup, op7_token_files, op8_secret_scan, op9_simhash, op10_quality_classifier)
+    found = (op1_mix_sources, op2_lm_score, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_substring_dedup, op7_token_files, op8_secret_scan, op9_simhash, op10_quality_classifier, op13_cluster)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": DECONTAMINATE, "op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS}
+    return {"op3_decontaminate": DECONTAMINATE, "op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS, "op13_cluster": _clusters()}
 
 
 #: Windows of ten words as text, found by their exact text; hit words are counted once.
@@ -153,3 +157,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce(greatest(n_symbols - 1, 0) / greatest(word_chars, 1) <= symbols AND greatest(n_dup_lines - 1, 0) / greatest(n_lines, 1) <= f.lines AND greatest(n_repeat_words - 10, 0) / greatest(n_words, 1) <= repeats AND word_chars / greatest(n_words, 1) BETWEEN least AND most, false) AS kept
 FROM failed d LEFT JOIN wide f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source
 """
+
+
+def _clusters(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Rounds of assignment and floored means, one after the other, over all pairs of vector and centroid."""
+    apart = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS j, x AS c FROM v WHERE vec_id IS NOT NULL QUALIFY j < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT row, min(struct_pack(d := {apart}, j := j)) AS best FROM v, c{r} GROUP BY row)")
+        parts.append(f"""s{r} AS (SELECT best.j AS j, i, sum(x[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (row), range(1, {dim + 1}) AS t(i) GROUP BY best.j, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{r} GROUP BY j) USING (j))""")
+    parts.pop()
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (row) JOIN c{rounds} ON j = best.j"""
