@@ -1,13 +1,15 @@
 """Clustering, hard negatives and web archives against brute force on small tables of nulls, odd vectors, ties and repeated rows."""
 
+import gzip
 import hashlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veerrank.llm import hamerly
+from veerrank.llm import capture_index, hamerly, warc
 from veerrank.llm import queries as llm_queries
 
 INF = float("inf")
@@ -92,3 +94,75 @@ def test_cluster_edges(spark):
     x = np.array([[1024 * 1000 * (i + j) for j in range(64)] for i in range(12)])
     assert (hamerly.distances(x, x[:3]) == ((x[:, None] - x[None, :3]) ** 2).sum(2)).all()
     assert hamerly.cluster(big, k=3, rounds=2).count() == 12
+
+
+LONG = "<html>é " + "words " * 300
+PAGES = [
+    (1, "http://www.a.example/x", LONG), (2, "https://B.a.example:443/y?q=1#top", LONG), (3, "https://b.a.example/y?q=1", LONG), (4, None, LONG), (5, "http://c.example", "short"), (6, "http://c.example", "short"), (7, "http://c.example?z", None), (8, "http://c.example/", ""),
+    (9, "http://d.example/a b\r\nWARC-Type: x", "\r\n\r\n\r\n" + LONG + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n"), (10, "http://d.example/é", "\r\n"), (11, "ftp://u@E.example:80/?", "x" * 999), (12, "http://e.example/", "x" * 999), (13, "http://e.example/", "x" * 1000), (14, "http://e.example/", "x" * 1000),
+    (None, "http://e.example/", "x" * 1000), (None, "http://n.example/", "y" * 2000), (None, "http://n.example/", "y" * 2000), (20, "http://r.example/", "z" * 1500), (20, "http://r.example/", "z" * 1500), (15, "http://r.example/", "z" * 1500), (-3, "http://e.example/\n", "w" * 200000),
+]
+PAGE = "page_id long, url string, html string, digest string, top long, key string, value string, place long"
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(*r, "d", 1, "k", "v", 2) for r in rows], PAGE)
+
+
+def test_archives(spark, tmp_path):
+    pages = pages_of(spark, PAGES).repartition(4)
+    got = same_as_sql(spark, "op11_warc", {"pages": pages.where("page_id is null or page_id not in (9, -3)")}, tmp_path)
+    assert len(got) == len(PAGES) - 2
+    path = warc.write_archives(pages, str(tmp_path / "archives"))
+    captures = warc.read_archives(spark, path).collect()
+    payload = {}
+    for r in captures:
+        with gzip.open(tmp_path / "archives" / r.archive) as f:
+            record = f.read()[r.offset : r.offset + r.length]
+        head, http, body = record.split(b"\r\n\r\n", 2)
+        assert head.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and f"Content-Length: {r.payload_bytes}".encode() in http
+        payload.setdefault(r.page_id, []).append(body[:-4] if r.record_type == "response" else None)
+    assert len(captures) == len(PAGES)
+    size = lambda t: len((t or "").encode())
+    for page_id, _, html in PAGES:
+        alike = [i for i, _, h in PAGES if (h or "") == (html or "") and size(html) >= 1000]
+        top = max((i for i in alike if i is not None), default=None)
+        found = [(r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in captures if r.page_id == page_id and r.payload_digest == hashlib.sha1((html or "").encode()).hexdigest()]
+        want = ("revisit", top) if alike and page_id != top else ("response", None)
+        assert found and all(f == (*want, size(html), hashlib.sha1((html or "").encode()).hexdigest()) for f in found)
+        assert ((html or "").encode() in payload[page_id]) == (want[0] == "response")
+    assert {r.url for r in captures if r.page_id == 9} == {"http://d.example/a%20b%0D%0AWARC-Type:%20x"}
+    assert warc.archived(pages_of(spark, [])).count() == 0
+    broken = next((tmp_path / "archives").glob("*.gz"))
+    broken.write_bytes(gzip.compress(gzip.decompress(broken.read_bytes()).replace(b"words words", b"words wordz", 1)[:-7]))
+    Path(f"{broken.parent}/.{broken.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):
+        warc.read_archives(spark, path).count()
+
+
+def test_merge_in_passes(spark, monkeypatch):
+    """Short runs, few at a time: several passes, many parts, and one URL in half of the rows, give the sorted order."""
+    for name, value in (("RUN", 7), ("BLOCK", 3), ("PART", 9), ("FAN_IN", 4)):
+        monkeypatch.setattr(capture_index, name, value)
+    random = np.random.default_rng(4)
+    rows = [("http://h.example/" if i % 2 else f"http://{random.integers(9)}.é.example/{random.integers(5)}", int(random.integers(4)), int(random.integers(50)) if i % 9 else None, "response", 1, "d", None, f"a{i % 5}", i, 1) for i in range(300)]
+    table = spark.createDataFrame(rows, "url string, date long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long").repartition(6)
+    parts = capture_index.merged(table)
+    sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 60
+    got = [(r.url_key, r.date, r.page_id if r.page_id is not None else 99, r.offset) for r in capture_index.numbered(parts).orderBy("place").collect()]
+    assert [g[:3] for g in got] == sorted(g[:3] for g in got) and sorted(g[3] for g in got) == list(range(300))
+    assert [r.place for r in capture_index.numbered(parts).orderBy("place").collect()] == list(range(300))
+    again = [(r.url_key, r.date, r.page_id if r.page_id is not None else 99, r.offset) for r in capture_index.numbered(capture_index.merged(table.repartition(3))).orderBy("place").collect()]
+    assert again == got
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
+def test_loser_tree(k):
+    random = np.random.default_rng(k)
+    lists = [sorted((str(x), 0, 0, i) for x in random.integers(0, 30, random.integers(0, 12))) for i in range(k)]
+    at, got = [0] * k, []
+    for i in capture_index.LoserTree(lists):
+        got.append(lists[i][at[i]])
+        at[i] += 1
+    assert got == sorted(x for each in lists for x in each)

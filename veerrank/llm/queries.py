@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamerly, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files
+from . import decontaminate, hamerly, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -63,17 +63,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archived(table(spark, sf_dir, "pages"), least=1000)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place")
+
+
 def op13_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_lm_score, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_substring_dedup, op7_token_files, op8_secret_scan, op9_simhash, op10_quality_classifier, op13_cluster)
+    found = (op1_mix_sources, op2_lm_score, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_substring_dedup, op7_token_files, op8_secret_scan, op9_simhash, op10_quality_classifier, op11_warc, op13_cluster)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": DECONTAMINATE, "op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS, "op13_cluster": _clusters()}
+    return {"op3_decontaminate": DECONTAMINATE, "op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS, "op11_warc": WARC, "op13_cluster": _clusters()}
 
 
 #: Windows of ten words as text, found by their exact text; hit words are counted once.
@@ -158,6 +163,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed d LEFT JOIN wide f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source
 """
 
+#: Digests of the payloads, the largest page of each, and the place in the order of URL key, date and id.
+WARC = r"""
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS payload, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '#.*$', '', 's') AS rest FROM pages),
+parts AS (SELECT *, regexp_extract(rest, '^([^/?]*)', 1) AS site FROM rows),
+hosts AS (
+  SELECT *, substr(rest, length(site) + 1) AS path, regexp_replace(lower(regexp_replace(regexp_replace(site, '^.*@', ''), ':(80|443)$', '')), '^www\d*\.', '') AS host FROM parts),
+captures AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest, 1577836800 + coalesce(((page_id % 1000000000) + 1000000000) % 1000000000, 0) AS date,
+    coalesce(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path LIKE '/%' THEN path ELSE '/' || path END, '') AS url_key
+  FROM hosts),
+tops AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM captures),
+kinds AS (SELECT *, top IS NOT NULL AND page_id IS DISTINCT FROM top AS revisit FROM tops)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN top END AS refers_to, url_key,
+  row_number() OVER (ORDER BY encode(url_key), date, page_id NULLS LAST) - 1 AS place
+FROM kinds
+"""
+
 
 def _clusters(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
     """Rounds of assignment and floored means, one after the other, over all pairs of vector and centroid."""
