@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veerrank.llm import capture_index, hamerly, warc
+from veerrank.llm import capture_index, hamerly, hard_negatives, warc
 from veerrank.llm import queries as llm_queries
+from veerrank.operators import nearest
 
 INF = float("inf")
 
@@ -166,3 +167,19 @@ def test_loser_tree(k):
         got.append(lists[i][at[i]])
         at[i] += 1
     assert got == sorted(x for each in lists for x in each)
+
+
+def test_hard_negatives(spark, tmp_path, monkeypatch):
+    """Rows that score alike, nulls, other lengths and repeated rows, in small blocks and over several rounds; clusters cross labels, so that windows are full."""
+    for name, value in (("ROWS", 7), ("FIRST", 2), ("GROWTH", 2), ("QUERIES", 3)):
+        monkeypatch.setattr(nearest, name, value)
+    rows = vector_rows(6, n=260) + vector_rows(6, n=51)
+    random = np.random.default_rng(1)
+    rows += [(1000 + i, [float(v * 0.8 + w * 0.1) for v, w in zip(rows[i % 40][1], random.standard_normal(64))], int(random.integers(10)), "x", 1, "y") for i in range(300)]
+    table = spark.createDataFrame(rows, VECTORS).repartition(3)
+    got = same_as_sql(spark, "op12_hard_negatives", {"embeddings": table}, tmp_path)
+    assert len(got) > 100 and {r["rank"] for r in got} == {1, 2, 3}
+    assert hard_negatives.mine(spark.createDataFrame([], VECTORS)).count() == 0
+    assert hard_negatives.mine(table.where("vec_id % 50 <> 0")).count() == 0
+    with pytest.raises(ValueError):
+        hard_negatives.mine(spark.createDataFrame([(50, [1e9], 1), (51, [1e9], 2)], "vec_id long, embedding array<double>, label int"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamerly, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files, warc
+from . import decontaminate, hamerly, hard_negatives, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -68,17 +68,21 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), every=50, positives=5, negatives=3, least=50, most=95, scale=256)
+
+
 def op13_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_lm_score, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_substring_dedup, op7_token_files, op8_secret_scan, op9_simhash, op10_quality_classifier, op11_warc, op13_cluster)
+    found = (op1_mix_sources, op2_lm_score, op3_decontaminate, op4_quality_rules, op5_token_counts, op6_substring_dedup, op7_token_files, op8_secret_scan, op9_simhash, op10_quality_classifier, op11_warc, op12_hard_negatives, op13_cluster)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": DECONTAMINATE, "op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS, "op11_warc": WARC, "op13_cluster": _clusters()}
+    return {"op3_decontaminate": DECONTAMINATE, "op4_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS, "op11_warc": WARC, "op12_hard_negatives": NEGATIVES, "op13_cluster": _clusters()}
 
 
 #: Windows of ten words as text, found by their exact text; hit words are counted once.
@@ -181,6 +185,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit'
 FROM kinds
 """
 
+#: All products of anchors and rows, ranked twice.
+NEGATIVES = r"""
+WITH rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS id, CAST(coalesce(list_sum(list_transform(list_zip(a.x, b.x, true), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positives AS (SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) AS place FROM scores WHERE alike QUALIFY place <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, place ORDER BY score DESC, id NULLS LAST) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON p.a = s.a AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
 
 def _clusters(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
     """Rounds of assignment and floored means, one after the other, over all pairs of vector and centroid."""

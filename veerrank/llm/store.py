@@ -2,27 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-from ..sources.shared import buckets_for, input_bytes, scratch, shared_dir, stash
+from ..sources.shared import buckets_for, discard, input_bytes, scratch, shared_dir, shelve, stash
 
 __all__ = ["buckets_for", "discard", "input_bytes", "scratch", "shared_dir", "shelve", "stash"]
-
-
-def shelve(df: DataFrame, name: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
-    """Write df once, bucketed by key, and read it back: tables of as many buckets meet by key without a shuffle. dealt: a task of df holds one bucket already."""
-    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", scratch(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(table)
-    rows = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")  # the files stay; the frame knows where they are
-    return rows
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files under a table that is needed no more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
