@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veerrank.functions import keys as K
 from veerrank.functions.penalties import PENALTIES, Streams, penalty
-from veerrank.operators import grid, metrics, ranking, training
+from veerrank.operators import grid, metrics, nearest, ranking, training
 from veerrank.plans import queries as Q
 from veerrank.sources import readers, sinks
 from veerrank.streaming import cache_log
@@ -143,12 +143,59 @@ def test_blocks_of_queries_score_each_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(50)] + [(99, None, 0)], "doc long, embedding array<float>, label int")
     queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(9)] + [(3, [1.0, 3.0]), (20, None)], "q long, v array<float>")
     whole = sorted(map(tuple, ranking.score_all(queries, docs, {"s": "v"}, ("label",)).collect()))
-    monkeypatch.setattr(ranking, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ranking, "DOCUMENT_BLOCK", 3)
     assert whole == sorted(map(tuple, ranking.score_all(queries, docs, {"s": "v"}, ("label",)).collect())) and len(whole) == 500
     assert all(r[2] == r[1] % 2 for r in whole)
-    few = ranking.score_all(queries.where("q <> 3"), docs, {"s": "v"}, top=("s", 3))
-    assert few.count() < 120 and ranking.top_k(few, "s", 3).count() == 24
-    assert sorted(map(tuple, ranking.top_k(few, "s", 3).collect())) == sorted(map(tuple, ranking.top_k(ranking.score_all(queries.where("q <> 3"), docs, {"s": "v"}), "s", 3).collect()))
+    few = ranking.first_by_product(queries.where("q <> 3"), docs, ("v",), 3)
+    assert few.count() == 24
+    assert sorted((r.q, r.doc, r.score, r["rank"]) for r in few.collect()) == sorted(map(tuple, ranking.top_k(ranking.score_all(queries.where("q <> 3"), docs, {"s": "v"}), "s", 3).collect()))
+
+
+def test_certified_search_skips_and_finds_all(spark, monkeypatch):
+    """Clustered vectors with exact copies: the rows of a whole scan from a small share of its products, penalised or not."""
+    monkeypatch.setattr(nearest, "ROWS", 16)
+    monkeypatch.setattr(nearest, "FIRST", 8)
+    random = np.random.default_rng(2)
+    centres = random.standard_normal((30, 16))
+    points = centres[np.arange(1500) % 30] + random.standard_normal((1500, 16)) * 0.1
+    points = [[float(np.float32(x)) for x in v / np.linalg.norm(v)] for v in points]
+    points[300:330] = [points[0]] * 30
+    docs = spark.createDataFrame([(i, p) for i, p in enumerate(points)] + [(7, points[9]), (None, points[3]), (1600, None), (1601, [float("nan")] * 16)], "doc long, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(i, points[i], points[i + 1], 0.1 * (i % 3), float(i % 2)) for i in range(0, 40)], "q long, a array<float>, b array<float>, tau double, mask double")
+    products = []
+    found = ranking.first_by_product(queries, docs, ("a",), 12, products=products).collect()
+    assert products[0] < 0.4 * 40 * 1502
+    x = np.array([*points, points[9], points[3]])
+    ids = [*range(1500), 7, None]
+
+    def best(scores, k, skip=None):
+        order = sorted((-s, d is None, d or 0) for s, d in zip(scores, ids) if skip is None or d != skip)
+        return [(None if none else d, round(-s, 9)) for s, none, d in order[:k]]
+
+    for q in range(40):
+        assert [(r.doc, round(r.score, 9)) for r in sorted(found, key=lambda r: r["rank"]) if r.q == q] == best((x * x[q]).sum(1), 12)
+    final = ranking.first_by_product(queries, docs, ("a", "b"), 5, ("tau", "mask"), lambda s, e: s[0] - np.maximum(s[1] - e[..., 0], 0) * e[..., 1], others=True).collect()
+    for q in range(40):
+        scores = (x * x[q]).sum(1) - np.maximum((x * x[q + 1]).sum(1) - 0.1 * (q % 3), 0) * (q % 2)
+        assert [round(r.score, 6) for r in sorted(final, key=lambda r: r["rank"]) if r.q == q] == [round(s, 6) for _, s in best(scores, 5, skip=q)]
+    assert ranking.first_by_product(queries, docs.limit(0), ("a",), 3).count() == 0 and ranking.first_by_product(queries.limit(0), docs, ("a",), 3).count() == 0
+
+
+def test_ranks_of_large_groups(spark):
+    """A group over many tasks, ties, null keys and one row of its own rank as one sort does."""
+    random = np.random.default_rng(6)
+    rows = [(0 if i % 3 else (None if i % 2 else i), float(random.integers(0, 9)), i) for i in range(900)]
+    table = spark.createDataFrame(rows, "q long, s double, doc long").repartition(7)
+    got = {r.doc: r["rank"] for r in ranking.ranked(table, "s").collect()}
+    tiles = {r.doc: r.tile for r in ranking.tiles(table.where("q is not null"), "s", 7).collect()}
+    for key in {q for q, _, _ in rows}:
+        order = sorted((-s, d) for q, s, d in rows if q == key)
+        assert [got[d] for _, d in order] == list(range(1, len(order) + 1))
+        if key is not None:
+            assert [tiles[d] for _, d in order] == [t + 1 for t, part in enumerate(np.array_split(np.arange(len(order)), 7)) for _ in part]
+    wide = ranking.ranked(table, "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in wide or "_part" in wide
 
 
 def test_places_run_through_spans(spark):

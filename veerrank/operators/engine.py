@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.keys import NONE, mask_strict, query_text
 from ..functions.penalties import Streams, penalty
 from ..functions.vectors import cosine
+from ..sources.shared import stash
 from . import metrics
-from .ranking import ranked, score_candidates
+from .ranking import ranked, score_candidates, top_k
 
 #: Tasks that are known by name (fixed values).
 TASKS = ("Core17InstructionRetrieval", "Robust04InstructionRetrieval", "News21InstructionRetrieval")
 KS = (1, 3, 5, 10, 100, 1000)
+#: Runs of up to so many ranks are cut while they are sorted; longer ones are ranked by ranges.
+SHORT = 10_000
 
 
 @dataclass(frozen=True)
@@ -117,7 +120,8 @@ def final_scores(scores: DataFrame, config: Config, **params) -> DataFrame:
 
 def run_of(final: DataFrame, keep: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, qid, base_qid, query_type, doc, rank, score: the first `keep` of each query."""
-    return ranked(final, "score", (*keys, "qid")).where(F.col("rank") <= keep).select(*keys, "qid", "base_qid", "query_type", "doc", "rank", "score")
+    placed = top_k(final, "score", keep, (*keys, "qid")) if keep <= SHORT else ranked(final, "score", (*keys, "qid")).where(F.col("rank") <= keep)
+    return placed.select(*keys, "qid", "base_qid", "query_type", "doc", "rank", "score")
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, changed_against_og: bool = False, binary: str = "positive", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -134,10 +138,13 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, changed
 
 def changes(run: DataFrame, diff: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, base_qid, doc, og_rank, new_rank, change of each document whose judgement changed."""
-    sides = [run.where(F.col("query_type") == kind).select(*keys, F.col("base_qid").alias("q"), "doc", "rank") for kind in ("og", "changed")]
+    return changes_between(*(run.where(F.col("query_type") == kind) for kind in ("og", "changed")), diff, keys)
+
+
+def changes_between(before: DataFrame, after: DataFrame, diff: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same of two runs; the first may lack the keys."""
+    sides = [run.select(*(k for k in keys if k in run.columns), F.col("base_qid").alias("q"), "doc", "rank") for run in (before, after)]
     listed = diff.select(F.col("base_qid").alias("q"), F.explode("doc_ids").alias("doc"))
-    if keys:
-        listed = listed.join(sides[0].select(*keys, "q").distinct(), "q")
     return metrics.rank_changes(*sides, listed, (*keys, "q")).withColumnRenamed("q", "base_qid")
 
 
@@ -155,11 +162,18 @@ def tasks_summary(bundles: DataFrame) -> DataFrame:
 
 
 def sweep(scores: DataFrame, points: DataFrame, qrels: DataFrame, diff: DataFrame, config: Config, ks: tuple[int, ...] = (5,)) -> DataFrame:
-    """The bundle of every grid point (param_index, alpha, tau) in one plan: scored once, crossed with the small grid."""
-    crossed = scores.drop("alpha", "tau").crossJoin(F.broadcast(points))
-    run = run_of(final_scores(crossed, config), config.keep, ("param_index",))
-    found = bundle(evaluate(run, qrels, ks, keys=("param_index",)), changes(run, diff, ("param_index",)), ("param_index",))
-    return points.join(found, "param_index")
+    """The bundle of every grid point (param_index, alpha, tau) in one plan: scored once, crossed with the small grid.
+
+    Where original queries keep their base score they are the same at every point: ranked and measured once, only changed queries are crossed."""
+    keys, og = ("param_index",), F.col("query_type") == "og"
+    crossed = (scores.where(~og) if config.isolate_og else scores).drop("alpha", "tau").crossJoin(F.broadcast(points))
+    run = stash(run_of(final_scores(crossed, config), config.keep, keys), "swept")
+    per = evaluate(run, qrels, ks, keys=keys)
+    if not config.isolate_og:
+        return points.join(bundle(per, changes(run, diff, keys), keys), "param_index")
+    before = stash(run_of(final_scores(scores.where(og), config), config.keep), "original")
+    both = per.unionByName(evaluate(before, qrels, ks).crossJoin(F.broadcast(points.select(*keys))))
+    return points.join(bundle(both, changes_between(before, run, diff, keys), keys), "param_index")
 
 
 def best(results: DataFrame, k: int = 5) -> DataFrame:

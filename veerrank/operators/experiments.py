@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
 from . import engine, metrics
 from .ranking import ranked
 
@@ -47,14 +48,17 @@ def run(scores: DataFrame, name: str, qrels: DataFrame, diff: DataFrame, k: int
     scores: qid, base_qid, query_type, doc, mask, tau (the query's own), s_base, s_neg. Scored once, crossed with the grid."""
     penalty, axes = EXPERIMENTS[name]
     grid = points(scores.sparkSession, name)
-    crossed = scores.drop("alpha").crossJoin(F.broadcast(grid))
+    og = F.col("query_type") == "og"  # original queries keep their base score: the same at every point
+    crossed = scores.where(~og).drop("alpha").crossJoin(F.broadcast(grid))
     if "delta" in axes:
         crossed = crossed.withColumn("tau", F.col("tau") + F.col("delta"))
     extra = {a: F.col(a) for a in axes if a not in ("alpha", "delta")}
     keys = ("param_index",)
-    whole = ranked(engine.final_scores(crossed, engine.Config(penalty=penalty), **extra), "score", (*keys, "qid"))
-    per = engine.evaluate(whole, qrels, (k,), keys=keys).where("query_type = 'changed'")
-    moved = metrics.p_mrr(engine.changes(whole, diff, keys), keys, "base_qid")
+    config = engine.Config(penalty=penalty)
+    after = stash(ranked(engine.final_scores(crossed, config, **extra), "score", (*keys, "qid")), "experiment")
+    before = ranked(engine.final_scores(scores.where(og).withColumn("alpha", F.lit(1.0)), config), "score", ("qid",))
+    per = engine.evaluate(after, qrels, (k,), keys=keys)
+    moved = metrics.p_mrr(engine.changes_between(before, after, diff, keys), keys, "base_qid")
     return grid.join(metrics.macro(per, keys, ("map", "ndcg")), "param_index").join(moved, "param_index")
 
 

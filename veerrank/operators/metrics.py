@@ -54,14 +54,18 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...], keys: tuple
 
 
 def rank_changes(og_run: DataFrame, new_run: DataFrame, diff: DataFrame, keys: tuple[str, ...] = ("q",)) -> DataFrame:
-    """keys, doc, og_rank, new_rank, change for each document of diff; a document outside a run ranks behind its last."""
+    """keys, doc, og_rank, new_rank, change for each document of diff; a document outside a run ranks behind its last.
+
+    A key that the original run or diff lacks (a grid point, where only the new run depends on it) holds for all its values."""
 
     def placed(run: DataFrame, name: str) -> DataFrame:
-        sizes = run.groupBy(*keys).agg(F.max("rank").alias("n"))
-        rows = diff.join(sizes, list(keys)).join(run.select(*keys, "doc", "rank"), [*keys, "doc"], "left")
-        return rows.select(*keys, "doc", F.coalesce(F.col("rank"), F.col("n") + 1).alias(name))
+        own = [k for k in keys if k in run.columns]
+        sizes = run.groupBy(*own).agg(F.max("rank").alias("n"))
+        rows = diff.join(sizes, [k for k in own if k in diff.columns]).join(run.select(*own, "doc", "rank"), [*own, "doc"], "left")
+        return rows.select(*own, "doc", F.coalesce(F.col("rank"), F.col("n") + 1).alias(name))
 
-    both = placed(og_run, "og_rank").join(placed(new_run, "new_rank"), [*keys, "doc"])
+    before, after = placed(og_run, "og_rank"), placed(new_run, "new_rank")
+    both = before.join(after, [c for c in (*keys, "doc") if c in before.columns and c in after.columns])
     return both.withColumn("change", rank_score(F.col("og_rank"), F.col("new_rank")))
 
 

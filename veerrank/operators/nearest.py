@@ -35,7 +35,7 @@ SAMPLE, PIVOTS = 4096, 256
 #: Rows of a block, at least and at most; bytes of input of a range; queries of one visit; numbers in one table of bounds.
 ROWS, MOST_ROWS, RANGE_BYTES, QUERIES, BOUNDS = 1024, 1 << 16, 32 << 20, 256, 1 << 22
 #: Blocks that a query visits in its first round, and how much more in each next one.
-FIRST, GROWTH = 4, 4
+FIRST, GROWTH = 32, 4
 NULL_ID = np.iinfo(np.int64).max
 _EPS = 1e-9
 
@@ -69,14 +69,14 @@ class Index:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Lists of numbers as rows of doubles, zeros behind the shorter ones."""
+    """Lists of numbers as rows of `dim` doubles: zeros behind the shorter ones, what is longer has nothing to meet."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if (sizes == dim).all():
+    if dim and (sizes == dim).all():
         return flat.reshape(-1, dim)
-    out = np.zeros((len(sizes), dim))
-    out[np.arange(dim) < sizes[:, None]] = flat
-    return out
+    out = np.zeros((len(sizes), max(dim, sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    return out[:, :dim]
 
 
 def _packed(x: np.ndarray) -> tuple[int, bytes]:
@@ -232,7 +232,7 @@ def _scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, dim: int
     return out
 
 
-def _scan(row: dict, dim: int, k: int, same: bool | None, final: Final | None, streams: int, extra: int) -> pa.RecordBatch:
+def _scan(row: dict, dim: int, k: int, same: bool | None, final: Final | None, streams: int, extra: int, others: bool) -> pa.RecordBatch:
     """The first k of each query and window in one block."""
     ids, labels, x = _block(row, dim)
     m, n = row["m"], row["n"]
@@ -249,6 +249,8 @@ def _scan(row: dict, dim: int, k: int, same: bool | None, final: Final | None, s
         if same is not None:
             score = np.where((label[some, None] == labels) == same, score, -np.inf)
         score[hers, own[some][hers] & 0xFFFF] = -np.inf
+        if others:
+            score = np.where(anchor[some, None] == ids, -np.inf, score)
         slack = _EPS * (1 + np.abs(score, where=np.isfinite(score), out=np.zeros_like(score)).max(initial=0))
         for w in range(high.shape[1]):
             fits = np.where((score <= high[some, w, None] + slack) & (score >= low[some, w, None] - slack), score, -np.inf)
@@ -278,12 +280,12 @@ def _visit(known: Directory, j: int, queries: pa.RecordBatch, width: int) -> pa.
     return pa.RecordBatch.from_pylist([row | {"block": int(known.block[j]), "m": queries.num_rows, "high": high.tobytes(), "low": low.tobytes()}], _VISIT)
 
 
-def search(index: Index, queries: DataFrame, k: int, same: bool | None = None, final: Final | None = None, streams: int = 1, extra: int = 0, products: list[int] | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, same: bool | None = None, final: Final | None = None, streams: int = 1, extra: int = 0, others: bool = False, products: list[int] | None = None) -> DataFrame:
     """uid, anchor, window, rank, score, id and label of each window's first k rows.
 
     queries: QUERY; x holds `streams` vectors one after the other, the first of which is searched by, and extra so many more
     doubles. high and low: each window's largest and least score; none is one window of all scores. own: the query's
-    row in the index, which it does not find, or -1. same: only rows of its label, or only others, or all.
+    row in the index, which it does not find, or -1. same: only rows of its label, or only others, or all. others: a row of the query's own id (anchor) does not count.
     final: products of the streams and the extras -> the score that counts, never above the first product. Rows of queries
     whose windows hold nothing are missing. products: gets how many products were computed.
     """
@@ -302,7 +304,7 @@ def search(index: Index, queries: DataFrame, k: int, same: bool | None = None, f
                 row = batch.slice(i, 1).to_pylist()[0]
                 if counter is not None:
                     counter.add(row["m"] * row["n"])
-                yield _scan(row, dim, k, same, final, streams, extra)
+                yield _scan(row, dim, k, same, final, streams, extra, others)
 
     while begin < blocks and not state.isEmpty():
         end = min(blocks, begin + step)
@@ -330,7 +332,7 @@ def search(index: Index, queries: DataFrame, k: int, same: bool | None = None, f
                     rows = pa.table([*part.columns[:-3], pa.array(list(high), pa.list_(pa.float64())), pa.array(list(low), pa.list_(pa.float64()))], [c.split()[0] for c in QUERY.split(", ")])
                     yield from rows.filter(pa.array(~done)).to_batches()
 
-        joined = state.mapInArrow(visits, VISIT).join(index.blocks.drop("pivot", "least", "most"), "block")
+        joined = state.mapInArrow(visits, VISIT).join(index.blocks.drop("pivot", "least", "most").hint("shuffle_hash"), "block")  # a bucket's blocks fit a task, visits are many
         order = Window.partitionBy("uid", "window").orderBy(F.desc("score"), "id")
         found = found.unionByName(joined.mapInArrow(scan, FOUND)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = stash(found, "nearest")

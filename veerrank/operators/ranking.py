@@ -12,9 +12,11 @@ from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot
+from ..sources.shared import stash
+from . import nearest
 
-#: Query vectors in one broadcast block; more queries are scored in several blocks.
-BLOCK_QUERIES = 4096
+#: Queries and documents of one block of vectors.
+QUERY_BLOCK, DOCUMENT_BLOCK = 256, 2048
 
 
 def score_candidates(pairs: DataFrame, queries: DataFrame, documents: DataFrame, streams: dict[str, str]) -> DataFrame:
@@ -23,59 +25,104 @@ def score_candidates(pairs: DataFrame, queries: DataFrame, documents: DataFrame,
     return joined.select(*[c for c in joined.columns if c != "_d" and c not in streams.values()], *(dot(v, "_d").alias(s) for s, v in streams.items()))
 
 
-def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str], carry: tuple[str, ...] = (), top: tuple[str, int] | None = None) -> DataFrame:
-    """q, doc, the carried columns of documents and one score per stream for every query and document, by blocked matrix products in Arrow batches.
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    The query side is a stated set, read in blocks of bounded size (a query's hash names its block, so repeated ids stay
-    together); documents are neither moved nor collected. Queries and documents without a vector have no scores. top:
-    a stream and k; of each batch only the documents leave that can be among a query's first k (by score, then doc).
+
+def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """q, doc, the carried columns of documents and one score per stream for every query and document.
+
+    Both sides are packed into blocks of vectors where they are, and blocks meet on the executors: a pair of blocks is one
+    matrix product for each stream. The query side is a stated set; neither side passes the driver. Queries and documents without a
+    vector have no scores.
     """
-    spark, out = documents.sparkSession, None
     carried = documents.select(*carry).schema.fields
     shape = S.StructType([S.StructField("q", S.LongType()), S.StructField("doc", S.LongType()), *carried, *(S.StructField(s, S.DoubleType()) for s in streams)])
-    sides = queries.select("q", *streams.values()).dropna(subset=list(streams.values()))
-    n_blocks = max(1, -(-sides.count() // BLOCK_QUERIES))
-    names = [f.name for f in shape]
+    names, fields, sides = [f.name for f in shape], ["doc", *carry], list(streams.values())
 
-    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    def packed(kept: list[str], vectors: list[str], size: int):
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, size):
+                    part = batch.slice(lo, size)
+                    about = pa.RecordBatch.from_arrays([part[c] for c in kept], kept)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, about.schema) as out:
+                        out.write_batch(about)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), *(_matrix(part[v]).tobytes() for v in vectors))], ["about", *(f"v{i}" for i in range(len(vectors)))])
+
+        return pack
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, who = (pa.ipc.open_stream(row[c]).read_next_batch() for c in ("about", "q_about"))
+                vectors = np.frombuffer(row["v0"]).reshape(docs.num_rows, -1)
+                scores = [vectors @ np.frombuffer(row[f"q_v{i}"]).reshape(who.num_rows, -1).T for i in range(len(sides))]
+                at, q = (pa.array(x) for x in np.indices(scores[0].shape).reshape(2, -1))
+                yield pa.RecordBatch.from_arrays([who["q"].take(q), docs["doc"].take(at), *(docs[c].take(at) for c in carry), *(pa.array(x.ravel()) for x in scores)], names)
+
+    d = documents.where("embedding is not null").select(*fields, "embedding").mapInArrow(packed(fields, ["embedding"], DOCUMENT_BLOCK), "about binary, v0 binary")
+    blocks = queries.select("q", *sides).dropna(subset=sides).mapInArrow(packed(["q"], sides, QUERY_BLOCK), ", ".join(f"{c} binary" for c in ("about", *(f"v{i}" for i in range(len(sides))))))
+    return d.crossJoin(blocks.select(*(F.col(c).alias(f"q_{c}") for c in blocks.columns))).mapInArrow(multiply, shape)
+
+
+def first_by_product(queries: DataFrame, documents: DataFrame, vectors: tuple[str, ...], k: int, extra: tuple[str, ...] = (), final: nearest.Final | None = None, others: bool = False, products: list[int] | None = None) -> DataFrame:
+    """q, doc, score and rank of each query's first k documents, by a certified search that skips what cannot be among them.
+
+    The first of the query's vectors is searched by; final gives the score that counts from the products of all vectors and
+    the extra columns, never above the first product. others: a document of the query's own id does not count. documents:
+    doc and embedding; those without a finite vector, and queries without vectors, take no part.
+    """
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    index = nearest.build(documents.where(F.coalesce(finite, F.lit(False))).select(F.col("doc").alias("id"), F.lit(0).cast("long").alias("label"), F.col("embedding").alias("x")))
+    dim = index.directory.dim
 
-    for block in range(n_blocks):
-        rows = sides.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block).toArrow()
-        numbers = rows["q"].to_numpy()
-        share = spark.sparkContext.broadcast((numbers, [matrix(rows[v]) for v in streams.values()] if len(numbers) else []))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = np.column_stack([nearest.matrix(batch[v], dim) for v in vectors])
+            more = np.column_stack([batch[c].to_numpy(zero_copy_only=False) for c in extra]).astype(np.float64) if extra else np.zeros((n, 0))
+            whole, none = pa.array([[]] * n, pa.list_(pa.float64())), pa.array(np.full(n, -1))
+            yield pa.RecordBatch.from_arrays([batch["uid"], none, batch["q"], pa.array(np.zeros(n, np.int64)), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, more)), whole, whole], [c.split()[0] for c in nearest.QUERY.split(", ")])
 
-        def multiply(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
-            numbers, sides = share.value
-            for batch in batches:
-                if not batch.num_rows or not len(numbers):
-                    continue
-                vectors, docs = matrix(batch["embedding"]), batch["doc"].to_numpy()
-                for lo in range(0, len(vectors), 1024):
-                    scores = [vectors[lo : lo + 1024] @ side.T for side in sides]
-                    at, who = np.indices(scores[0].shape).reshape(2, -1)
-                    if top and top[1] < len(scores[0]):
-                        by = scores[list(streams).index(top[0])]
-                        keep = by >= -np.partition(-by, top[1] - 1, axis=0)[top[1] - 1]  # ties with the k-th stay for the ranking
-                        at, who = np.nonzero(keep)
-                    place = pa.array(at + lo)
-                    parts = [pa.array(numbers[who]), pa.array(docs[at + lo]), *(batch[c].take(place) for c in carry), *(pa.array(x[at, who]) for x in scores)]
-                    yield pa.RecordBatch.from_arrays(parts, names)
-
-        found = documents.where("embedding is not null").select("doc", "embedding", *carry).mapInArrow(multiply, shape)
-        out = found if out is None else out.unionByName(found)
-    return out
+    asked = queries.dropna(subset=list(vectors)).select(F.monotonically_increasing_id().alias("uid"), "q", *vectors, *extra).mapInArrow(pack, nearest.QUERY)
+    found = nearest.search(index, asked, k, final=final, streams=len(vectors), extra=len(extra), others=others, products=products)
+    return found.select(F.col("anchor").alias("q"), F.col("id").alias("doc"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def ranked(scored: DataFrame, score: str, keys: tuple[str, ...] = ("q",), tie: str = "doc", name: str = "rank") -> DataFrame:
-    """Rank within keys by score descending, then tie ascending."""
+    """Rank within keys by score descending, then tie ascending, whatever the size of a key's group.
+
+    Rows are dealt by ranges of (keys, score, tie) and sorted there, so a large group takes many tasks; a row's place in its task,
+    and a row for each group and task with how many came before, give the rank.
+    """
+    order = [*(F.col(k) for k in keys), F.desc(score), F.asc(tie)]
+    dealt = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = stash(dealt, "ranked").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")
+    starts = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), (before - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(starts, same).select(*scored.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def top_k(scored: DataFrame, score: str, k: int, keys: tuple[str, ...] = ("q",), tie: str = "doc", name: str = "rank") -> DataFrame:
+    """The first k rows of each key with their rank; a task sends no more than k of a key's rows on."""
     order = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))
-    return scored.withColumn(name, F.row_number().over(order).cast("long"))
+    return scored.withColumn(name, F.row_number().over(order).cast("long")).where(F.col(name) <= k)
 
 
-def top_k(scored: DataFrame, score: str, k: int, keys: tuple[str, ...] = ("q",), tie: str = "doc") -> DataFrame:
-    return ranked(scored, score, keys, tie).where(F.col("rank") <= k)
+def tiles(scored: DataFrame, score: str, n: int, keys: tuple[str, ...] = ("q",), tie: str = "doc", name: str = "tile") -> DataFrame:
+    """Rows with the number of their tile from 1: n tiles a key, as even as can be, the first ones larger."""
+    placed = ranked(scored, score, keys, tie, "_rank")
+    sizes = placed.groupBy(*keys).agg(F.max("_rank").alias("_n"))
+    at, each, more = F.col("_rank") - 1, F.floor(F.col("_n") / n), F.col("_n") % n
+    inside = F.when(at < more * (each + 1), F.floor(at / (each + 1))).otherwise(more + F.floor((at - more * (each + 1)) / F.greatest(each, F.lit(1))))
+    return placed.join(sizes, list(keys)).select(*scored.columns, (inside + 1).cast("long").alias(name))
 
 
 def _one(rows: DataFrame, keys: tuple[str, ...], order: Column) -> DataFrame:
@@ -106,8 +153,15 @@ def numbered(rows: DataFrame, group: str, major: str, minor: str, span: int = 40
 
 
 def query_statistics(scored: DataFrame, column: str, gamma: Column | float, keys: tuple[str, ...] = ("q",)) -> DataFrame:
-    """Distribution-aware threshold tau = mean + gamma * population deviation over a query's candidates; an even distribution gives its mean."""
-    group = Window.partitionBy(*keys)
-    mean, deviation = F.avg(column).over(group), F.stddev_pop(column).over(group)
+    """Distribution-aware threshold tau = mean + gamma * population deviation over a query's candidates; an even distribution gives its mean.
+
+    Two numbers a key are summed where the rows are and joined back."""
     gamma = F.lit(gamma) if isinstance(gamma, float) else gamma
-    return scored.withColumn("_mean", mean).withColumn("_dev", deviation).withColumn("tau", F.when(F.col("_dev") < 1e-8, F.col("_mean")).otherwise(F.col("_mean") + gamma * F.col("_dev"))).drop("_mean", "_dev")
+    mean, deviation = F.col("_mean"), F.col("_dev")
+    return with_moments(scored, column, keys).withColumn("tau", F.when(deviation < 1e-8, mean).otherwise(mean + gamma * deviation)).drop("_mean", "_dev")
+
+
+def with_moments(scored: DataFrame, column: str, keys: tuple[str, ...] = ("q",)) -> DataFrame:
+    """Rows with _mean and _dev (population) of a column over their key."""
+    stats = scored.groupBy(*keys).agg(F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_dev"))
+    return scored.join(stats, list(keys))

@@ -75,9 +75,9 @@ def tolerance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT q, round(ln(exp(p / 0.1e0) + sum(exp(n / 0.1e0))) - p / 0.1e0, 5) AS nce, round(avg(greatest(0e0, 0.2e0 + n - p)), 6) AS margin FROM pos JOIN neg USING (q) GROUP BY q, p""", fixture=True)
 def ranking_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy and mean hinge of each query's best relevant score against its irrelevant scores in the first 20."""
-    rows = ranking.ranked(X.scored(spark, sf_dir), "so").withColumn("relevant", F.col("label") == F.col("q_label"))
-    sides = rows.groupBy("q").agg(F.max(F.when(F.col("relevant"), F.col("so"))).alias("p"), F.collect_list(F.when(~F.col("relevant") & (F.col("rank") <= 20), F.col("so"))).alias("n"))
-    sides = sides.where("p is not null and size(n) > 0")
+    rows = stash(X.scored(spark, sf_dir), "scored")
+    best = rows.where("label = q_label").groupBy("q").agg(F.max("so").alias("p"))
+    sides = best.join(ranking.top_k(rows, "so", 20).where("label <> q_label").groupBy("q").agg(F.collect_list("so").alias("n")), "q")
     hinges = F.transform("n", lambda n: training.margin_loss(F.col("p"), n))
     mean = F.aggregate(hinges, F.lit(0.0), lambda s, x: s + x) / F.size("n")
     return sides.select("q", F.round(training.info_nce(F.concat(F.array("p"), "n")), 5).alias("nce"), F.round(mean, 6).alias("margin"))
@@ -138,8 +138,7 @@ def same_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT q, tenth, round(avg(so), 6) AS mean FROM (SELECT q, so, CAST(ntile(10) OVER (PARTITION BY q ORDER BY so DESC, doc) AS BIGINT) AS tenth FROM scored) GROUP BY q, tenth", fixture=True)
 def interval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over tenths of each query's ranking."""
-    tenth = F.ntile(10).over(Window.partitionBy("q").orderBy(F.col("so").desc(), "doc")).cast("long")
-    return X.scored(spark, sf_dir).select("q", "so", tenth.alias("tenth")).groupBy("q", "tenth").agg(F.round(F.avg("so"), 6).alias("mean"))
+    return ranking.tiles(X.scored(spark, sf_dir), "so", 10, name="tenth").groupBy("q", "tenth").agg(F.round(F.avg("so"), 6).alias("mean"))
 
 
 @query("SELECT user_id, event_id, value, min(value) OVER w AS best, event_id - max(CASE WHEN fresh THEN event_id END) OVER w AS waited FROM (SELECT *, value < coalesce(min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), value + 1) AS fresh FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")

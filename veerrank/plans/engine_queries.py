@@ -455,7 +455,7 @@ def victim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = Streams(F.col("sb"), F.col("sn"), F.col("tau_q"), F.col("mask"))
     rows = stash(X.scored(spark, sf_dir).withColumn("score", method("classic")(s)), "scored")
-    found = victims(ranking.ranked(rows, "so"), ranking.ranked(rows, "score"), X.qrels(rows, False))
+    found = victims(ranking.top_k(rows, "so", 10), ranking.ranked(rows, "score"), X.qrels(rows, False))
     texts = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     scores = rows.select("q", "doc", "sb", "sn", F.col("tau_q").alias("tau"), F.lit(1.0).alias("alpha"), "mask")
     nested = reports.victim_report(found.drop("rel"), scores, rows.select("q", F.lit("").alias("q_plus")).distinct(), texts)

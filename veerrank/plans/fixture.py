@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from ..operators.ranking import score_all
+from ..operators.ranking import first_by_product, score_all
 
 #: Every embedding whose id is a multiple of this is a query.
 QUERY_STEP = 100
@@ -31,12 +31,20 @@ def dual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(plus, "p_id").join(minus, "m_id").select("q", "q_label", "mask", "orig", "qp", "qm")
 
 
-def scored(spark: SparkSession, sf_dir: str, top: tuple[str, int] | None = None) -> DataFrame:
-    """q, doc, mask, tau_q (dynamic threshold), so, sb, sn, label, q_label of each candidate pair: every query with every other document; top: as in score_all."""
+def with_tau(queries: DataFrame) -> DataFrame:
+    return queries.withColumn("tau_q", F.least(cosine("orig", "qm"), cosine("qp", "qm")))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q, doc, mask, tau_q (dynamic threshold), so, sb, sn, label, q_label of each candidate pair: every query with every other document."""
     queries, docs = dual(spark, sf_dir), documents(spark, sf_dir)
-    scores = score_all(queries, docs, {"so": "orig", "sb": "qp", "sn": "qm"}, ("label",), top).where(F.col("doc") != F.col("q"))
-    sides = queries.select("q", "q_label", "mask", F.least(cosine("orig", "qm"), cosine("qp", "qm")).alias("tau_q"))
-    return scores.join(sides, "q")
+    scores = score_all(queries, docs, {"so": "orig", "sb": "qp", "sn": "qm"}, ("label",)).where(F.col("doc") != F.col("q"))
+    return scores.join(with_tau(queries).select("q", "q_label", "mask", "tau_q"), "q")
+
+
+def first(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """q, doc, so and rank of the first k candidates of each original query, by certified search."""
+    return first_by_product(dual(spark, sf_dir), documents(spark, sf_dir), ("orig",), k, others=True).withColumnRenamed("score", "so")
 
 
 def qrels(scored_rows: DataFrame, changed: bool) -> DataFrame:

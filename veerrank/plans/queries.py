@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import keys as K
 from ..functions.penalties import PENALTIES, Streams
@@ -74,8 +74,14 @@ PENALTY_SQL: dict[str, tuple[dict, str]] = {
 }
 
 
+def _with_first(rows: DataFrame, n: int = 20) -> DataFrame:
+    """Rows with og_rank, the place by the base score: protection asks for the first ranks only, all others are n + 1."""
+    first = ranking.top_k(rows, "sb", n, name="og_rank").select("q", "doc", "og_rank")
+    return rows.join(first, ["q", "doc"], "left").withColumn("og_rank", F.coalesce("og_rank", F.lit(n + 1)))
+
+
 def _changed(spark: SparkSession, sf_dir: str, name: str = "classic", **params) -> DataFrame:
-    rows = ranking.ranked(X.scored(spark, sf_dir), "sb", name="og_rank") if "pat_" in name else X.scored(spark, sf_dir).withColumn("og_rank", F.lit(0))
+    rows = _with_first(stash(X.scored(spark, sf_dir), "scored")) if "pat_" in name else X.scored(spark, sf_dir).withColumn("og_rank", F.lit(0))
     streams = Streams(F.col("sb"), F.col("sn"), F.col("tau_q"), F.col("mask"), F.col("og_rank"))
     return rows.withColumn("score", PENALTIES[name](streams, **params))
 
@@ -101,14 +107,16 @@ _CLASSIC = "final AS (SELECT q, doc, sb - greatest(sn - tau_q, 0e0) * mask AS sc
 
 @query(f"{_CLASSIC} SELECT q, doc, rank, round(score, 6) AS score FROM new WHERE rank <= 10", fixture=True)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top ten of each query under the classic penalty with its dynamic threshold."""
-    return ranking.top_k(_changed(spark, sf_dir), "score", 10).select("q", "doc", "rank", F.round("score", 6).alias("score"))
+    """Top ten of each query under the classic penalty with its dynamic threshold. No penalty raises a score, so the search by the positive side certifies the penalised order."""
+    queries = X.with_tau(X.dual(spark, sf_dir))
+    found = ranking.first_by_product(queries, X.documents(spark, sf_dir), ("qp", "qm"), 10, ("tau_q", "mask"), lambda s, e: s[0] - np.maximum(s[1] - e[..., 0], 0) * e[..., 1], others=True)
+    return found.select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT q, doc, rank, round(so, 6) AS score FROM (SELECT q, doc, so, row_number() OVER (PARTITION BY q ORDER BY so DESC, doc) AS rank FROM scored) WHERE rank <= 100""", fixture=True)
 def baseline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates ranked by the original query alone, 100 kept."""
-    return ranking.top_k(X.scored(spark, sf_dir, ("so", 101)), "so", 100).select("q", "doc", "rank", F.round("so", 6).alias("score"))
+    return X.first(spark, sf_dir, 100).select("q", "doc", "rank", F.round("so", 6).alias("score"))
 
 
 @query("SELECT q, doc, round(so, 6) AS so, round(sb, 6) AS sb, round(sn, 6) AS sn FROM scored", fixture=True)
@@ -132,7 +140,7 @@ def dynamic_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT q, doc, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM final) WHERE rank <= 20""", fixture=True)
 def distribution_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold from the mean and deviation of a query's negative stream."""
-    rows = ranking.query_statistics(X.scored(spark, sf_dir), "sn", 1.0)
+    rows = ranking.query_statistics(stash(X.scored(spark, sf_dir), "scored"), "sn", 1.0)
     score = PENALTIES["classic"](Streams(F.col("sb"), F.col("sn"), F.col("tau"), F.col("mask")), alpha=2.0)
     return ranking.top_k(rows.withColumn("score", score), "score", 20).select("q", "doc", "rank", F.round("score", 6).alias("score"))
 
@@ -151,7 +159,7 @@ _ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES)
 
 def _per_query(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
     rows = stash(_changed(spark, sf_dir) if changed else X.scored(spark, sf_dir).withColumn("score", F.col("so")), "scored")
-    run = ranking.ranked(rows, "score").select("q", "doc", "rank")
+    run = ranking.top_k(rows, "score", max(KS)).select("q", "doc", "rank")
     return metrics.per_query(run, X.qrels(rows, changed), KS)
 
 
@@ -209,7 +217,7 @@ def _sweep(spark: SparkSession, sf_dir: str, points: DataFrame, name: str) -> Da
     """p-MRR of every grid point in one plan: scored once, crossed with the small grid, ranked by point and query."""
     rows = stash(ranking.ranked(X.scored(spark, sf_dir), "sb", name="og_rank"), "scored")
     if name == "distribution":
-        rows = rows.withColumn("m", F.avg("sn").over(Window.partitionBy("q"))).withColumn("d", F.stddev_pop("sn").over(Window.partitionBy("q")))
+        rows = ranking.with_moments(rows, "sn").withColumnsRenamed({"_mean": "m", "_dev": "d"})
     crossed = rows.crossJoin(F.broadcast(points))
     if name == "distribution":
         crossed = crossed.withColumn("tau", F.col("m") + F.col("gamma") * F.col("d"))
@@ -290,7 +298,7 @@ def sweep_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT q, doc, o.rank AS rank_before, w.rank AS rank_after, CAST(j.rel AS BIGINT) AS rel FROM og o JOIN new w USING (q, doc) JOIN qrels_og j USING (q, doc) WHERE o.rank <= 10 AND w.rank > 20""", fixture=True)
 def victims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stash(_changed(spark, sf_dir), "scored")
-    return diagnostics.victims(ranking.ranked(rows, "so"), ranking.ranked(rows, "score"), X.qrels(rows, False)).withColumn("rel", F.col("rel").cast("long"))
+    return diagnostics.victims(ranking.top_k(rows, "so", 10), ranking.ranked(rows, "score"), X.qrels(rows, False)).withColumn("rel", F.col("rel").cast("long"))
 
 
 @query(_METRICS.format(run="og", qrels="qrels_og") + """, tens AS (SELECT * FROM per WHERE k = 10), stats AS (SELECT avg(map) AS m, stddev_pop(map) AS d FROM tens)
@@ -306,12 +314,12 @@ def deviation_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT q, irrelevant_rank, relevant_rank FROM good""", fixture=True)
 def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stash(X.scored(spark, sf_dir), "scored")
-    return diagnostics.inversions(ranking.ranked(rows, "so"), X.qrels(rows, False)).select("q", "irrelevant_rank", "relevant_rank")
+    return diagnostics.inversions(ranking.top_k(rows, "so", 20), X.qrels(rows, False)).select("q", "irrelevant_rank", "relevant_rank")
 
 
 @query("SELECT format('{}-og Q0 {} {} {:.6f} base', q, doc, rank, score) AS line FROM (SELECT q, doc, so AS score, row_number() OVER (PARTITION BY q ORDER BY so DESC, doc) AS rank FROM scored) WHERE rank <= 5", fixture=True)
 def trec_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = ranking.top_k(X.scored(spark, sf_dir, ("so", 6)), "so", 5)
+    run = X.first(spark, sf_dir, 5)
     return run.select(sinks.trec_line(F.concat(F.col("q").cast("string"), F.lit("-og")), F.col("doc").cast("string"), F.col("rank"), F.col("so"), "base").alias("line"))
 
 
