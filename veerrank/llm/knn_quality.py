@@ -3,9 +3,11 @@
 Texts become weighted counts of hashed byte trigrams (whole texts), of one length mark and of one mark for the share of
 words that repeat the word before. A bounded, balanced sample
 of labelled texts, SAMPLE rows of each label at most, gives the weights and, by a truncated singular value
-decomposition, a latent space of RANK dimensions. The sample's vectors are broadcast (their size follows SAMPLE and
+decomposition, a latent space of RANK dimensions. After weighting by rarity no mark is longer than
+the text's trigrams, so that none outweighs the text. The sample's vectors are broadcast (their size follows SAMPLE and
 RANK, not the data). Every document's exact cosine with every labelled vector is computed in blocks; its NEIGHBOURS
-nearest vote with their labels, weighted by similarity.
+nearest vote with their labels, weighted by similarity; of equal cosines the smaller labelled id votes first, and cosines are rounded to
+single precision's last digits, so exact copies with different labels have a defined order.
 
 Defined results: null and empty texts have their marks only and get a score like any text; without labels every
 score is 0.5; null labels are left out; null ids are scored and never learned from; repeated rows get equal scores; of a labelled id with several texts the one
@@ -29,10 +31,12 @@ BATCH_BYTES = 2 << 20
 SAMPLE = 1500
 RANK, NEIGHBOURS, SHARPNESS = 48, 15, 8.0
 TRIGRAMS, LENGTHS, REPEATS = 4096, 32, 16
+#: Weights of the marks of length and of repeated words, before rarity, and their most length beside a text's trigrams.
+MARKS, MOST = (0.2, 0.3), 1.0
 
 
 def counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Log counts of hashed trigrams, normalised to length one, and the marks of each row."""
+    """Log counts of hashed trigrams, normalised to length one, and a one at each mark of the row."""
     n = len(bounds) - 1
     out = np.zeros((n, TRIGRAMS + LENGTHS + REPEATS), np.float32)
     if len(data) >= 3:
@@ -45,26 +49,26 @@ def counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     np.log1p(out, out)
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     mark = np.minimum(np.log2(np.diff(bounds) + 1).astype(np.int64), LENGTHS - 1)
-    out[np.arange(n), TRIGRAMS + mark] = np.where(np.diff(bounds) > 0, 0.2, 1.0)
+    out[np.arange(n), TRIGRAMS + mark] = 1.0
     words, word_bounds = T.split(data, bounds, lower=True)
     index, _ = T.codes(words)
     again = np.zeros(len(index), bool)
     again[1:] = index[1:] == index[:-1]
     again[word_bounds[:-1][word_bounds[:-1] < len(index)]] = False
     share = T.row_sums(again, word_bounds) / np.maximum(np.diff(word_bounds), 1)
-    out[np.arange(n), TRIGRAMS + LENGTHS + np.minimum(np.ceil(share * REPEATS), REPEATS - 1).astype(np.int64)] = 0.5
+    out[np.arange(n), TRIGRAMS + LENGTHS + np.minimum(np.ceil(share * REPEATS), REPEATS - 1).astype(np.int64)] = 1.0
     return out
 
 
 class Model:
-    """Labelled latent vectors and the way into their space."""
+    """Labelled latent vectors, in the order of their ids, and the way into their space."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray):
         self.labels = labels.astype(np.float32)
         if not len(x):
             return
         self.weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1).astype(np.float32)
-        x = self._norm(x * self.weight)
+        x = self._weighted(x)
         probe = np.random.default_rng(7).standard_normal((x.shape[1], RANK + 16)).astype(np.float32)
         for _ in range(4):  # randomised subspace iteration
             probe = np.linalg.qr(x.T @ (x @ probe))[0]
@@ -76,16 +80,27 @@ class Model:
     def _norm(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
+    def _weighted(self, x: np.ndarray) -> np.ndarray:
+        """All parts by rarity; a mark is at most MOST times as long as the text's trigrams, so that it cannot overrule them alone. A text without trigrams has its marks."""
+        out = x * self.weight
+        size = np.linalg.norm(out[:, :TRIGRAMS], axis=1, keepdims=True)
+        limit = np.where(size > 0, MOST * size, np.inf)
+        for part, share in ((slice(TRIGRAMS, TRIGRAMS + LENGTHS), MARKS[0]), (slice(TRIGRAMS + LENGTHS, None), MARKS[1])):
+            out[:, part] = np.minimum(out[:, part] * share, limit)
+        return self._norm(out)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(x), 0.5)
         out = np.zeros(len(x))
         near = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(x), 512):
-            latent = self._norm((x[at : at + 512] * self.weight) @ self.basis)
-            cosine = latent @ self.vectors.T
-            nearest = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
-            weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, nearest, 1) - 1)).astype(np.float64)
+            latent = self._norm(self._weighted(x[at : at + 512]) @ self.basis)
+            cosine = np.round((latent @ self.vectors.T).astype(np.float64), 6)
+            # Equal cosines are told apart by the place of the labelled vector, so the order is whole.
+            order = cosine - np.arange(cosine.shape[1]) * 1e-11
+            nearest = np.argpartition(-order, near - 1, axis=1)[:, :near]
+            weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, nearest, 1) - 1))
             out[at : at + 512] = (weight * self.labels[nearest]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
 
