@@ -1,10 +1,11 @@
 """Token counts of whole texts by a public tokenizer, in Arrow functions that return lengths only.
 
 Texts are cut at boundaries that the tokenizer's own splitting never crosses: before a single space or line feed
-between two characters that are surely not white space, and between an ASCII letter and a punctuation mark. That holds
-for byte-level files with their own pattern and no prefix space; any other file, and one with a special token that such a
+between two characters that are surely not white space, between an ASCII letter and a punctuation mark, and between an
+ideograph or kana and a CJK mark. That holds for byte-level files with their own pattern and no prefix space; any other file, and one with a special token that such a
 cut would part, encodes every text whole. Batches are balanced by bytes, the pieces of a batch are made
-distinct, and the library encodes each distinct piece once. A text's tokens are those of its pieces in order, so the
+distinct, and the library encodes each distinct piece once. A worker remembers short pieces, up to MEMO_BYTES; pieces over LONG
+bytes (runs of a script without blanks) are encoded where they occur and not kept. A text's tokens are those of its pieces in order, so the
 counts are those of the whole text, special strings included.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens, repeated rows and null ids come back as they are,
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from . import text as T
 
 BATCH_BYTES = 2 << 20
-#: Distinct pieces that a worker remembers before it forgets the rare ones.
-MEMO = 300_000
+#: Memory of the pieces that a worker remembers before it forgets the rare ones, with ENTRY bytes for each besides its own and
+#: its ids'; longer pieces than LONG are not remembered.
+MEMO_BYTES, ENTRY, LONG = 96 << 20, 220, 64
 
 _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # lead bytes of all white space outside ASCII
@@ -37,8 +39,32 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?&%$#*\"()"]] = True  # none that a special token's string has inside
 
 
+#: Marks of CJK text (、。！，：；？) as their last two bytes, by their first: none is a letter, a number or white space.
+_CJK_MARKS = ((0xE3, 0x8081), (0xE3, 0x8082), (0xEF, 0xBC81), (0xEF, 0xBC8C), (0xEF, 0xBC9A), (0xEF, 0xBC9B), (0xEF, 0xBC9F))
+
+
+def _cjk_cuts(data: np.ndarray) -> np.ndarray:
+    """Places of CJK marks that follow a letter: ideographs U+5000 to U+9FBF, kana U+3041 to U+307F and U+3080 to U+3096."""
+    at = np.flatnonzero((data[3:-2] == 0xE3) | (data[3:-2] == 0xEF)) + 3
+    if not len(at):
+        return at
+    rest = data[at + 1].astype(np.int64) << 8 | data[at + 2]
+    mark = np.zeros(len(at), bool)
+    for lead, value in _CJK_MARKS:
+        mark |= (data[at] == lead) & (rest == value)
+    at = at[mark]
+    first, second, third = data[at - 3], data[at - 2], data[at - 1]
+    tail = (second & 0xC0 == 0x80) & (third & 0xC0 == 0x80)
+    letter = (first >= 0xE5) & (first <= 0xE8) | (first == 0xE9) & (second < 0xBF) | (first == 0xE3) & ((second == 0x81) & (third >= 0x81) | (second == 0x82) & (third >= 0x80) & (third <= 0x96))
+    return at[tail & letter]
+
+
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Starts of pieces: rows, single blanks (space, line feed) with no white space on either side, marks after letters."""
+    if len(bounds) and len(data) >= 6:
+        cjk = _cjk_cuts(data)
+    else:
+        cjk = np.zeros(0, np.int64)
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n >= 3:
@@ -51,6 +77,7 @@ def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         solid_after = _PLAIN[after] | ((after >= 0x80) & ~_ODD_LEAD[after])
         cut[1 : n - 1] = blank & solid_before & solid_after
     cut[1:n] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+    cut[cjk] = True
     cut[bounds] = True
     return np.flatnonzero(cut[:n])
 
@@ -59,7 +86,7 @@ class Encoder:
     """Encodes rows of text through a tokenizers file; each distinct piece goes to the library once.
 
     Fresh pieces that start with a space are joined into longer texts first, as no token crosses their bounds; the
-    bytes of each token tell where a piece's tokens end. A worker keeps its encoder between tasks; when the memo is full, pieces that were
+    bytes of each token tell where a piece's tokens end. A worker keeps its encoder between tasks; when the memory is used up, pieces that were
     met in one batch only are forgotten.
     """
 
@@ -73,9 +100,12 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # byte-level files write each byte as one character
             self.token_bytes[i] = len(token.encode()) if i in special else len(token)
+        self._clear()
+
+    def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.met = np.zeros(0, np.uint8)
-        self.begins, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.bytes = 0
+        self.met, self.begins, self.sizes, self.flat = (np.zeros(0, t) for t in (np.uint8, np.int64, np.int64, np.uint32))
 
     def _safe(self) -> bool:
         """Whether the file splits texts as piece_starts supposes."""
@@ -85,17 +115,31 @@ class Encoder:
         special = [np.frombuffer(b"a" + t["content"].encode() + b"a", np.uint8) for t in file.get("added_tokens", [])]
         return bool(plain) and all(len(piece_starts(x, np.array([0, len(x)]))) == 1 for x in special)
 
+    def _cost(self, pieces: list[bytes], tokens: int) -> int:
+        return sum(map(len, pieces)) + ENTRY * len(pieces) + 4 * tokens
+
     def _forget(self) -> None:
-        keep = self.met > 1
-        kept = np.flatnonzero(keep)
-        rank = np.cumsum(keep) - 1
-        self.place = {p: int(rank[i]) for p, i in self.place.items() if keep[i]} if len(kept) <= MEMO // 2 else {}
-        kept = kept if self.place else kept[:0]
+        """Keep pieces that were met in more than one batch, unless they take over half the memory themselves."""
+        kept = np.flatnonzero(self.met > 1)
+        pieces = list(self.place)
+        pieces = [pieces[i] for i in kept]
         sizes = self.sizes[kept]
+        if self._cost(pieces, int(sizes.sum())) > MEMO_BYTES // 2:
+            self._clear()
+            return
         upto = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = self.flat[np.repeat(self.begins[kept] - upto[:-1], sizes) + np.arange(upto[-1])]
+        self.place = {p: i for i, p in enumerate(pieces)}
+        self.bytes = self._cost(pieces, len(self.flat))
         self.met, self.begins, self.sizes = np.ones(len(kept), np.uint8), upto[:-1], sizes
 
+    def _drop_from(self, n: int) -> None:
+        """Forget the pieces learned from number n on, which are the last ones."""
+        for _ in range(len(self.place) - n):
+            self.place.popitem()
+        tokens = int(self.begins[n]) if n < len(self.begins) else len(self.flat)
+        self.met, self.begins, self.sizes, self.flat = self.met[:n].copy(), self.begins[:n].copy(), self.sizes[:n].copy(), self.flat[:tokens].copy()
+
     def _learn(self, fresh: list[bytes]) -> None:
         joined = [p for p in fresh if self.safe and p[0] == 0x20 and p[1:].decode() == p.decode().strip() != ""]
         alone = list(set(fresh).difference(joined))
@@ -113,6 +157,7 @@ class Encoder:
         self.flat = np.concatenate([self.flat, flat])
         self.met = np.concatenate([self.met, np.zeros(len(fresh), np.uint8)])
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
+        self.bytes += self._cost(fresh, len(flat))
 
     def rows(self, data: np.ndarray, bounds: np.ndarray, keep_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens of each row, and all ids in order if they are asked for."""
@@ -122,20 +167,25 @@ class Encoder:
         offsets = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         index, distinct = T.codes(pieces)
-        if len(self.place) > MEMO:
+        if self.bytes > MEMO_BYTES:
             self._forget()
         place = self.place
-        if fresh := [p for p in distinct if p not in place]:
+        if fresh := [p for p in distinct if p not in place and len(p) <= LONG]:
             self._learn(fresh)
+        known, held = len(place), self.bytes
+        if long := [p for p in distinct if len(p) > LONG]:
+            self._learn(long)
         at = np.fromiter(map(place.__getitem__, distinct), np.int64, len(distinct))
         self.met[at] = np.minimum(self.met[at] + 1, 2)
         at = at[index]
         sizes = self.sizes[at]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         counts = np.diff(upto[np.searchsorted(starts, bounds)])
-        if not keep_ids:
-            return counts, None
-        return counts, self.flat[np.repeat(self.begins[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        ids = self.flat[np.repeat(self.begins[at] - upto[:-1], sizes) + np.arange(upto[-1])] if keep_ids else None
+        if long:
+            self._drop_from(known)
+            self.bytes = held
+        return counts, ids
 
 
 _encoders: dict[str, Encoder] = {}
