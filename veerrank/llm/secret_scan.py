@@ -4,7 +4,9 @@ Candidates are all runs of MIN_LENGTH or more token characters, and those of SHO
 a word. Their features are length, shares of digits,
 capitals and marks, changes of character class, mean log transition probability of neighbouring characters and
 coverage by dictionary trigrams (both from all words of the documents, weighted by their counts), signs of a path, an
-address or quotes, and the name or words next to them. The forest is trained on labelled findings, at most SAMPLE of each
+address or quotes, the name next to them, and the neighbouring words: the nearest plain ones on both sides, counted in NEAR
+buckets by hash, and their mean length. Names of credentials and the marks of an assignment are no plain words, so that what makes a weak
+label is masked. The forest is trained on labelled findings, at most SAMPLE of each
 label in an order by hash.
 
 Without labelled findings of their own, users can take `weak_findings`, whose evidence is not among the features that the
@@ -32,6 +34,8 @@ from .store import stash
 MIN_LENGTH, SHORT = 16, 8
 #: Letters of a word that tells a value to be harmless if several documents have it.
 LETTERS_TOLD = 4
+#: Buckets of neighbouring words; words looked at and taken on each side.
+NEAR, REACH, TAKEN = 8, 8, 2
 #: Most labelled findings of each label that the forest learns from.
 SAMPLE = 5_000
 TREES, DEPTH = 20, 6
@@ -45,7 +49,7 @@ BORDER = f"(?<!{RUN})(?={RUN}{{{SHORT}}})|(?!{RUN})(?<={RUN}{{{SHORT}}})"
 #: A part of a path: names and short numbers, unlike the parts of base64 text between its slashes.
 PART = "^[._~-]*+(?:(?:[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)*+|[A-Z]{2,}+|[A-Za-z])?[0-9]{0,8}+(?:[._~-]++|$))*+$"
 NAMES = "(?i)token|secret|passw|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth"
-FEATURES = ["length", "digits", "capitals", "marks", "changes", "transition", "coverage", "path", "address", "quoted", "assigned", "named", "near_length"]
+FEATURES = ["length", "digits", "capitals", "marks", "changes", "transition", "coverage", "path", "address", "quoted", "assigned", "named", "near_length", "near_letters", *(f"near{i}" for i in range(NEAR))]
 #: Features that weak labels are not made of: what the forest learns from when no findings are given.
 SHAPE = [x for x in FEATURES if x not in ("assigned", "named", "quoted", "near_length")]
 
@@ -56,15 +60,22 @@ def _code(c: F.Column) -> F.Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, place (word number), nth (run number within the word), value, lead and tail (the word's text next to the run), and the two words before and the one behind."""
+    """doc_id, place (word number), nth (run number within the word), value, lead and tail (the word's text next to the run), the two words before and the one behind, and near, the plain words next to it."""
     words = F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words")).where("words is not null")
 
     def at(array: str, i: F.Column) -> F.Column:
         return F.coalesce(F.get(array, i), F.lit(""))
 
+    def plain(some: F.Column) -> F.Column:
+        """The first letters-only words of some that are no credential's name."""
+        bare = F.transform(some, lambda w: F.lower(F.regexp_replace(w, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "")))
+        return F.slice(F.filter(bare, lambda w: (w != "") & (F.length(w) < 3 * SHORT) & ~w.rlike(NAMES)), 1, TAKEN)
+
     def word(w: F.Column, i: F.Column) -> F.Column:
-        return F.when(F.length(w) >= SHORT, F.struct((i + 1).cast("long").alias("place"), w.alias("word"), at("words", i - 2).alias("before2"), at("words", i - 1).alias("before"), at("words", i + 1).alias("behind")))
+        left = F.reverse(F.slice("words", F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))))
+        near = F.concat(plain(left), plain(F.slice("words", i + 2, F.lit(REACH))))
+        return F.when(F.length(w) >= SHORT, F.struct((i + 1).cast("long").alias("place"), w.alias("word"), at("words", i - 2).alias("before2"), at("words", i - 1).alias("before"), at("words", i + 1).alias("behind"), near.alias("near")))
 
     def run(x: F.Column, i: F.Column) -> F.Column:
         last = at("parts", i - 1)
@@ -72,9 +83,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.when(x.rlike(f"^{RUN}{{{MIN_LENGTH}}}|^(?=[^0-9]*[0-9]){RUN}{{{SHORT}}}"), F.struct(x.alias("value"), lead.alias("lead"), at("parts", i + 1).alias("tail"), (i < 2).alias("opens")))
 
     long = slim.select("doc_id", F.explode(F.filter(F.transform("words", word), lambda x: x.isNotNull())).alias("w")).select("doc_id", "w.*")
-    parts = long.select("doc_id", "place", "before2", "before", "behind", F.split("word", BORDER).alias("parts"))
-    runs = parts.select("doc_id", "place", "before2", "before", "behind", F.posexplode(F.filter(F.transform("parts", run), lambda x: x.isNotNull())).alias("nth", "r"))
-    return runs.select("doc_id", "place", (F.col("nth") + 1).cast("long").alias("nth"), "before2", "before", "behind", "r.*")
+    around = ("doc_id", "place", "before2", "before", "behind", "near")
+    parts = long.select(*around, F.split("word", BORDER).alias("parts"))
+    runs = parts.select(*around, F.posexplode(F.filter(F.transform("parts", run), lambda x: x.isNotNull())).alias("nth", "r"))
+    return runs.select("doc_id", "place", (F.col("nth") + 1).cast("long").alias("nth"), "before2", "before", "behind", "near", "r.*")
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,7 +133,10 @@ def features(rows: DataFrame, counts: DataFrame) -> DataFrame:
     triples = F.transform(F.sequence(F.lit(0), F.size("codes") - 3), lambda i: (F.substring(dictionary, (F.get("codes", i) * size + F.get("codes", i + 1)) * size + F.get("codes", i + 2) + 1, 1) == F.lit(bytearray(b"\x01"))).cast("double"))
 
     def mean(a: F.Column) -> F.Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+        return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+
+    def near_in(bucket: int) -> F.Column:
+        return F.size(F.filter("near", lambda w: F.pmod(F.xxhash64(w), F.lit(NEAR)) == bucket)).cast("double")
 
     lead = F.col("lead")
     own, outer = F.regexp_extract(value, "^([A-Za-z0-9_.-]{1,64})[=:]+[^=:/]", 1), F.regexp_extract(lead, "([A-Za-z0-9_.-]+)[\"'`\\\\]*[=:]>?[\"'`\\\\]*$", 1)
@@ -136,6 +151,8 @@ def features(rows: DataFrame, counts: DataFrame) -> DataFrame:
             "transition": mean(steps), "coverage": mean(triples), "path": path.cast("double"), "address": value.rlike("@|://").cast("double"),
             "quoted": (lead.rlike("[\"'`]$") & F.col("tail").rlike("^[\\\\]?[\"'`]")).cast("double"), "assigned": assigned.cast("double"),
             "named": (near.rlike(NAMES) | value.rlike(f"^({NAMES})")).cast("double"), "near_length": (F.length(near) + F.length("behind")).cast("double"),
+            "near_letters": F.coalesce(mean(F.transform("near", lambda w: F.length(w).cast("double"))), F.lit(0.0)),
+            **{f"near{b}": near_in(b) for b in range(NEAR)},
         }
     ).drop("codes")
 
