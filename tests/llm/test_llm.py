@@ -1,6 +1,7 @@
 """Every operator against brute force on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import re
 import sys
 import zlib
@@ -27,6 +28,13 @@ rng = np.random.default_rng(5)
 VOCABULARY = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 8))) for _ in range(300)]
 
 
+@pytest.fixture(autouse=True)
+def own_random(request):
+    """Each test draws from a generator of its own, whatever ran before."""
+    global rng
+    rng = np.random.default_rng(zlib.crc32(request.node.name.encode()))
+
+
 def words(n):
     return " ".join(VOCABULARY[i] for i in rng.integers(0, 300, n))
 
@@ -518,6 +526,38 @@ def test_secret_scan_finds_every_run(spark):
     assert path[base64] == 0 and path["/var/lib/tables/part7/index.html"] == 1 and label[7, "/var/lib/tables/part7/index.html"] == 0
 
 
+def test_features_of_candidates(spark):
+    """Every feature by hand, neighbours with names and assignment marks masked, and a candidate of 100,000 characters."""
+    long = "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 100_000))
+    texts = ['Der rote wagen: token = "a3F9c27bE41d08c5f6a9" ist für alle da', "a3f9c27be41d08c5f6a9", "x " + long + " y", "one two three secret_key a3f9c27be41d08c5f6a9, four", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = secret_scan.character_counts(docs)
+    rows = {r.doc_id: r for r in secret_scan.features(secret_scan.candidates(docs), counts).collect()}
+    assert set(rows) == {0, 1, 2, 3}
+    near = {0: ["wagen", "rote", "ist", "für"], 1: [], 2: ["x", "y"], 3: ["three", "two", "four"]}
+    trigrams = Counter(w[i : i + 3] for t in texts for w in re.findall("[a-z0-9]{3,}", t.lower()) for i in range(len(w) - 2))
+    pairs = Counter()
+    for t, n in trigrams.items():
+        pairs[t[:2]] += n
+    place = lambda c: secret_scan.LETTERS.find(c) + 1
+    total = {a: 37 + sum(n for p, n in pairs.items() if place(p[0]) == a) for a in range(37)}
+    for i, r in rows.items():
+        value, low = r.value, r.value.lower()
+        assert r.near == near[i] and r.length == len(value)
+        assert math.isclose(r.digits, sum(c.isdigit() for c in value) / len(value)) and math.isclose(r.capitals, sum(c.isupper() for c in value) / len(value))
+        classes = ["0" if c.isdigit() else "a" if c.isalpha() else c for c in value]
+        assert math.isclose(r.changes, sum(a != b for a, b in zip(classes, classes[1:])) / len(value))
+        step = sum(math.log((1 + pairs[low[j : j + 2]]) / total[place(low[j])]) for j in range(len(low) - 1)) / (len(low) - 1)
+        assert math.isclose(r.transition, step, rel_tol=1e-9)
+        known = sum(trigrams[low[j : j + 3]] >= 2 for j in range(len(low) - 2)) / (len(low) - 2)
+        assert math.isclose(r.coverage, known, rel_tol=1e-9, abs_tol=1e-12)
+        buckets = Counter(xxhash.xxh64_intdigest(w.encode(), 42) % secret_scan.NEAR for w in near[i])
+        assert [r[f"near{b}"] for b in range(secret_scan.NEAR)] == [buckets[b] for b in range(secret_scan.NEAR)]
+        assert math.isclose(r.near_letters, np.mean([len(w) for w in near[i]]) if near[i] else 0)
+    assert [(rows[i].named, rows[i].assigned) for i in range(4)] == [(1, 1), (0, 0), (0, 0), (1, 0)]
+    assert {f"near{b}" for b in range(secret_scan.NEAR)} < set(secret_scan.SHAPE) and "named" not in secret_scan.SHAPE
+
+
 def test_secret_scan_precision_and_recall(spark):
     """Kinds of keys that half are named and assigned; the unnamed half is held out, as its labels never reach the forest."""
     random = np.random.default_rng(23)
@@ -553,6 +593,80 @@ def test_quality_classifier(spark, docs, empty):
     assert all(r.score == 0.5 for r in knn_quality.score(docs, labels.limit(0)).collect())
 
 
+def test_votes_by_hand(spark):
+    """Scores of a whole table equal votes computed here; equal cosines with different labels go by the labelled id; null labels teach nothing."""
+    copies = words(30)
+    rows = [(i, words(25 + i % 7) + (" ###" if i % 3 else "") + (" the the" if i % 4 == 0 else ""), int(i % 3 == 0)) for i in range(60)] + [(100 + i, copies, i % 2) for i in range(30)] + [(200, "", 0), (201, None, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = table.select("doc_id", "quality").unionByName(spark.createDataFrame([(300, None), (None, 1)], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in knn_quality.score(table.drop("quality").repartition(3), labels).collect()}
+    slim = table.select("doc_id", "text")
+    model = knn_quality.fit(slim, labels, "quality")
+    learned = sorted(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5)
+    assert len(model.labels) == len(learned) and [int(x) for x in model.labels] == [q for i in learned for j, _, q in rows if j == i]
+    for i, text, _ in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        x = model._weighted(knn_quality.counts(data, np.array([0, len(data)]))) @ model.basis
+        cosine = [round(float(c), 6) for c in (x / max(np.linalg.norm(x), 1e-9) @ model.vectors.T)[0]]
+        nearest = sorted(range(len(cosine)), key=lambda j: (-cosine[j], j))[: knn_quality.NEIGHBOURS]
+        weight = [math.exp(8 * (cosine[j] - 1)) for j in nearest]
+        assert abs(got[i].score - sum(w * model.labels[j] for w, j in zip(weight, nearest)) / sum(weight)) < 1e-3
+        assert got[i].held_out == (i not in learned)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_marks_do_not_overrule_texts(seed):
+    """Words that happen to repeat, on both sides: every held-out text is told right."""
+    random = np.random.default_rng(seed)
+    vocabulary = ["".join(chr(97 + c) for c in random.integers(0, 26, random.integers(2, 8))) for _ in range(300)]
+    texts = [[vocabulary[j] for j in random.integers(0, 300, 40)] for _ in range(160)]
+    for i in range(0, 160, 5):
+        texts[i][7] = texts[i][6]
+    texts = [" ".join(t if i < 80 else (w + "&&&" for w in t)) for i, t in enumerate(texts)]
+    data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    x, y = knn_quality.counts(data, bounds), np.repeat([1, 0], 80)
+    held = np.arange(160) % 5 == seed % 5
+    assert ((knn_quality.Model(x[~held], y[~held]).scores(x) >= 0.3) == (y == 1)).all()
+
+
+def test_token_memory_is_bounded_by_bytes(monkeypatch):
+    """Texts without blanks, and more distinct words than fit: the memo stays small, forgets, and counts stay right."""
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 1 << 20)
+    known, library = token_counts.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+
+    def check(texts):
+        data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+        counts, ids = known.rows(data, bounds, keep_ids=True)
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert list(counts) == [len(e.ids) for e in want] and list(ids) == [i for e in want for i in e.ids]
+        return known.bytes + known.flat.nbytes + sum(map(len, known.place))
+
+    sizes = [check(["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 700))) for _ in range(20)]) for _ in range(50)]
+    assert max(sizes) < 1 << 20 and sizes[-1] <= sizes[5] * 1.5 + 1000
+    for _ in range(12):
+        assert check([" ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(900)) for _ in range(2)]) < 3 << 20
+    marks = "、。！，：；？"
+    mixed = ["".join(marks[j % 7] if j > 6 and j % 5 == 0 else chr(int(c)) for j, c in enumerate(rng.integers(0x3041, 0x9FFF, 300))) for _ in range(30)]
+    check([*mixed, "。's，'t", "ก" * 400, "ไทย ก่อน", "か゛。き゚、", "ー。々、ヶ，", "", " 、 。"])
+    starts = token_counts.piece_starts(np.frombuffer("天地玄黃，宇宙洪荒。".encode(), np.uint8), np.array([0, 30]))
+    assert list(starts) == [0, 12, 27]
+
+
+def test_files_that_split_otherwise_encode_whole_texts(spark, tmp_path):
+    """A file with a prefix space, and one whose special token a cut would part."""
+    import json
+
+    file = json.loads(Path(TOKENIZER).read_text())
+    for name, change in (("prefix", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}), ("special", {"added_tokens": [*file["added_tokens"], {"id": len(file["model"]["vocab"]) + 50, "content": "<a b>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]})):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(file | change))
+        library = Tokenizer.from_file(str(path))
+        assert not token_counts.Encoder(str(path)).safe
+        texts = [words(30), "x <a b> y", "天地，玄黃", "", None]
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(path), 5).collect()}
+        assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_pipeline(spark, docs, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")

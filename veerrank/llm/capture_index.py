@@ -97,21 +97,23 @@ def sorted_runs(captures: DataFrame) -> DataFrame:
     """Blocks of locally sorted runs (part 0, run, seq, captures)."""
     keyed = captures.select(*(F.col(n) if n not in ("url_key", "tie") else {"url_key": url_key(F.col("url")), "tie": F.xxhash64("archive", "offset")}[n].alias(n) for n, _ in FIELDS))
 
+    run_size, block_size = RUN, BLOCK
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = TaskContext.get().partitionId() << 32
 
         def write(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).sort_by([(n, "ascending") for n, _ in FIELDS[:4]]).combine_chunks()
             rows = pa.StructArray.from_arrays([c.combine_chunks().cast(f.type) if len(table) else pa.array([], f.type) for c, f in zip(table.columns, _ARROW)], fields=list(_ARROW))
-            for seq, lo in enumerate(range(0, len(rows), BLOCK)):
-                yield _slices(0, run, seq, rows.slice(lo, BLOCK))
+            for seq, lo in enumerate(range(0, len(rows), block_size)):
+                yield _slices(0, run, seq, rows.slice(lo, block_size))
 
         held, n = [], 0
         for batch in batches:
             while batch.num_rows:
-                part = batch.slice(0, RUN - n)
+                part = batch.slice(0, run_size - n)
                 held, n, batch = [*held, part], n + part.num_rows, batch.slice(part.num_rows)
-                if n == RUN:
+                if n == run_size:
                     yield from write(held)
                     held, n, run = [], 0, run + 1
         if n:
@@ -127,7 +129,7 @@ def _splitters(sample: list[Key], parts: int) -> list[Key]:
 def _merge(runs: DataFrame, splitters: list[Key], groups: int, last: bool) -> DataFrame:
     """One pass: runs of a group become one, part by part; last: rows (part, place, capture)."""
     spark = runs.sparkSession
-    share = spark.sparkContext.broadcast(splitters)
+    share, block_size = spark.sparkContext.broadcast(splitters), BLOCK
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitters = share.value
@@ -162,7 +164,7 @@ def _merge(runs: DataFrame, splitters: list[Key], groups: int, last: bool) -> Da
         merged = captures.take(pa.array(order))
         if last:
             return pa.table({"part": pa.array(np.full(len(merged), part, np.int32)), "place": pa.array(np.arange(len(merged))), "c": merged})
-        blocks = [_slices(0, group, (part << 32) + seq, merged.slice(lo, BLOCK)) for seq, lo in enumerate(range(0, len(merged), BLOCK))]
+        blocks = [_slices(0, group, (part << 32) + seq, merged.slice(lo, block_size)) for seq, lo in enumerate(range(0, len(merged), block_size))]
         return pa.Table.from_batches(blocks, _SLICE)
 
     cuts = runs.mapInArrow(cut, SLICE).withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int"))
