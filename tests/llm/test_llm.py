@@ -685,6 +685,21 @@ def test_pipeline(spark, docs, tmp_path):
     assert out.count() == mixed.count() and [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "source_mixing", "token_files"]
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, docs, tmp_path):
+    """Names that the stages use themselves stay with their values, and the row that stays of repeats is defined."""
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("_copies", "_copy", "_row_key", "_row", "_n", "component_id", "kept", "copies", "item_id")
+    odd = docs.select("doc_id", "text", "lang", "source", *(F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    odd = odd.unionByName(odd.withColumn("_row", F.lit("other")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, str(tmp_path))
+        rows = kept.collect()
+        assert kept.columns == odd.columns and rows, name
+        assert all(r["_copies"].split(":")[1] == (str(r.doc_id) if r.doc_id is not None else "none") for r in rows)
+    again = [sorted(map(str, corpus_pipeline.near_duplicate_stage(spark, odd.repartition(n), str(tmp_path)).collect())) for n in (1, 6)]
+    assert again[0] == again[1]
+
+
 def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
