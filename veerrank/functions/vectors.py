@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,13 +29,19 @@ def cosine(a: Column | str, b: Column | str, eps: float = 1e-8) -> Column:
 
 
 def project(rows: list[list[float]] | np.ndarray):
-    """Matrix times vector, normalised: a linear projection of a query's negative side, as an Arrow function of a vector column."""
-    weight = np.asarray(rows, np.float64)
+    """Matrix times vector, normalised: a linear projection of a query's negative side, as an Arrow function of a vector column.
+
+    The matrix is broadcast once (its size is that of the vectors' dimension squared, whatever the data); null vectors stay null, zero ones zero."""
+    weight = SparkSession.active().sparkContext.broadcast(np.asarray(rows, np.float64))
 
     @F.pandas_udf("array<double>")
     def apply(vectors: pd.Series) -> pd.Series:
-        z = np.stack(vectors.to_numpy()).astype(np.float64) @ weight.T
-        return pd.Series(list(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)))
+        there = vectors.notna().to_numpy()
+        out = pd.Series([None] * len(vectors), dtype=object)
+        if there.any():
+            z = np.stack(vectors[there].to_numpy()).astype(np.float64) @ weight.value.T
+            out[there] = pd.Series(list(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)), index=out.index[there])
+        return out
 
     return apply
 

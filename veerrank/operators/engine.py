@@ -1,5 +1,7 @@
 """Dual-stream evaluation: from queries, candidates and vectors to scores, runs, metrics and rank changes.
 
+Any table may have further key columns (a task): they are named once, as keys, and part the ids of all tables that have them.
+
 Tables: queries (qid, base_qid, query_type, query, instruction), dual (qid, query_type, q_plus, q_minus), candidates
 (base_qid, pos, doc_id), vectors of documents (doc_id, embedding) and of query texts (text, embedding), judgements (qid,
 doc_id, rel) and changed judgements (base_qid, doc_ids).
@@ -9,15 +11,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import NONE, mask_strict, query_text
 from ..functions.penalties import Streams, penalty
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, project
 from ..sources.shared import stash
 from . import metrics
-from .ranking import ranked, score_candidates, top_k
+from .ranking import ranked, score_candidates, top_k, with_moments
+from .training import Gate, gate, gate_bounds
 
 #: Tasks that are known by name (fixed values).
 TASKS = ("Core17InstructionRetrieval", "Robust04InstructionRetrieval", "News21InstructionRetrieval")
@@ -62,14 +66,14 @@ def valid_task(name: Column) -> Column:
     return name.isin(*TASKS)
 
 
-def sides(queries: DataFrame, dual: DataFrame) -> DataFrame:
+def sides(queries: DataFrame, dual: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Queries with original, q_plus, q_minus and mask. Where the split is missing, the raw text stands for the positive
     side and there is no negative one; original queries never have one."""
-    split = dual.select("qid", "query_type", F.col("q_plus").alias("_plus"), F.col("q_minus").alias("_minus"))
-    joined = queries.join(split, ["qid", "query_type"], "left").withColumn("original", query_text(F.col("query"), F.col("instruction")))
+    split = dual.select(*keys, "qid", "query_type", F.col("q_plus").alias("_plus"), F.col("q_minus").alias("_minus"))
+    joined = queries.join(split, [*keys, "qid", "query_type"], "left").withColumn("original", query_text(F.col("query"), F.col("instruction")))
     minus = F.coalesce("_minus", F.lit(NONE))
     mask = F.when(F.col("query_type") == "og", 0.0).otherwise(mask_strict(minus))
-    return joined.select("qid", "base_qid", "query_type", "query", "instruction", "original", F.coalesce(F.when(F.col("_plus") != "", F.col("_plus")), "original").alias("q_plus"), minus.alias("q_minus"), mask.alias("mask"))
+    return joined.select(*keys, "qid", "base_qid", "query_type", "query", "instruction", "original", F.coalesce(F.when(F.col("_plus") != "", F.col("_plus")), "original").alias("q_plus"), minus.alias("q_minus"), mask.alias("mask"))
 
 
 def with_vectors(split: DataFrame, texts: DataFrame) -> DataFrame:
@@ -92,21 +96,42 @@ def threshold(config: Config) -> Column:
     return found[config.tau] + config.delta
 
 
-def dual_scores(vectors: DataFrame, candidates: DataFrame, documents: DataFrame, config: Config, gates: DataFrame | None = None) -> DataFrame:
-    """qid, base_qid, query_type, doc, mask, alpha, tau, s_base and s_neg of every candidate that has a vector.
+def with_projection(vectors: DataFrame, weight: np.ndarray) -> DataFrame:
+    """Vectors whose negative side is projected by a trained matrix and normalised; queries without a negative side keep their place holder."""
+    dim = vectors.select(F.size("minus")).first()
+    if dim is not None and weight.shape != (dim[0], dim[0]):
+        raise ValueError(f"a projection of {weight.shape} does not fit vectors of {dim[0]} numbers")
+    projected = project(weight)("minus")
+    return vectors.withColumn("minus", F.when(F.col("mask") > 0, projected).otherwise(F.col("minus").cast("array<double>")))
+
+
+def gate_values(vectors: DataFrame, weights: Gate, encoder: str = "bge", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, qid, alpha and tau that a trained gate gives the negative sides (projected ones, where the setting projects)."""
+    most, low, high = gate_bounds(encoder)
+    found = gate(weights, most, low, high)("minus")
+    return vectors.where("mask > 0").select(*keys, "qid", found.alias("g")).select(*keys, "qid", "g.alpha", "g.tau")
+
+
+def dual_scores(vectors: DataFrame, candidates: DataFrame, documents: DataFrame, config: Config, gates: DataFrame | None = None, projection: np.ndarray | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, qid, base_qid, query_type, doc, mask, alpha, tau, s_base and s_neg of every candidate that has a vector.
 
     gates: qid, alpha, tau; the gate's values hold if the setting gates, and queries without any keep the fixed ones.
+    projection: the matrix that a setting with projection needs; the threshold is that of the projected side too.
     """
     if config.base not in ("original", "q_plus"):
         raise ValueError(f"unknown base {config.base!r}; known: original, q_plus")
+    if config.projection:
+        if projection is None:
+            raise ValueError("this setting projects the negative side and needs trained weights")
+        vectors = with_projection(vectors, projection)
     base = F.col("orig" if config.base == "original" else "plus")
-    queries = vectors.select(F.col("qid").alias("q"), "base_qid", "query_type", "mask", F.lit(config.alpha).alias("alpha"), threshold(config).alias("tau"), base.alias("_base"), F.col("minus").alias("_minus"))
+    queries = vectors.select(*keys, F.col("qid").alias("q"), "base_qid", "query_type", "mask", F.lit(config.alpha).alias("alpha"), threshold(config).alias("tau"), base.alias("_base"), F.col("minus").alias("_minus"))
     if config.gate and gates is not None:
-        found = gates.select(F.col("qid").alias("q"), F.col("alpha").alias("_alpha"), F.col("tau").alias("_tau"))
-        queries = queries.join(found, "q", "left").withColumns({"alpha": F.coalesce("_alpha", "alpha"), "tau": F.coalesce("_tau", "tau")}).drop("_alpha", "_tau")
-    pairs = candidates.join(vectors.select(F.col("qid").alias("q"), "base_qid"), "base_qid").select("q", F.col("doc_id").alias("doc"))
-    docs = documents.select(F.col("doc_id").alias("doc"), "embedding")
-    return score_candidates(pairs, queries, docs, {"s_base": "_base", "s_neg": "_minus"}).withColumnRenamed("q", "qid")
+        found = gates.select(*keys, F.col("qid").alias("q"), F.col("alpha").alias("_alpha"), F.col("tau").alias("_tau"))
+        queries = queries.join(found, [*keys, "q"], "left").withColumns({"alpha": F.coalesce("_alpha", "alpha"), "tau": F.coalesce("_tau", "tau")}).drop("_alpha", "_tau")
+    pairs = candidates.join(vectors.select(*keys, F.col("qid").alias("q"), "base_qid"), [*keys, "base_qid"]).select(*keys, "q", F.col("doc_id").alias("doc"))
+    docs = documents.select(*(k for k in keys if k in documents.columns), F.col("doc_id").alias("doc"), "embedding")
+    return score_candidates(pairs, queries, docs, {"s_base": "_base", "s_neg": "_minus"}, keys).withColumnRenamed("q", "qid")
 
 
 def final_scores(scores: DataFrame, config: Config, **params) -> DataFrame:
@@ -130,10 +155,17 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, changed
     if changed_against_og:
         og = judged.where(F.col("qid").endswith("-og"))
         judged = og.unionByName(og.withColumn("qid", F.concat(F.regexp_replace("qid", "-og$", ""), F.lit("-changed"))))
-    if keys:
-        judged = judged.join(run.select(*keys, "qid").distinct(), "qid")
-    kinds = run.select("qid", "query_type").distinct()
-    return metrics.per_query(run, judged, ks, (*keys, "qid"), binary).join(kinds, "qid")
+    judged = processed(judged, run, keys)
+    kinds = run.select(*keys, "qid", "query_type").distinct()
+    return metrics.per_query(run, judged, ks, (*keys, "qid"), binary).join(kinds, [*keys, "qid"])
+
+
+def processed(judged: DataFrame, run: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Judgements of the queries that a run holds; keys that the judgements lack (grid points) get all of theirs."""
+    there = run.select(*keys, "qid").distinct()
+    lacking = [k for k in keys if k not in judged.columns]
+    on = [*(k for k in keys if k in judged.columns), "qid"]
+    return judged.join(there, on) if lacking else judged.join(there, on, "left_semi")
 
 
 def changes(run: DataFrame, diff: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -144,7 +176,7 @@ def changes(run: DataFrame, diff: DataFrame, keys: tuple[str, ...] = ()) -> Data
 def changes_between(before: DataFrame, after: DataFrame, diff: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The same of two runs; the first may lack the keys."""
     sides = [run.select(*(k for k in keys if k in run.columns), F.col("base_qid").alias("q"), "doc", "rank") for run in (before, after)]
-    listed = diff.select(F.col("base_qid").alias("q"), F.explode("doc_ids").alias("doc"))
+    listed = diff.select(*(k for k in keys if k in diff.columns), F.col("base_qid").alias("q"), F.explode("doc_ids").alias("doc"))
     return metrics.rank_changes(*sides, listed, (*keys, "q")).withColumnRenamed("q", "base_qid")
 
 
@@ -156,22 +188,49 @@ def bundle(per: DataFrame, moved: DataFrame, keys: tuple[str, ...] = (), measure
     return wide.join(change, list(keys)) if keys else wide.crossJoin(change)
 
 
+@dataclass(frozen=True)
+class Results:
+    run: DataFrame
+    per: DataFrame
+    moved: DataFrame
+    bundle: DataFrame
+
+
+def results(scores: DataFrame, qrels: DataFrame, diff: DataFrame, config: Config, ks: tuple[int, ...] = KS, keys: tuple[str, ...] = ()) -> Results:
+    """Run, measures by query, rank changes and the bundle of every value of keys (a task), in one plan each; run and measures are stored."""
+    run = stash(run_of(final_scores(scores, config), config.keep, keys), "run")
+    per = stash(evaluate(run, qrels, ks, keys=keys), "measures")
+    moved = changes(run, diff, keys)
+    return Results(run, per, moved, bundle(per, moved, keys))
+
+
 def tasks_summary(bundles: DataFrame) -> DataFrame:
     """The mean p_mrr over tasks, 0 without any, and their number; bundles: a row for each task."""
     return bundles.agg(F.coalesce(F.avg("p_mrr"), F.lit(0.0)).alias("average_p_mrr"), F.count("*").alias("tasks"))
 
 
 def sweep(scores: DataFrame, points: DataFrame, qrels: DataFrame, diff: DataFrame, config: Config, ks: tuple[int, ...] = (5,)) -> DataFrame:
-    """The bundle of every grid point (param_index, alpha, tau) in one plan: scored once, crossed with the small grid.
+    """The bundle of every grid point in one plan: scored once, crossed with the small grid (param_index and alpha, with tau,
+    gamma, or tau_base and lam).
 
-    Where original queries keep their base score they are the same at every point: ranked and measured once, only changed queries are crossed."""
+    gamma: the threshold is so many deviations above the mean of a query's negative stream; tau_base and lam are the
+    proportional penalties' own. Where original queries keep their base score they are the same at every point: ranked and measured
+    once, only changed queries are crossed."""
     keys, og = ("param_index",), F.col("query_type") == "og"
-    crossed = (scores.where(~og) if config.isolate_og else scores).drop("alpha", "tau").crossJoin(F.broadcast(points))
-    run = stash(run_of(final_scores(crossed, config), config.keep, keys), "swept")
+    if "gamma" in points.columns:
+        scores = with_moments(scores, "s_neg", ("qid",))
+    if config.penalty in ("pat_protected", "pat_hybrid"):  # these ask for the first ranks only
+        first = top_k(scores, "s_base", 20, ("qid",), name="og_rank").select("qid", "doc", "og_rank")
+        scores = scores.join(first, ["qid", "doc"], "left").withColumn("og_rank", F.coalesce("og_rank", F.lit(21)))
+    crossed = (scores.where(~og) if config.isolate_og else scores).drop("alpha", *["tau"] * ("tau" in points.columns)).crossJoin(F.broadcast(points))
+    if "gamma" in points.columns:
+        crossed = crossed.withColumn("tau", F.when(F.col("_dev") < 1e-8, F.col("_mean")).otherwise(F.col("_mean") + F.col("gamma") * F.col("_dev")))
+    params = {"tau0": F.col("tau_base"), "lam": F.col("lam")} if "tau_base" in points.columns else {}
+    run = stash(run_of(final_scores(crossed, config, **params), config.keep, keys), "swept")
     per = evaluate(run, qrels, ks, keys=keys)
     if not config.isolate_og:
         return points.join(bundle(per, changes(run, diff, keys), keys), "param_index")
-    before = stash(run_of(final_scores(scores.where(og), config), config.keep), "original")
+    before = stash(run_of(final_scores(scores.where(og).withColumn("alpha", F.lit(0.0)), replace(config, penalty="classic")), config.keep), "original")
     both = per.unionByName(evaluate(before, qrels, ks).crossJoin(F.broadcast(points.select(*keys))))
     return points.join(bundle(both, changes_between(before, run, diff, keys), keys), "param_index")
 

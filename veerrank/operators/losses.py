@@ -36,21 +36,26 @@ def shield_loss(scores: Column, tau: Column, neg_of_pos: Column, margin: float =
     return pair_margins(scores, margin) + weight * relu(neg_of_pos - tau + epsilon)
 
 
-def contrast(pairs: DataFrame, margin_pos: float = 0.05, margin_neg: float = 0.3, push: float = 1.4, pull: float = 0.6, orthogonal: float = 0.01, keys: tuple[str, ...] = ("batch",)) -> DataFrame:
-    """keys, loss_pos, loss_neg, reg_loss, score_gap, sim_pos, sim_neg and total of each batch.
+def contrast(pairs: DataFrame, margin_pos: float = 0.05, margin_neg: float = 0.3, push: float = 1.4, pull: float = 0.6, orthogonal: float = 0.01, anchor: float = 0.1, keys: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """keys, loss_pos, loss_neg, reg_loss, ortho_loss, score_gap, sim_pos, sim_neg and total of each batch.
 
-    pairs: keys, row, q, pos, neg (unit vectors). The projected query is pushed from its own positive and pulled to its own
+    pairs: keys, row, q, pos, neg (unit vectors) and, while training, anchors (an array of unit vectors, see anchors()): the
+    mean square of the query's products with them is ortho_loss, 0 without any. The projected query is pushed from its own positive and pulled to its own
     negative; the batch's Gram matrix should be the identity. A batch is small by its making; its pairs meet by join.
     """
-    left = pairs.select(*keys, "row", "q", "pos", "neg")
+    square = F.lit(0.0)
+    if "anchors" in pairs.columns:
+        products = F.transform("anchors", lambda a: dot("q", a))
+        square = F.aggregate(products, F.lit(0.0), lambda s, x: s + x * x) / F.size("anchors")
+    left = pairs.select(*keys, "row", "q", "pos", "neg", square.alias("_angle"))
     right = pairs.select(*keys, F.col("row").alias("other"), F.col("q").alias("_q"), F.col("neg").alias("_neg"))
-    square = left.join(right, list(keys)).select(*keys, "row", (F.col("row") == F.col("other")).alias("own"), dot("q", "_q").alias("gram"), dot("q", "_neg").alias("far"), F.when(F.col("row") == F.col("other"), dot("q", "pos")).alias("near"))
-    rows = square.groupBy(*keys, "row").agg(F.max("near").alias("sim_pos"), F.max(F.when(F.col("own"), F.col("far"))).alias("sim_neg"), F.max("far").alias("most"), F.avg(F.pow(F.col("gram") - F.col("own").cast("double"), F.lit(2.0))).alias("reg"))
+    square = left.join(right, list(keys)).select(*keys, "row", (F.col("row") == F.col("other")).alias("own"), dot("q", "_q").alias("gram"), dot("q", "_neg").alias("far"), "_angle", F.when(F.col("row") == F.col("other"), dot("q", "pos")).alias("near"))
+    rows = square.groupBy(*keys, "row").agg(F.max("near").alias("sim_pos"), F.max(F.when(F.col("own"), F.col("far"))).alias("sim_neg"), F.max("far").alias("most"), F.avg(F.pow(F.col("gram") - F.col("own").cast("double"), F.lit(2.0))).alias("reg"), F.max("_angle").alias("_angle"))
     out = rows.groupBy(*keys).agg(
-        F.avg(relu(F.col("sim_pos") - margin_pos)).alias("loss_pos"), F.avg(relu(margin_neg - F.col("sim_neg"))).alias("loss_neg"), F.avg("reg").alias("reg_loss"),
+        F.avg(relu(F.col("sim_pos") - margin_pos)).alias("loss_pos"), F.avg(relu(margin_neg - F.col("sim_neg"))).alias("loss_neg"), F.avg("reg").alias("reg_loss"), F.avg("_angle").alias("ortho_loss"),
         F.avg(F.col("most") - F.col("sim_pos")).alias("score_gap"), F.avg("sim_pos").alias("sim_pos"), F.avg("sim_neg").alias("sim_neg"),
     )
-    return out.withColumn("total", push * F.col("loss_pos") + pull * F.col("loss_neg") + orthogonal * F.col("reg_loss"))
+    return out.withColumn("total", push * F.col("loss_pos") + pull * F.col("loss_neg") + orthogonal * F.col("reg_loss") + anchor * F.col("ortho_loss"))
 
 
 def anchors(rows: DataFrame, dim: int, seed: int = 42, n: int = 4) -> DataFrame:

@@ -19,9 +19,10 @@ from . import nearest
 QUERY_BLOCK, DOCUMENT_BLOCK = 256, 2048
 
 
-def score_candidates(pairs: DataFrame, queries: DataFrame, documents: DataFrame, streams: dict[str, str]) -> DataFrame:
-    """Join candidate pairs (q, doc) to query and document vectors first, then score: streams name -> query vector column."""
-    joined = pairs.join(documents.select(F.col("doc"), F.col("embedding").alias("_d")), "doc").join(queries, "q")
+def score_candidates(pairs: DataFrame, queries: DataFrame, documents: DataFrame, streams: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Join candidate pairs (keys, q, doc) to query and document vectors first, then score: streams name -> query vector column. keys that documents have part their ids too."""
+    own = [k for k in keys if k in documents.columns]
+    joined = pairs.join(documents.select(*own, "doc", F.col("embedding").alias("_d")), [*own, "doc"]).join(queries, [*keys, "q"])
     return joined.select(*[c for c in joined.columns if c != "_d" and c not in streams.values()], *(dot(v, "_d").alias(s) for s, v in streams.items()))
 
 

@@ -146,9 +146,12 @@ def gated_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(task, engine.retriever("mlp_only"), gates).where("rank <= 20").select("qid", "doc", "rank", F.round("score", 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('baseline', false, false, 1e0, 0.5e0), ('mlp_only', false, true, 1e0, 0.5e0), ('lap_only', true, false, 1e0, 0.5e0), ('hybrid', true, true, 1e0, 0.5e0)) AS t(name, projection, gate, alpha, tau)")
+@query("SELECT t.*, CASE WHEN projection THEN n ELSE 0 END AS projected, CASE WHEN gate THEN n ELSE 0 END AS gated FROM (VALUES ('baseline', false, false, 1e0, 0.5e0), ('mlp_only', false, true, 1e0, 0.5e0), ('lap_only', true, false, 1e0, 0.5e0), ('hybrid', true, true, 1e0, 0.5e0)) AS t(name, projection, gate, alpha, tau) CROSS JOIN (SELECT count(*) AS n FROM dual WHERE mask > 0)", fixture=True)
 def retriever_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, c.projection, c.gate, c.alpha, float(c.tau)) for n, c in engine.RETRIEVERS.items()], "name string, projection boolean, gate boolean, alpha double, tau double")
+    """The settings by name, and how many queries' negative sides each of them projects and gates."""
+    known = spark.createDataFrame([(n, c.projection, c.gate, c.alpha, float(c.tau)) for n, c in engine.RETRIEVERS.items()], "name string, projection boolean, gate boolean, alpha double, tau double")
+    constrained = X.dual(spark, sf_dir).where("mask > 0").agg(F.count("*").alias("n"))
+    return constrained.crossJoin(F.broadcast(known)).select("name", "projection", "gate", "alpha", "tau", *(F.when(F.col(c), F.col("n")).otherwise(0).alias(a) for c, a in (("projection", "projected"), ("gate", "gated"))))
 
 
 @query(_engine_sql("sb") + "," + _MOVED_SQL + ", tasks AS (SELECT d.q_label, avg(b.change) AS p FROM by_query b JOIN dual d USING (q) GROUP BY d.q_label) SELECT round(avg(p), 6) AS average_p_mrr, count(*) AS tasks FROM tasks", fixture=True)
@@ -170,13 +173,15 @@ _PRESET_SQL = " UNION ALL ".join(
 )
 
 
-@query(_PRESET_SQL)
+@query(f"points AS ({_PRESET_SQL}) SELECT preset, alpha, tau, count(q) AS reached FROM points LEFT JOIN scored ON q = doc - 1 AND 10 * sb > tau GROUP BY preset, alpha, tau", fixture=True)
 def grid_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preset grids, and how many queries' scores of the document behind them, times ten, reach each threshold."""
+    near = X.scored(spark, sf_dir).where("q = doc - 1").select("q", "sb")
     parts = [grid.preset(spark, n).select(F.lit(n).alias("preset"), "alpha", "tau") for n in grid.PRESETS]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return near.join(F.broadcast(out), 10 * F.col("sb") > F.col("tau"), "right").groupBy("preset", "alpha", "tau").agg(F.count("q").alias("reached"))
 
 
 _GRID = {"alpha": (0.0, 1.0, 2.0), "tau": (0.0, 0.1)}
@@ -228,10 +233,11 @@ def grid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.grid_report(_swept(spark, sf_dir)).select("param_index", "best")
 
 
-@query(f"WITH points AS ({_points_sql(**_GRID)}) SELECT (SELECT count(*) FROM points WHERE param_index % 2 = 0) AS completed, (SELECT count(*) FROM points) AS total")
+@query(f"WITH points AS ({_points_sql(**_GRID)}) SELECT (SELECT count(*) FROM points WHERE param_index IN (SELECT 2 * label FROM embeddings)) AS completed, (SELECT count(*) FROM points) AS total")
 def sweep_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = grid.points(spark, **_GRID)
-    return engine.progress(points, points.where("param_index % 2 = 0"))
+    """How far a sweep is; twice a label stands for a point that has a result."""
+    results = X.documents(spark, sf_dir).select((2 * F.col("label")).cast("long").alias("param_index"))
+    return engine.progress(grid.points(spark, **_GRID), results)
 
 
 _LISTS_SQL = """
@@ -483,10 +489,15 @@ def experiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("param_index", "alpha", "delta", "gamma", F.round("map", 6).alias("map"), F.round("p_mrr", 6).alias("p_mrr"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS points" for n, c in (("softplus", 30), ("hybrid_v3", 48), ("softplus_v2", 24), ("adaptive", 9), ("double_threshold", 12), ("hard", 18), ("exponential", 18), ("rank_aware", 6), ("conditional", 24), ("gradual", 12), ("selective", 72), ("harm_aware", 24), ("micro", 4), ("combined", 16), ("smart", 9), ("triple", 54))))
+_SIZES = " UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS points" for n, c in (("softplus", 30), ("hybrid_v3", 48), ("softplus_v2", 24), ("adaptive", 9), ("double_threshold", 12), ("hard", 18), ("exponential", 18), ("rank_aware", 6), ("conditional", 24), ("gradual", 12), ("selective", 72), ("harm_aware", 24), ("micro", 4), ("combined", 16), ("smart", 9), ("triple", 54)))
+
+
+@query(f"sizes AS ({_SIZES}) SELECT name, points, points * (SELECT count(*) FROM dual) AS runs FROM sizes", fixture=True)
 def experiment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of every experiment, and how many rankings it takes over the queries there are."""
     parts = [experiments.points(spark, n).agg(F.lit(n).alias("name"), F.count("*").cast("int").alias("points")) for n in experiments.EXPERIMENTS]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    queries = X.dual(spark, sf_dir).agg(F.count("*").alias("n"))
+    return queries.crossJoin(F.broadcast(out)).select("name", "points", (F.col("points") * F.col("n")).alias("runs"))

@@ -447,10 +447,11 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "pages").select("page_id", K.file_name(F.col("url")).alias("name"), F.when(F.contains(F.lower("url"), F.lit("https")), "secure").otherwise("plain").alias("route"))
 
 
-@query("SELECT * FROM (VALUES (0.5e0, 0.1e0), (1e0, 0.2e0)) AS t(alpha, tau)")
+@query("SELECT vec_id, CAST(label AS DOUBLE) AS alpha, CAST(vec_id AS DOUBLE) AS tau FROM embeddings UNION ALL SELECT vec_id, CAST(vec_id AS DOUBLE), 0.5e0 FROM embeddings")
 def grid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = spark.range(1).select(F.explode(K.grid_points(F.lit("0.5,0.1;bad;1.0,0.2;x,1"))).alias("p"))
-    return one.select("p.alpha", "p.tau")
+    """Points written as text, one text a row; parts that are no point are left out."""
+    text = F.format_string("%d,%d;bad;x,1;%d,0.5", "label", "vec_id", "vec_id")
+    return X.table(spark, sf_dir, "embeddings").select("vec_id", F.explode(K.grid_points(text)).alias("p")).select("vec_id", "p.alpha", "p.tau")
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -243,13 +243,15 @@ def valid_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum(K.mask_strict(minus)).cast("long").alias("valid"), F.countDistinct("source").alias("sources"))
 
 
-@query("SELECT alpha, tau, row_number() OVER (ORDER BY tau DESC, alpha) AS place FROM (VALUES (0.8e0), (1e0), (1.2e0)) AS a(alpha), (VALUES (0.45e0), (0.5e0), (0.55e0)) AS t(tau)")
+@query("grid AS (SELECT alpha, tau, count(q) AS reached FROM (VALUES (0.8e0), (1e0), (1.2e0)) AS a(alpha) CROSS JOIN (VALUES (0.45e0), (0.5e0), (0.55e0)) AS t(tau) LEFT JOIN taus ON 5 * abs(tau_q) > tau GROUP BY alpha, tau) SELECT alpha, tau, reached, row_number() OVER (ORDER BY reached DESC, tau DESC, alpha) AS place FROM grid", fixture=True)
 def ordered_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid's table in another order; the grid is a handful of rows."""
+    """A grid's table by how many queries reach a point, then in another order than its own; the grid is a handful of rows."""
     from ..operators import grid
 
-    order = F.row_number().over(Window.orderBy(F.desc("tau"), "alpha"))
-    return grid.preset(spark).select("alpha", "tau", order.cast("long").alias("place"))
+    queries = X.with_tau(X.dual(spark, sf_dir)).select("q", "tau_q")
+    rows = queries.join(F.broadcast(grid.preset(spark)), 5 * F.abs("tau_q") > F.col("tau"), "right").groupBy("alpha", "tau").agg(F.count("q").alias("reached"))
+    order = F.row_number().over(Window.orderBy(F.desc("reached"), F.desc("tau"), "alpha"))
+    return rows.withColumn("place", order.cast("long"))
 
 
 @query("SELECT q, round(avg(greatest(0e0, 0.1e0 + sn)), 6) AS push, count(*) AS n FROM (SELECT q, sn, row_number() OVER (PARTITION BY q ORDER BY sn DESC, doc) AS i, count(*) OVER (PARTITION BY q) AS c FROM scored WHERE label = q_label) WHERE i <= greatest(1, floor(c * 0.3e0)) GROUP BY q", fixture=True)

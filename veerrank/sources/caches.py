@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -13,8 +14,11 @@ from pyspark.sql import types as S
 from ..functions.keys import NONE
 from ..operators.ranking import last_wins
 from .readers import DUAL, alias, dual_queries, jsonl
+from .shared import stash
 
 VECTORS = "id string, embedding array<float>"
+#: Tasks that the texts of a bucket are spread over.
+SPREAD = 64
 #: Versioned files of split queries: dual_queries_v5_<task>.jsonl.
 _VERSIONED = r"dual_queries_v(\d+)_(.+)\.jsonl$"
 
@@ -34,7 +38,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str | S.StructType, ki
 
 
 def write_vectors(rows: DataFrame, path: str, id_col: str = "id") -> None:
-    """Append (id, embedding); batches of one run follow each other, readers take any one of an id."""
+    """Append (id, embedding); readers take any one of an id."""
     rows.select(F.col(id_col).cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).write.mode("append").parquet(path)
 
 
@@ -42,7 +46,7 @@ def read_vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None
     """The cached vectors, or None where there are none or, with wanted (id), where they hold an id that is not wanted."""
     if absent(spark, path):
         return None
-    cache = spark.read.schema(VECTORS).parquet(path).dropDuplicates(["id"])
+    cache = spark.read.schema(VECTORS).option("recursiveFileLookup", True).parquet(path).dropDuplicates(["id"])
     return cache if wanted is None or within(cache, wanted) else None
 
 
@@ -55,18 +59,38 @@ def same_keys(a: DataFrame, b: DataFrame, key: str = "id") -> bool:
     return within(a, b, key) and within(b, a, key)
 
 
-def encode_missing(texts: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Vectors of texts (id, text): what the cache lacks is encoded and appended, and the whole is read back.
+def encode_missing(texts: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], buckets: int = 64) -> DataFrame:
+    """Vectors of texts (id, text): what the cache lacks is encoded bucket by bucket, each committed for itself, and the whole is read back.
 
-    A cache of other ids is no prefix of this job and raises; an interrupted job loses the batch that it was writing.
+    A bucket holds the ids of one hash value; its vectors are there when its write has ended, and then a line of the
+    manifest says so. A job that is interrupted keeps the buckets it has finished, and the next one encodes only ids without
+    a vector, so no bucket is counted on that is not whole and none is encoded twice. Texts that are left are dealt to their
+    buckets once. A cache of other ids is no prefix of this job and raises.
     """
     spark = texts.sparkSession
     cache = read_vectors(spark, path)
     if cache is not None and not within(cache, texts):
         raise ValueError(f"the vectors at {path} are of other documents")
     left = texts if cache is None else texts.join(cache.select("id"), "id", "left_anti")
-    write_vectors(encode(left), path)
-    return read_vectors(spark, path)
+    dealt = left.withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    staged = stash(dealt.repartition("_bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SPREAD))), "texts", ["_bucket"])
+    waiting = [r._bucket for r in staged.groupBy("_bucket").count().orderBy("_bucket").collect()]
+    for bucket in waiting:
+        write_vectors(encode(staged.where(F.col("_bucket") == bucket).drop("_bucket")), f"{path}/bucket={bucket}")
+        done = spark.read.schema(VECTORS).parquet(f"{path}/bucket={bucket}").agg(F.lit(bucket).alias("bucket"), F.count("*").alias("vectors"))
+        done.withColumn("written_at", F.current_timestamp()).write.mode("append").json(manifest_of(path))
+    found = read_vectors(spark, path)
+    return found if found is not None else spark.createDataFrame([], VECTORS)
+
+
+def manifest_of(path: str) -> str:
+    return f"{path.rstrip('/')}-manifest"
+
+
+def encoded_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """bucket, vectors and written_at of the buckets that are finished: the last line of each."""
+    rows = read_or_empty(spark, manifest_of(path), "bucket int, vectors long, written_at timestamp", "json")
+    return last_wins(rows, ("bucket",), F.col("written_at"))
 
 
 def latest_files(files: DataFrame, name: str = "name") -> DataFrame:
@@ -172,13 +196,31 @@ def training_rows(rows: DataFrame) -> DataFrame:
     return out
 
 
+WEIGHTS = "save string, name string, value string, score double, saved_at timestamp"
+
+
 def write_weights(spark: SparkSession, weights: dict[str, list], path: str, score: float) -> None:
-    """Model weights as rows (name, value as JSON, score), appended: the best of all runs is the checkpoint."""
-    spark.createDataFrame([(n, json.dumps(w), score) for n, w in weights.items()], "name string, value string, score double").coalesce(1).write.mode("append").parquet(path)
+    """Model weights as rows (save, name, value as JSON, score, saved_at), appended: the best of all saves is the checkpoint."""
+    save = uuid.uuid4().hex
+    rows = spark.createDataFrame([(save, n, json.dumps(w), float(score)) for n, w in weights.items()], "save string, name string, value string, score double")
+    rows.withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
 
 
 def read_weights(spark: SparkSession, path: str) -> dict[str, list]:
-    """The weights of the lowest score."""
-    rows = read_or_empty(spark, path, "name string, value string, score double")
-    best = last_wins(rows, ("name",), -F.col("score"))
-    return {r.name: json.loads(r.value) for r in best.collect()}
+    """The weights of the save with the lowest score, all of that one save; the later of equal ones."""
+    rows = read_or_empty(spark, path, WEIGHTS)
+    first = rows.orderBy("score", F.desc("saved_at"), "save").first()
+    if first is None:
+        return {}
+    return {r.name: json.loads(r.value) for r in rows.where(F.col("save").eqNullSafe(first.save)).collect()}
+
+
+def write_state(spark: SparkSession, name: str, epoch: int, data: bytes, path: str) -> None:
+    """A trainer's whole state after an epoch as one row: a save is there or not, never in part."""
+    spark.createDataFrame([(name, epoch, bytearray(data))], "name string, epoch int, data binary").coalesce(1).write.mode("append").parquet(path)
+
+
+def read_state(spark: SparkSession, name: str, path: str) -> bytes | None:
+    """The last state of a part, or None."""
+    row = read_or_empty(spark, path, "name string, epoch int, data binary").where(F.col("name") == name).orderBy(F.desc("epoch")).first()
+    return bytes(row.data) if row else None

@@ -68,6 +68,52 @@ def parameter_summary(results: DataFrame, places: int = 6) -> DataFrame:
     return results.select(F.col("alpha"), F.col("tau"), text("p_mrr").alias("pMRR"), *named)
 
 
+#: What a parameter is called in a report where that is not its column's name (fixed value).
+_AXIS = {"lam": "lambda"}
+GRID_MEASURES = ("p_mrr", "og_ndcg@5", "changed_ndcg@5", "og_mrr", "changed_mrr")
+
+
+def grid_rows(results: DataFrame, axes: tuple[str, ...], k: int = 5) -> DataFrame:
+    """param_index, a grid's parameters and GRID_MEASURES by their report names; the reciprocal ranks are those at the largest cut-off there is."""
+    cuts = {side: max((int(c.rsplit("_", 1)[1]) for c in results.columns if c.startswith(f"{side}_mrr_")), default=None) for side in ("og", "changed")}
+    found = {"p_mrr": "p_mrr", "og_ndcg@5": f"og_ndcg_{k}", "changed_ndcg@5": f"changed_ndcg_{k}"} | {f"{s}_mrr": f"{s}_mrr_{c}" for s, c in cuts.items()}
+    return results.select("param_index", *(F.col(a).alias(_AXIS.get(a, a)) for a in axes), *((F.col(found[m]) if found[m] in results.columns else F.lit(0.0)).alias(m) for m in GRID_MEASURES))
+
+
+def grid_lines(results: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """param_index (-1: the heading) and line of a grid's CSV report, numbers with four places."""
+    rows = grid_rows(results, axes)
+    names = rows.columns[1:]
+    head = results.sparkSession.createDataFrame([(-1, ",".join(names))], "param_index long, line string")
+    return head.unionByName(rows.select("param_index", F.concat_ws(",", *(F.format_string("%.4f", F.col(f"`{n}`").cast("double")) for n in names)).alias("line")))
+
+
+def grid_record(results: DataFrame, axes: tuple[str, ...], **fixed: float) -> DataFrame:
+    """A grid's JSON report as one row: the values of each parameter, what was fixed, and all results in order. A grid is a handful of rows."""
+    rows = grid_rows(results, axes)
+    listed = F.sort_array(F.collect_list(F.struct("param_index", F.struct(*(F.col(f"`{n}`") for n in rows.columns[1:])).alias("r"))))
+    lists = [F.sort_array(F.collect_set(F.col(_AXIS.get(a, a)))).alias(f"{_AXIS.get(a, a)}_list") for a in axes]
+    return rows.agg(*lists, F.transform(listed, lambda x: x.r).alias("results")).select(*(f"{_AXIS.get(a, a)}_list" for a in axes), *(F.lit(v).alias(n) for n, v in fixed.items()), "results")
+
+
+def full_record(results: DataFrame, best: DataFrame, axes: tuple[str, ...], mode: str | None = None) -> DataFrame:
+    """The whole record of a search as one row: best_params, best_metrics, all_results, and the mode where a gate sets the parameters.
+
+    The measures of every query go beside it, one line each (save_search): their number grows with the queries."""
+    everything = grid_record(results, axes).select(F.col("results").alias("all_results"))
+    measures = [c for c in best.columns if c not in ("param_index", "total", *axes)]
+    chosen = best.select(F.struct(*axes).alias("best_params"), *([F.lit(mode).alias("mode")] if mode else []), F.struct(*measures).alias("best_metrics"))
+    return chosen.crossJoin(everything)
+
+
+def save_search(results: DataFrame, best: DataFrame, per: DataFrame, axes: tuple[str, ...], folder: str, name: str, mode: str | None = None, **fixed: float) -> None:
+    """A search's files: the full record, every query's measures, and the grid's JSON and CSV reports."""
+    write_json(full_record(results, best, axes, mode), f"{folder}/random_search_results")
+    write_json(per, f"{folder}/all_query_metrics")
+    write_json(grid_record(results, axes, **fixed), f"{folder}/{name}_grid_search_results")
+    grid_lines(results, axes).coalesce(1).sortWithinPartitions("param_index").select("line").write.mode("overwrite").text(f"{folder}/{name}_grid_search_results_csv")
+
+
 def metric_summary(bundle: DataFrame) -> DataFrame:
     """pMRR and the original queries' nDCG and MAP at each cut-off of the bundle, by their report names."""
     own = [c for c in bundle.columns if c.startswith(("og_ndcg_", "og_map_"))]
