@@ -170,10 +170,11 @@ class Encoder:
         if self.bytes > MEMO_BYTES:
             self._forget()
         place = self.place
-        if fresh := [p for p in distinct if p not in place and len(p) <= LONG]:
+        unknown = [p for p in distinct if p not in place]
+        if fresh := [p for p in unknown if len(p) <= LONG]:
             self._learn(fresh)
         known, held = len(place), self.bytes
-        if long := [p for p in distinct if len(p) > LONG]:
+        if long := [p for p in unknown if len(p) > LONG]:
             self._learn(long)
         at = np.fromiter(map(place.__getitem__, distinct), np.int64, len(distinct))
         self.met[at] = np.minimum(self.met[at] + 1, 2)
