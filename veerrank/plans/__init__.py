@@ -1,3 +1,3 @@
 """Queries over the test tables."""
 
-from . import queries, details, engine_queries, source_queries, trained_queries  # noqa: F401, I001
+from . import queries, details, engine_queries, source_queries, trained_queries, storage_queries  # noqa: F401, I001

@@ -186,6 +186,20 @@ def training_lists(vectors: DataFrame, num_neg: int = 15) -> DataFrame:
     return lists.select("idx", F.get("q_plus", F.lit(0)).alias("q_plus"), F.get("q_minus", F.lit(0)).alias("q_minus"), "pos", F.slice("neg", 1, num_neg).alias("neg"))
 
 
+def rows_at(rows: DataFrame, places: DataFrame, key: str = "idx") -> DataFrame:
+    """Rows with place, their number from 0 in the order of a whole-number key, for the wanted places: a data set's items by index."""
+    from ..operators.ranking import numbered
+
+    placed = numbered(rows.withColumn("_all", F.lit(1)), "_all", key, key).drop("_all")
+    return placed.join(places.select("place").distinct(), "place", "left_semi")
+
+
+def index_of(placed: DataFrame, kind: str) -> DataFrame:
+    """One row with a map from each type to the first and last of its places and their number; types are few."""
+    ranges = placed.groupBy(kind).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
+    return ranges.agg(F.map_from_entries(F.collect_list(F.struct(kind, F.struct("first", "last", "n")))).alias("ranges"))
+
+
 def training_rows(rows: DataFrame) -> DataFrame:
     """(idx, role, sub_idx, text) of each text of training rows (idx, q_plus, q_minus, pos, neg): what is to be encoded."""
     listed = {"q_plus": F.array("q_plus"), "q_minus": F.array("q_minus"), "pos": F.col("pos"), "neg": F.col("neg")}
