@@ -8,7 +8,7 @@ copies for certain. The rest is sampled: documents are ranked by random odds ove
 (u / (1 - u)) / (p / (1 - p)), where p is the fractional part of the expected copies, and are taken in that order until
 the source's remaining words are filled, each taken if that comes nearer to them: a sample of fixed size in words.
 
-Nothing is sorted by source in one task: sources are numbered by prefix, the shares come from a few rounds of sums, scales
+Nothing is sorted by source in one task: sources are numbered by prefix, the shares come from running sums over sources in the order in which they fill up, scales
 from sums by weight class, and the order's cut from sums by fine buckets of rank, of which only the one that holds the cut
 is sorted. u comes from a hash of seed, id and text, so reruns agree.
 
@@ -41,16 +41,34 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], factor: float,
     place = F.row_number().over(Window.partitionBy("last", "prefix").orderBy("source")) - 1
     numbered = sizes.withColumns({"last": F.col("source").isNull(), "prefix": prefix}).withColumn("place", place).join(blocks, ["last", "prefix"])
     weight = F.get(F.array(*map(F.lit, map(float, weights))), ((F.col("place") + F.col("before")) % len(weights)).cast("int"))
-    table = stash(numbered.select("source", "source_size", weight.alias("weight")), "sources")
-    limit, unit, full = most * F.col("source_size"), 0.0, -1
-    while True:  # each round fills at least one more source
-        above = F.col("weight") * unit >= limit
-        sums = table.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, limit)).alias("given"), F.sum(F.when(~above, F.col("weight"))).alias("open"), F.count_if(above).alias("full")).first()
-        if sums.full == full or not sums.open:
-            break
-        full, unit = sums.full, (factor * sums.all - (sums.given or 0.0)) / sums.open
-    above = F.col("weight") * unit >= limit
-    return table.select("source", "source_size", F.when(above, limit).otherwise(F.col("weight") * unit).alias("target"))
+    table = stash(numbered.select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("limit")), "sources")
+    unit = _unit(table, factor)
+    above = F.col("weight") * unit >= F.col("limit")
+    return table.select("source", "source_size", F.when(above, F.col("limit")).otherwise(F.col("weight") * unit).alias("target"))
+
+
+def _unit(table: DataFrame, factor: float) -> float:
+    """Words for a weight of one, when sources that reach their limit get that and the others share the rest by weight.
+
+    Sources fill up in the order of limit over weight. If the first so many of them are full, the others get
+    (all - their limits) / (all weights - theirs); with too few or too many taken to be full that is too little, so the
+    largest such share is the one that holds. Running sums go over range partitions, and over one row for each of those.
+    """
+    whole = table.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not whole[0]:
+        return 0.0
+    words, weights = factor * whole[0], float(whole[1])
+    order = ("full", "source")
+    sorted_ = table.select("source", "limit", "weight", (F.col("limit") / F.col("weight")).alias("full")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stash(sorted_.select("limit", "weight", F.monotonically_increasing_id().alias("at")), "filling").withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("part").agg(F.sum("limit").alias("l"), F.sum("weight").alias("w"))
+    before = [(F.sum(c).over(Window.orderBy("part")) - F.col(c)).alias(f"{c}_before") for c in ("l", "w")]
+    upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select("part", F.sum("limit").over(upto).alias("l_upto"), F.sum("weight").over(upto).alias("w_upto")).join(parts.select("part", *before), "part")
+    rest = weights - F.col("w_before") - F.col("w_upto")
+    share = (words - F.col("l_before") - F.col("l_upto")) / rest
+    best = running.where(rest > 0).agg(F.max(share)).first()[0]
+    return max(words / weights, best) if best is not None else words / weights
 
 
 def scales(rows: DataFrame, plan: DataFrame, most: float) -> DataFrame:
