@@ -4,7 +4,9 @@ Each run of `window` words of an item is a record to be contained whole; an item
 words of all records are ordered by their number in the documents, rarest first. A record that is contained whole
 needs its rarest word in the document, so that one word is its necessary prefix and the join key; a match of the key
 must leave room for the record's words before and behind it within the document (position and length bounds), and
-then all words are compared. Items are read in blocks of bounded bytes, each broadcast, whatever their number.
+then all words are compared. Items are read in blocks of bounded
+words (a longer item lies in several, which overlap by a window less one word); each is one pass over the documents, whose
+hits are stored before the next begins, so that neither the driver nor a task holds more than one block.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no windows; windows of
 items without an id hit like any other, but name no item (unnamed says that a document has one); null ids and repeated rows come back as they are, a repeated item id counts once; empty tables give no rows (documents) or no
@@ -13,7 +15,6 @@ hits (items); other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,28 +26,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import stash
 
 BATCH_BYTES = 4 << 20
-#: Item text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+#: Words of items in one broadcast block.
+BLOCK_WORDS = 1 << 20
 
 
-def _item_words(text: str | None) -> list[bytes]:
-    words, _ = T.split(*T.raw(pa.array([text], pa.string())), T.ALNUM, lower=True)
-    return words.to_pylist()
+def _item_words(text: str | None) -> pa.BinaryArray:
+    return T.split(*T.raw(pa.array([text], pa.string())), T.ALNUM, lower=True)[0]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Distinct windows with their item, block by block; the driver holds one block at a time."""
-    block, size = [], 0
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[tuple[str | None, pa.BinaryArray]]]:
+    """Items with their words, block by block; the driver holds one block at a time."""
+    block, size, most = [], 0, max(BLOCK_WORDS, 2 * window)
     for item, text in items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").toLocalIterator():
-        words = _item_words(text)
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            block.append((item, words[at : at + window]))
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
+        words, at = _item_words(text), 0
+        while at < len(words):
+            part = words.slice(at, most - size)
+            whole = len(part) == len(words)
+            # A part has a buffer of its own: a slice would carry all of a long item along.
+            block.append((item, words if whole else pa.array(part.to_pylist(), pa.binary())))
+            size += len(part)
+            at = len(words) if at + len(part) == len(words) else at + len(part) - window + 1
+            if size + window > most:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
@@ -54,33 +59,41 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterat
 class _Records:
     """One block, ordered by rarity: records by their key word."""
 
-    def __init__(self, block: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int]):
-        self.vocabulary = list(dict.fromkeys(w for _, words in block for w in words))
-        code = {w: i for i, w in enumerate(self.vocabulary)}
-        rarity = np.array([counts.get(w, 0) for w in self.vocabulary])
-        items = list(dict.fromkeys(item for item, _ in block))
-        number = {item: i for i, item in enumerate(items)}
-        rows: dict[tuple[int, ...], set[int]] = {}
-        for item, words in block:
-            rows.setdefault(tuple(code[w] for w in words), set()).add(number[item])
-        records = sorted(rows)
-        self.items = items
-        self.length = np.array([len(r) for r in records])
-        self.words = np.full((len(records), self.length.max()), -1, np.int64)
-        self.offset = np.zeros(len(records), np.int64)
-        key = np.zeros(len(records), np.int64)
-        for i, r in enumerate(records):
-            self.words[i, : len(r)] = r
-            self.offset[i] = min(range(len(r)), key=lambda k: (rarity[r[k]], r[k], k))
-            key[i] = r[self.offset[i]]
+    def __init__(self, block: list[tuple[str | None, pa.BinaryArray]], counts: dict[bytes, int], window: int):
+        self.items = list(dict.fromkeys(item for item, _ in block))
+        number = {item: i for i, item in enumerate(self.items)}
+        coded = pa.concat_arrays([words for _, words in block]).dictionary_encode()
+        self.vocabulary, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        rarity = np.array([counts.get(w, 0) for w in self.vocabulary.to_pylist()], np.int64)
+        sizes = np.array([len(words) for _, words in block])
+        starts, owner = np.concatenate([[0], np.cumsum(sizes)]), np.array([number[item] for item, _ in block])
+        # Every window of the long items, and each short item as one record with nothing behind it.
+        begin = [np.arange(starts[i], starts[i + 1] - window + 1) for i in np.flatnonzero(sizes >= window)]
+        at = np.concatenate([*begin, starts[:-1][sizes < window]]).astype(np.int64)
+        whose = np.concatenate([np.repeat(owner[sizes >= window], sizes[sizes >= window] - window + 1), owner[sizes < window]])
+        length = np.concatenate([np.full(sum(map(len, begin)), window), sizes[sizes < window]])
+        inside = np.arange(window) < length[:, None]
+        words = np.where(inside, codes[np.minimum(at[:, None] + np.arange(window), len(codes) - 1)], -1).astype(np.int32)
+        rows, record = np.unique(np.ascontiguousarray(words).view(np.dtype((np.void, 4 * window))).ravel(), return_inverse=True)
+        self.words = rows.view(np.int32).reshape(-1, window)
+        self.length = (self.words >= 0).sum(axis=1)
+        rank = np.where(self.words >= 0, rarity[self.words] * len(rarity) + self.words, np.iinfo(np.int64).max)
+        self.offset = rank.argmin(axis=1)
+        key = self.words[np.arange(len(self.words)), self.offset]
         self.by_key = np.argsort(key, kind="stable")
-        self.first = np.searchsorted(key[self.by_key], np.arange(len(self.vocabulary) + 1))
-        self.owners = [sorted(rows[r]) for r in records]
+        self.first = np.searchsorted(key[self.by_key], np.arange(len(rarity) + 1))
+        pairs = np.unique(record.astype(np.int64) * len(self.items) + whose)
+        self._owner = pairs % len(self.items)
+        self._owned = np.searchsorted(pairs // len(self.items), np.arange(len(self.words) + 1))
+
+    def owners(self, record: int) -> list[str | None]:
+        """The items that hold a record."""
+        return [self.items[i] for i in self._owner[self._owned[record] : self._owned[record + 1]]]
 
     def matches(self, words: pa.BinaryArray, row_bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of records among the words of all rows, and the records."""
         coded = words.dictionary_encode()
-        known = pc.index_in(coded.dictionary, pa.array(self.vocabulary, pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = pc.index_in(coded.dictionary, self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
         ids = known[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         n_records = np.diff(self.first)
@@ -142,19 +155,14 @@ def _union_length(spans: Column) -> Column:
 def contained_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, item_ids (sorted strings), unnamed, spans (start, length in words).
 
-    One block of items is one pass over the documents; of more blocks, each is a pass of its own, whose hits meet by document.
+    One block of items is one pass over the documents; of more blocks, each is a pass of its own, whose hits are stored and meet by document.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = slim.withColumn("key", F.xxhash64("doc_id", "text"))
-    shares = []
-    for block in _blocks(items, item_col, item_text_col, window):
-        counts = word_counts(slim.select("text"), list(Counter(w for _, words in block for w in words)))
-        shares.append(spark.sparkContext.broadcast((block, counts)))
-
     def against(share: Broadcast | None):
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            records = _Records(*share.value) if share else None
+            records = _Records(*share.value, window) if share else None
             for batch in T.slices(batches, "text", BATCH_BYTES):
                 words, bounds = T.split(*T.raw(batch["text"]), T.ALNUM, lower=True)
                 hit = np.zeros(len(words) + 1, np.int64)
@@ -165,7 +173,7 @@ def contained_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
                     np.add.at(hit, start, 1)
                     np.add.at(hit, start + records.length[record], -1)
                     for row, s, r in zip(np.searchsorted(bounds, start, "right") - 1, start, record):
-                        owners.setdefault(int(row), set()).update(records.items[o] for o in records.owners[r])
+                        owners.setdefault(int(row), set()).update(records.owners(r))
                         spans.setdefault(int(row), set()).add((int(s - bounds[row]), int(records.length[r])))
                 n_hit = T.row_sums(np.cumsum(hit)[:-1] > 0, bounds)
                 rows = range(batch.num_rows)
@@ -174,9 +182,21 @@ def contained_items(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
 
         return keyed.mapInArrow(join, "doc_id long, key long, n_words long, n_hit long, item_ids array<string>, unnamed boolean, spans array<struct<start: long, length: long>>")
 
-    if len(shares) < 2:
-        return against(shares[0] if shares else None).drop("key")
-    found = reduce(DataFrame.unionByName, (against(s).where("n_hit > 0").select("key", "item_ids", "unnamed", "spans") for s in shares))
+    def shared(block: list[tuple[str | None, pa.BinaryArray]]) -> Broadcast:
+        wanted = pa.concat_arrays([words for _, words in block]).unique().to_pylist()
+        return spark.sparkContext.broadcast((block, word_counts(slim.select("text"), wanted)))
+
+    blocks = _blocks(items, item_col, item_text_col, window)
+    block, following = next(blocks, None), next(blocks, None)
+    if following is None:
+        return against(shared(block) if block else None).drop("key")
+    parts = []
+    while block is not None:
+        share = shared(block)
+        parts.append(stash(against(share).where("n_hit > 0").select("key", "item_ids", "unnamed", "spans"), "hits"))
+        share.destroy()
+        block, following = following, next(blocks, None)
+    found = reduce(DataFrame.unionByName, parts)
     found = found.groupBy("key").agg(F.flatten(F.collect_set("item_ids")).alias("item_ids"), F.bool_or("unnamed").alias("unnamed"), F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     rows = keyed.select("doc_id", "key", n_words.alias("n_words")).join(found.hint("shuffle_hash"), "key", "left")
