@@ -10,6 +10,8 @@ bucket and are extended both ways as long as their words are equal to those of a
 repeats as ranges of starts. Windows are looked up by hash and compared word by word. Of equal windows a group sends only
 its smallest document's, having decided its others itself, and anchors that very many groups have meet in salted parts
 first, each of which passes on the smallest in the same way: a passage that all documents share is never one task's load.
+Rows alike in id and text that would fill a group by themselves become one row with a number beforehand, and as many again
+at the end.
 
 Defined results: null and empty texts have no words; rows with a null id neither remove nor lose words; rows with the
 same id and text share their result; an id is never smaller than itself; an empty table gives no rows; other columns
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import buckets_for
+from .store import buckets_for, stash
 
 BATCH_BYTES = 6 << 20
 SEED = 12
 #: Bytes of documents in a group.
 GROUP_BYTES = 6 << 20
+#: What a row takes besides its text; rows of a table that is broadcast, of 24 bytes each.
+ROW_BYTES, BROADCAST_ROWS = 64, 1_000_000
 #: Groups whose occurrences of one anchor meet in one salted part.
 MEET = 4096
 #: A run of windows on its way to a bucket, and the one it goes to after a salted part (-1: none). Spans travel as runs of
@@ -122,7 +126,7 @@ def _spans(owner: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarra
 
 def dealt(docs: DataFrame, groups: int) -> DataFrame:
     """doc_id, text, key (hash of the text) and owner, the group of each row; one shuffle that all steps read."""
-    keyed = docs.withColumn("key", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    keyed = docs.withColumn("key", _key())
     return keyed.withColumn("owner", F.pmod(F.xxhash64("doc_id", "key"), F.lit(groups)).cast("int")).repartition(groups, "owner")
 
 
@@ -220,7 +224,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     """doc_id, n_words, n_removed, kept_sha256, and with_text kept_text: the words left, joined by one space."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = buckets_for(slim, GROUP_BYTES)
-    rows = dealt(slim, groups)
+    heavy = stash(_heavy(slim), "heavy")
+    n_heavy = heavy.count()
+    rows = dealt(_once(slim, heavy, n_heavy) if n_heavy else slim, groups)
     spans = repeat_spans(rows, length, groups).repartition(groups, "owner")
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -242,4 +248,35 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
         columns = [left["doc_id"], *(pa.array(list(c)) for c in zip(*(x[: 3 + with_text] for x in out)))]
         return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
-    return rows.groupBy("owner").cogroup(spans.groupBy("owner")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    columns = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    if not n_heavy:
+        return rows.groupBy("owner").cogroup(spans.groupBy("owner")).applyInArrow(keep, f"doc_id long, {columns}")
+
+    def keyed(left: pa.Table, right: pa.Table) -> pa.Table:
+        return keep(left, right).append_column("key", left["key"])
+
+    found = rows.groupBy("owner").cogroup(spans.groupBy("owner")).applyInArrow(keyed, f"doc_id long, {columns}, key long")
+    again = found.join(_small(heavy, n_heavy).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "n"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    return again.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1).cast("long"))))).select("doc_id", *(c.split()[0] for c in columns.split(", ")))
+
+
+def _key() -> F.Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
+def _heavy(docs: DataFrame) -> DataFrame:
+    """doc_id, key and number of the rows that are repeated until they would fill a group: at most one for each GROUP_BYTES of input."""
+    alike = docs.groupBy("doc_id", _key().alias("key")).agg(F.count("*").alias("n"), F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
+    return alike.where(f"n > 1 and n * (size + {ROW_BYTES}) >= {GROUP_BYTES}").select("doc_id", "key", "n")
+
+
+def _small(heavy: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy
+
+
+def _once(docs: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
+    """Rows with one of each heavy one."""
+    known = _small(heavy, n).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (_key() == F.col("_k"))
+    one = docs.join(known, same, "left_semi").withColumn("key", _key()).dropDuplicates(["doc_id", "key"]).drop("key")
+    return docs.join(known, same, "left_anti").unionByName(one)
