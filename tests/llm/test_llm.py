@@ -245,6 +245,29 @@ def test_sampler_agrees_with_one_customer_at_a_time(spark):
     assert abs(got + np.mean(logs)) < 0.03, (got, -np.mean(logs))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, seed):
+    """Any number of sources, many alike, some empty: the shares of a round-by-round reckoning."""
+    random = np.random.default_rng(seed)
+    sizes = [(f"s{i:03d}", int(random.choice([0, 1, 7, 7, 7, 50, 1000]))) for i in range(120)] + [(None, 40)]
+    want = source_targets(sizes, (5, 2, 1), 1.5, 2.0)
+    table = spark.createDataFrame(sizes, "source string, source_size long").repartition(3)
+    got = {r.source: r.target for r in mixing.source_targets(table, (5, 2, 1), 1.5, 2.0).collect()}
+    assert all(math.isclose(got[s], t, rel_tol=1e-9, abs_tol=1e-9) for (s, _), t in zip(sizes, want))
+    full = {r.source: r.target for r in mixing.source_targets(table, (5, 2, 1), 3.0, 2.0).collect()}
+    assert all(full[s] == 2.0 * n for s, n in sizes)
+    assert mixing.source_targets(table.where("source_size = 0"), (5, 2, 1), 1.5, 2.0).agg(F.sum("target")).first()[0] == 0
+
+
+def test_rows_that_would_fill_a_group(spark, monkeypatch):
+    """Many rows alike in id and text, null ids too, are one row on the way and as many again in the result."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 4000)
+    texts = [words(60), PASSAGE + " " + words(30), words(20) + " " + PASSAGE]
+    rows = [(5, texts[2])] * 40 + [(None, texts[0])] * 30 + [(None, None)] * 200 + [(1, texts[1]), (1, texts[0]), (2, texts[0]), (7, "")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == Counter({(5, 90, 70): 40, (None, 60, 0): 30, (None, 0, 0): 200, (1, 100, 0): 1, (1, 60, 0): 1, (2, 60, 60): 1, (7, 0, 0): 1})
+
+
 def test_decontamination(spark, docs, empty, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, ",".join(r.item_ids)) for r in decontaminate.contained_items(docs, items).collect())
@@ -266,9 +289,14 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert got == sorted(want) and any(x[2] for x in got)
     assert decontaminate.contained_items(empty, items).count() == 0
     one = sorted(map(str, decontaminate.contained_items(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)  # every item is a block
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)  # blocks of twenty words: items share some and are cut into several
     assert sorted(map(str, decontaminate.contained_items(docs, items).collect())) == one
     assert decontaminate.contained_items(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    # An item of several blocks, found at its ends, in the middle and across a cut; beside it one of nine words.
+    long, short = words(75).split(), words(9)
+    texts = [" ".join(long[a : a + n]) for a, n in ((0, 10), (65, 10), (15, 30), (3, 9))] + [f"x {short} y", short]
+    found = decontaminate.contained_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(long)), (2, short)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in found.collect()) == [(0, 10, ["1"]), (1, 10, ["1"]), (2, 30, ["1"]), (3, 0, []), (4, 9, ["2"]), (5, 9, ["2"])]
 
 
 def test_items_without_an_id_hit(spark, tmp_path):
