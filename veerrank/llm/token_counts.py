@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ _MARK[[ord(c) for c in ".,;:!?&%$#*\"()"]] = True  # none that a special token's
 _CJK_MARKS = ((0xE3, 0x8081), (0xE3, 0x8082), (0xEF, 0xBC81), (0xEF, 0xBC8C), (0xEF, 0xBC9A), (0xEF, 0xBC9B), (0xEF, 0xBC9F))
 
 
+#: What str.strip() takes for white space, of ASCII.
+_WHITE = bytes([*range(0x09, 0x0E), *range(0x1C, 0x21)])
+
+
 def _cjk_cuts(data: np.ndarray) -> np.ndarray:
     """Places of CJK marks that follow a letter: ideographs U+5000 to U+9FBF, kana U+3041 to U+307F and U+3080 to U+3096."""
     at = np.flatnonzero((data[3:-2] == 0xE3) | (data[3:-2] == 0xEF)) + 3
@@ -141,7 +146,7 @@ class Encoder:
         self.met, self.begins, self.sizes, self.flat = self.met[:n].copy(), self.begins[:n].copy(), self.sizes[:n].copy(), self.flat[:tokens].copy()
 
     def _learn(self, fresh: list[bytes]) -> None:
-        joined = [p for p in fresh if self.safe and p[0] == 0x20 and p[1:].decode() == p.decode().strip() != ""]
+        joined = [p for p in fresh if p[0] == 0x20 and (p[1:] == p.strip(_WHITE) != b"" if p.isascii() else p[1:].decode() == p.decode().strip() != "")] if self.safe else []
         alone = list(set(fresh).difference(joined))
         fresh = joined + alone
         texts = [b"".join(joined[lo : lo + 64]).decode() for lo in range(0, len(joined), 64)] + [p.decode() for p in alone]
@@ -170,13 +175,15 @@ class Encoder:
         if self.bytes > MEMO_BYTES:
             self._forget()
         place = self.place
-        unknown = [p for p in distinct if p not in place]
+        at = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        unknown = [distinct[i] for i in new.tolist()]
         if fresh := [p for p in unknown if len(p) <= LONG]:
             self._learn(fresh)
         known, held = len(place), self.bytes
         if long := [p for p in unknown if len(p) > LONG]:
             self._learn(long)
-        at = np.fromiter(map(place.__getitem__, distinct), np.int64, len(distinct))
+        at[new] = np.fromiter(map(place.__getitem__, unknown), np.int64, len(unknown))
         self.met[at] = np.minimum(self.met[at] + 1, 2)
         at = at[index]
         sizes = self.sizes[at]
