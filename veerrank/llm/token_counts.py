@@ -20,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,7 @@ class Encoder:
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.bytes = 0
+        self.settled = pa.array([], pa.binary())
         self.met, self.begins, self.sizes, self.flat = (np.zeros(0, t) for t in (np.uint8, np.int64, np.int64, np.uint32))
 
     def _safe(self) -> bool:
@@ -135,6 +137,7 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = self.flat[np.repeat(self.begins[kept] - upto[:-1], sizes) + np.arange(upto[-1])]
         self.place = {p: i for i, p in enumerate(pieces)}
+        self.settled = pa.array(pieces, pa.binary())
         self.bytes = self._cost(pieces, len(self.flat))
         self.met, self.begins, self.sizes = np.ones(len(kept), np.uint8), upto[:-1], sizes
 
@@ -171,13 +174,18 @@ class Encoder:
             return np.zeros(len(bounds) - 1, np.int64), np.zeros(0, np.uint32) if keep_ids else None
         offsets = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-        index, distinct = T.codes(pieces)
+        coded = pieces.dictionary_encode()
+        index, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         if self.bytes > MEMO_BYTES:
             self._forget()
         place = self.place
-        at = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(at < 0)
-        unknown = [distinct[i] for i in new.tolist()]
+        # Pieces of long standing are found among all at once, the others one by one.
+        at = pc.index_in(distinct, self.settled).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rest = np.flatnonzero(at < 0)
+        asked = distinct.take(pa.array(rest)).to_pylist()
+        at[rest] = np.fromiter(map(place.get, asked, repeat(-1)), np.int64, len(asked))
+        missing = np.flatnonzero(at[rest] < 0)
+        new, unknown = rest[missing], [asked[i] for i in missing.tolist()]
         if fresh := [p for p in unknown if len(p) <= LONG]:
             self._learn(fresh)
         known, held = len(place), self.bytes
@@ -193,6 +201,8 @@ class Encoder:
         if long:
             self._drop_from(known)
             self.bytes = held
+        if len(place) > 1.5 * len(self.settled) + 10_000:
+            self.settled = pa.array(list(place), pa.binary())
         return counts, ids
 
 
