@@ -121,7 +121,7 @@ def resumed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
     path = scratch(spark, "vectors")
     caches.write_vectors(vectors.where(F.col("id").cast("long") % 2 == 0), path)
-    whole = caches.encode_missing(vectors.select("id", F.lit("").alias("text")), path, lambda left: left.join(vectors, "id"))
+    whole = caches.encode_missing(vectors.select("id", F.lit("").alias("text")), path, lambda left: left.join(vectors, "id"), buckets=4)
     same = caches.same_keys(whole, vectors)
     return whole.agg(F.count("*").alias("n"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 4).alias("total")).withColumn("same", F.lit(same))
 
