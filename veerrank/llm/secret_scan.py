@@ -73,9 +73,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.slice(F.filter(bare, lambda w: (w != "") & (F.length(w) < 3 * SHORT) & ~w.rlike(NAMES)), 1, TAKEN)
 
     def word(w: F.Column, i: F.Column) -> F.Column:
+        able = (F.length(w) >= SHORT) & (w.rlike(f"{RUN}{{{MIN_LENGTH}}}") | (w.rlike("[0-9]") & w.rlike(f"{RUN}{{{SHORT}}}")))  # others hold no run that counts
         left = F.reverse(F.slice("words", F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))))
         near = F.concat(plain(left), plain(F.slice("words", i + 2, F.lit(REACH))))
-        return F.when(F.length(w) >= SHORT, F.struct((i + 1).cast("long").alias("place"), w.alias("word"), at("words", i - 2).alias("before2"), at("words", i - 1).alias("before"), at("words", i + 1).alias("behind"), near.alias("near")))
+        return F.when(able, F.struct((i + 1).cast("long").alias("place"), w.alias("word"), at("words", i - 2).alias("before2"), at("words", i - 1).alias("before"), at("words", i + 1).alias("behind"), near.alias("near")))
 
     def run(x: F.Column, i: F.Column) -> F.Column:
         last = at("parts", i - 1)
