@@ -295,7 +295,7 @@ def search(index: Index, queries: DataFrame, k: int, same: bool | None = None, f
     at = min(QUERIES, max(1, BOUNDS // max(1, blocks)))
     whole = F.size("high") == 0
     opened = queries.withColumns({"high": F.when(whole, F.array(F.lit(float("inf")))).otherwise(F.col("high")), "low": F.when(whole, F.array(F.lit(float("-inf")))).otherwise(F.col("low"))})
-    state, found = stash(opened, "queries"), spark.createDataFrame([], FOUND)
+    state, found = stash(opened, "queries"), None
     begin, step = 0, FIRST
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def search(index: Index, queries: DataFrame, k: int, same: bool | None = None, f
                     counter.add(row["m"] * row["n"])
                 yield _scan(row, dim, k, same, final, streams, extra, others)
 
-    while begin < blocks and not state.isEmpty():
+    while begin < blocks and (found is None or not state.isEmpty()):
         end = min(blocks, begin + step)
 
         def visits(batches: Iterator[pa.RecordBatch], begin: int = begin, end: int = end) -> Iterator[pa.RecordBatch]:
@@ -334,12 +334,15 @@ def search(index: Index, queries: DataFrame, k: int, same: bool | None = None, f
 
         joined = state.mapInArrow(visits, VISIT).join(index.blocks.drop("pivot", "least", "most").hint("shuffle_hash"), "block")  # a bucket's blocks fit a task, visits are many
         order = Window.partitionBy("uid", "window").orderBy(F.desc("score"), "id")
-        found = found.unionByName(joined.mapInArrow(scan, FOUND)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = stash(found, "nearest")
-        best = found.where(F.col("rank") == k).groupBy("uid").agg(F.collect_list(F.struct("window", "score")).alias("best"))
-        state = stash(state.join(best, "uid", "left").mapInArrow(left, QUERY), "queries")
-        found, begin, step = found.drop("rank"), end, step * GROWTH
+        fresh = joined.mapInArrow(scan, FOUND)
+        both = fresh if found is None else found.drop("rank").unionByName(fresh)
+        found = stash(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
+        if end < blocks:
+            best = found.where(F.col("rank") == k).groupBy("uid").agg(F.collect_list(F.struct("window", "score")).alias("best"))
+            state = stash(state.join(best, "uid", "left").mapInArrow(left, QUERY), "queries")
+        begin, step = end, step * GROWTH
     if products is not None:
         products.append(counter.value)
-    order = Window.partitionBy("uid", "window").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))
+    if found is None:
+        return spark.createDataFrame([], f"{FOUND}, rank int")
+    return found.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id")))
