@@ -7,7 +7,6 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +30,8 @@ class HashedWords:
 
         @F.pandas_udf("array<float>")
         def apply(texts: pd.Series) -> pd.Series:
+            import xxhash
+
             out = np.zeros((len(texts), dim), np.float32)
             for row, value in enumerate(texts):
                 for word in (value or "").lower().split():
