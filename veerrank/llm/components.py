@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import discard, stash
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -23,6 +23,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
         before, now = now, _mark(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

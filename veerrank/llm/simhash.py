@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components
-from .store import stash
+from .store import discard, stash
 
 BATCH_BYTES = 4 << 20
 RADIUS, HALF, CHECKS = 3, 23, 11
@@ -227,8 +227,8 @@ def _alike_forest(similarity: float):
     return forest
 
 
-def alike(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of fingerprints of rows (as made with sets) that connect all texts alike enough."""
+def alike(rows: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of fingerprints of rows (as made with sets) that connect all texts alike enough, and the stored tables that they are read from."""
     rows = rows.where("set IS NOT NULL")
     # One set of shingles may come in several fingerprints, as these count repeats.
     named = stash(rows.select("set", "fp").distinct(), "sets")
@@ -240,9 +240,9 @@ def alike(rows: DataFrame, similarity: float) -> DataFrame:
     shared = shared.groupBy("n", "shingles", "mark").agg(F.min("key").alias("key")).select("key", sides)
     dealt = met.join(shared.hint("shuffle_hash"), "key").withColumn("own", F.pmod(F.xxhash64("set"), "sides").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    dealt = stash(dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set"), "band-tiles")
-    dealt = dealt.join(rows.select("set", "fp", "shingles").dropDuplicates(["set"]), "set")
-    return same.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_alike_forest(similarity), "a long, b long"))
+    tiles = stash(dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set"), "band-tiles")
+    dealt = tiles.join(rows.select("set", "fp", "shingles").dropDuplicates(["set"]), "set")
+    return same.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_alike_forest(similarity), "a long, b long")), [named, met, tiles]
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
@@ -251,11 +251,15 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, id_col
     Links are fingerprints within `distance` bits and, given a similarity, sets of shingles that are that alike."""
     rows = stash(fingerprints(docs, shingle, id_col, text_col, sets=similarity is not None), "fingerprints")
     found = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    pairs = links(found.select("fp"), distance)
+    pairs, gone = links(found.select("fp"), distance), []
+    slim = rows.select("doc_id", "fp")
     if similarity is not None:
-        pairs = pairs.unionByName(alike(rows, similarity))
+        more, gone = alike(rows, similarity)
+        pairs, gone, slim = pairs.unionByName(more), [*gone, rows], stash(slim, "fingerprints")
     groups = components(pairs, "a", "b")
     grouped = found.join(groups, found.fp == groups.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     grouped = stash(grouped, "grouped")
+    for table in gone:  # the sets of shingles are what takes the room, and are needed no more
+        discard(table)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "fp").join(grouped.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return slim.join(grouped.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
