@@ -36,6 +36,12 @@ def preset(spark: SparkSession, name: str = "balanced") -> DataFrame:
     return points(spark, alpha=alphas, tau=taus)
 
 
+def values(points: DataFrame) -> list[dict]:
+    """A grid's points by the names that penalties take: a handful of rows. gamma without a threshold of its own is a number of deviations."""
+    names = {"tau_base": "tau0"} | ({} if "delta" in points.columns else {"gamma": "spread"})
+    return [{names.get(k, k): v for k, v in r.asDict().items()} for r in points.orderBy("param_index").collect()]
+
+
 def sampled(grid: DataFrame, n: int, seed: int) -> DataFrame:
     """n points in a fixed random order."""
     return grid.orderBy(F.xxhash64(F.lit(seed), "param_index"), "param_index").limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,6 +54,22 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...], keys: tuple
     )
 
 
+def of_places(ranks: np.ndarray, rel: np.ndarray, ks: tuple[int, ...], binary: str = "positive") -> dict[int, dict[str, float]]:
+    """The same measures by cut-off for one query, from the ranks and grades of all its judged documents."""
+    hit = np.ones(len(rel), bool) if binary == "present" else rel > 0
+    order = np.argsort(ranks[hit], kind="stable")
+    at, gain = ranks[hit][order].astype(float), np.maximum(rel[hit], 0)[order].astype(float)
+    best, place = -np.sort(-gain), np.arange(1.0, len(gain) + 1)
+    sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (gain / np.log2(at + 1), 1 / np.log2(at + 1), place / at, best / np.log2(place + 1), 1 / np.log2(place + 1))]
+    n, out = len(at), {}
+    for k in ks:
+        hits, ideal = int(np.searchsorted(at, k, "right")), min(n, k)
+        dcg, dcg_binary, precisions = (float(s[hits]) for s in sums[:3])
+        idcg, idcg_binary = (float(s[ideal]) for s in sums[3:])
+        out[k] = {"ndcg": dcg / idcg if idcg > 0 else 0.0, "ndcg_binary": dcg_binary / idcg_binary if n else 0.0, "map": precisions / n if n else 0.0, "map_cut": precisions / ideal if n else 0.0, "mrr": float(1 / at[0]) if hits else 0.0, "recall": hits / n if n else 0.0}
+    return out
+
+
 def rank_changes(og_run: DataFrame, new_run: DataFrame, diff: DataFrame, keys: tuple[str, ...] = ("q",)) -> DataFrame:
     """keys, doc, og_rank, new_rank, change for each document of diff; a document outside a run ranks behind its last.
 
