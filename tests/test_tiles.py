@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from veerrank.functions.penalties import ARRAYS, PENALTIES, Streams
-from veerrank.operators import tiles
+from veerrank.operators import engine, grid, tiles
 from veerrank.plans import fixture as X
 from veerrank.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-NO_PAIRS = ("p_mrr", "rank_change", "p_mrr_first", "reciprocal_change", "victims", "distribution_tau", "sweep_classic", "sweep_distribution", "sweep_pat")
+NO_PAIRS = ("p_mrr", "rank_change", "p_mrr_first", "reciprocal_change", "victims", "distribution_tau", "sweep_classic", "sweep_distribution", "sweep_pat", "engine_run", "gated_run", "engine_metrics", "membership_metrics", "engine_bundle", "tasks_summary", "engine_sweep", "experiment_results", "case_groups", "negative_hits", "saved_run", "victim_report", "lap_only_run", "hybrid_run", "task_tables", "distribution_report", "proportional_report")
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
@@ -87,3 +87,21 @@ def test_arrays_are_the_same_penalties(spark):
         s = Streams(F.col("sb"), F.col("sn"), F.lit(0.1), F.lit(1.0), F.col("r"))
         want = [r.s for r in rows.select(PENALTIES[name](s, alpha=1.5).alias("s")).collect()]
         assert np.allclose(f(sb, sn, 0.1, 1.0, rank, alpha=1.5), want, atol=1e-12)
+
+
+def test_open_sweep_equals_the_sweep_over_lists(spark):
+    """Lists of all documents, judgements and changed judgements as tables give what tiles give without them."""
+    rows = X.scored(spark, SF).select("q", "doc", "label", "q_label")
+    kinds = F.explode(F.array(F.lit("og"), F.lit("changed"))).alias("query_type")
+    name = F.col("q").cast("string").alias("base_qid")
+    vectors = X.dual(spark, SF).select(name, kinds, "mask", "orig", F.col("qp").alias("plus"), F.col("qm").alias("minus")).withColumn("qid", F.concat_ws("-", "base_qid", "query_type"))
+    documents = X.documents(spark, SF)
+    qrels = [X.qrels(rows, c).select(F.concat(F.col("q").cast("string"), F.lit(s)).alias("qid"), F.col("doc").alias("doc_id"), "rel") for c, s in ((False, "-og"), (True, "-changed"))]
+    diff = X.qrel_diff(rows).select(name, F.array("doc").alias("doc_ids"))
+    points, config = grid.points(spark, alpha=(0.5, 2.0), tau=(0.0, 0.1)), engine.Config(keep=100_000)
+    scores = engine.dual_scores(vectors, rows.select(name, F.col("doc").alias("doc_id")), documents.select(F.col("doc").alias("doc_id"), "embedding"), config)
+    listed = {r.param_index: r.asDict() for r in engine.sweep(scores, points, qrels[0].unionByName(qrels[1]), diff, config, (5, 10)).collect()}
+    found = {r.param_index: r.asDict() for r in engine.open_sweep(X.asked(spark, SF), documents, X.JUDGE, points, config, (5, 10)).collect()}
+    assert len(found) == 4 and found.keys() == listed.keys()
+    for i, row in found.items():
+        assert row.keys() == listed[i].keys() and all(math.isclose(v, listed[i][k], abs_tol=1e-9) for k, v in row.items()), i

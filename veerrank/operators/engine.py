@@ -19,7 +19,7 @@ from ..functions.keys import NONE, mask_strict, query_text
 from ..functions.penalties import Streams, penalty
 from ..functions.vectors import cosine, project
 from ..sources.shared import stash
-from . import metrics
+from . import grid, metrics, tiles
 from .ranking import ranked, score_candidates, top_k, with_moments
 from .training import Gate, gate, gate_bounds
 
@@ -235,6 +235,38 @@ def sweep(scores: DataFrame, points: DataFrame, qrels: DataFrame, diff: DataFram
     return points.join(bundle(both, changes_between(before, run, diff, keys), keys), "param_index")
 
 
+def asked(vectors: DataFrame, config: Config, gates: DataFrame | None = None, projection: np.ndarray | None = None) -> DataFrame:
+    """Queries as tiles take them, where every document is a candidate: q (the qid), base_qid, base, minus, mask, alpha and tau."""
+    if config.base not in ("original", "q_plus"):
+        raise ValueError(f"unknown base {config.base!r}; known: original, q_plus")
+    if config.projection:
+        if projection is None:
+            raise ValueError("this setting projects the negative side and needs trained weights")
+        vectors = with_projection(vectors, projection)
+    mask = F.when(F.col("query_type") == "og", 0.0).otherwise(F.col("mask")) if config.isolate_og else F.col("mask")
+    queries = vectors.select(F.col("qid").alias("q"), "base_qid", F.col("orig" if config.base == "original" else "plus").alias("base"), "minus", mask.alias("mask"), F.lit(config.alpha).alias("alpha"), threshold(config).alias("tau"))
+    if not config.gate or gates is None:
+        return queries
+    found = gates.select(F.col("qid").alias("q"), F.col("alpha").alias("_alpha"), F.col("tau").alias("_tau"))
+    return queries.join(found, "q", "left").withColumns({"alpha": F.coalesce("_alpha", "alpha"), "tau": F.coalesce("_tau", "tau")}).drop("_alpha", "_tau")
+
+
+def open_run(queries: DataFrame, documents: DataFrame, config: Config, keep: int) -> DataFrame:
+    """qid, doc, label, rank and score of each query's first `keep` of all documents; no list of candidates is made."""
+    return tiles.first(queries, documents, keep, config.penalty).withColumnRenamed("q", "qid")
+
+
+def moved_of(per: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, base_qid and its mean rank change, once, from measures that hold it in all their rows."""
+    return per.where("query_type = 'changed' and change is not null").groupBy(*keys, F.col("q").alias("base_qid")).agg(F.max("change").alias("change"))
+
+
+def open_sweep(queries: DataFrame, documents: DataFrame, judge: tiles.Judge, points: DataFrame, config: Config, ks: tuple[int, ...] = (5,)) -> DataFrame:
+    """The bundle of every grid point as sweep has it, where every document is a candidate and whole runs count."""
+    per = stash(tiles.measures(queries, documents, judge, grid.values(points), ks, config.penalty), "measures")
+    return points.join(bundle(per, moved_of(per, ("param_index",)), ("param_index",)), "param_index")
+
+
 def best(results: DataFrame, k: int = 5) -> DataFrame:
     """The first point with the best sum of p_mrr and both sides' nDCG."""
     return results.withColumn("total", F.col("p_mrr") + F.col(f"og_ndcg_{k}") + F.col(f"changed_ndcg_{k}")).orderBy(F.desc("total"), "param_index").limit(1)

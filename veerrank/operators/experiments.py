@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import stash
-from . import engine, metrics
+from . import engine, grid, metrics, tiles
 from .ranking import ranked
 
 #: Experiments (fixed values): the penalty, and the values of each parameter, every combination of them. delta is added to
@@ -47,9 +47,9 @@ def run(scores: DataFrame, name: str, qrels: DataFrame, diff: DataFrame, k: int
 
     scores: qid, base_qid, query_type, doc, mask, tau (the query's own), s_base, s_neg. Scored once, crossed with the grid."""
     penalty, axes = EXPERIMENTS[name]
-    grid = points(scores.sparkSession, name)
+    found = points(scores.sparkSession, name)
     og = F.col("query_type") == "og"  # original queries keep their base score: the same at every point
-    crossed = scores.where(~og).drop("alpha").crossJoin(F.broadcast(grid))
+    crossed = scores.where(~og).drop("alpha").crossJoin(F.broadcast(found))
     if "delta" in axes:
         crossed = crossed.withColumn("tau", F.col("tau") + F.col("delta"))
     extra = {a: F.col(a) for a in axes if a not in ("alpha", "delta")}
@@ -59,7 +59,15 @@ def run(scores: DataFrame, name: str, qrels: DataFrame, diff: DataFrame, k: int
     before = ranked(engine.final_scores(scores.where(og).withColumn("alpha", F.lit(1.0)), config), "score", ("qid",))
     per = engine.evaluate(after, qrels, (k,), keys=keys)
     moved = metrics.p_mrr(engine.changes_between(before, after, diff, keys), keys, "base_qid")
-    return grid.join(metrics.macro(per, keys, ("map", "ndcg")), "param_index").join(moved, "param_index")
+    return found.join(metrics.macro(per, keys, ("map", "ndcg")), "param_index").join(moved, "param_index")
+
+
+def open_run(queries: DataFrame, documents: DataFrame, name: str, judge: tiles.Judge, k: int = 1000) -> DataFrame:
+    """The same where every document is a candidate and whole runs count."""
+    penalty, _ = EXPERIMENTS[name]
+    found = points(queries.sparkSession, name)
+    per = stash(tiles.measures(queries, documents, judge, grid.values(found), (k,), penalty), "experiment")
+    return found.join(metrics.macro(per.where("query_type = 'changed'"), ("param_index",), ("map", "ndcg")), "param_index").join(tiles.p_mrr(per), "param_index")
 
 
 def leaderboard(results: DataFrame, n: int = 10, metric: str = "map") -> DataFrame:

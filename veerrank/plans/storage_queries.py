@@ -11,7 +11,7 @@ from ..operators import encoders, engine, grid, ranking, training
 from ..sources import caches, readers, reports, sinks
 from ..sources.shared import scratch, stash
 from . import fixture as X
-from .engine_queries import _Q_PLUS, _engine_sql, _run, _task
+from .engine_queries import _Q_PLUS, _engine_sql, _run, _vectors
 from .queries import query
 
 
@@ -53,8 +53,8 @@ def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_engine_sql("sb") + ", lines AS (SELECT query_type AS kind, count(*) AS n, sum(rank) AS ranks FROM run WHERE rank <= 30 GROUP BY query_type) SELECT * FROM lines UNION ALL SELECT 'report', count(DISTINCT qid), 30 FROM run", fixture=True)
 def saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that a run leaves in its folder, read back: both sides' ranks and the report."""
-    folder, task = scratch(spark, "saved"), _task(spark, sf_dir)
-    run = _run(task, _Q_PLUS).where("rank <= 30")
+    folder = scratch(spark, "saved")
+    run = _run(spark, sf_dir, _Q_PLUS, 30).select("qid", "base_qid", "query_type", "doc", "rank", "score")
     bundle = run.agg(F.countDistinct("qid").alias("queries"), F.max("rank").alias("most"))
     reports.save_run(run, bundle, folder, "t", "m")
     sides = [spark.read.text(f"{folder}/run_{k}").select(F.lit(k).alias("kind"), F.split("value", " ")[3].cast("long").alias("rank")) for k in ("og", "changed")]
@@ -235,7 +235,7 @@ def index_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analysis_with_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds beside the whole text and instruction of their query, where there is one."""
     texts = X.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("base_qid"), F.col("text").alias("query"), F.col("source").alias("instruction"))
-    vectors = _task(spark, sf_dir).vectors.select("base_qid", "query_type", F.lit(1.0).alias("alpha"), engine.threshold(_Q_PLUS).alias("tau"), F.lit("term").alias("q_minus"))
+    vectors = _vectors(spark, sf_dir).select("base_qid", "query_type", F.lit(1.0).alias("alpha"), engine.threshold(_Q_PLUS).alias("tau"), F.lit("term").alias("q_minus"))
     rows = reports.parameter_analysis(vectors.join(texts, "base_qid", "left"))
     return rows.select("base_qid", "query_type", F.length(F.coalesce("query", F.lit(""))).cast("long").alias("query_length"), "instruction", F.round("tau", 6).alias("tau"))
 
