@@ -105,3 +105,12 @@ def test_open_sweep_equals_the_sweep_over_lists(spark):
     assert len(found) == 4 and found.keys() == listed.keys()
     for i, row in found.items():
         assert row.keys() == listed[i].keys() and all(math.isclose(v, listed[i][k], abs_tol=1e-9) for k, v in row.items()), i
+
+
+def test_scores_of_pairs_are_made_once_and_never_shuffled(spark):
+    """Pairs of one file's one row group take many tasks, and no join follows them."""
+    out = Q.QUERIES["candidate_scores"](spark, SF)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow multiply")]
+    assert "Join" not in above and "Repartition" not in above

@@ -64,9 +64,11 @@ def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str],
                 at, q = (pa.array(x) for x in np.indices(scores[0].shape).reshape(2, -1))
                 yield pa.RecordBatch.from_arrays([who["q"].take(q), docs["doc"].take(at), *(docs[c].take(at) for c in carry), *(pa.array(x.ravel()) for x in scores)], names)
 
-    d = documents.where("embedding is not null").select(*fields, "embedding").mapInArrow(packed(fields, ["embedding"], DOCUMENT_BLOCK), "about binary, v0 binary")
+    tasks = 4 * documents.sparkSession.sparkContext.defaultParallelism  # a table may be one file's one row group
+    d = documents.where("embedding is not null").select(*fields, "embedding").mapInArrow(packed(fields, ["embedding"], DOCUMENT_BLOCK), "about binary, v0 binary").repartition(tasks)
     blocks = queries.select("q", *sides).dropna(subset=sides).mapInArrow(packed(["q"], sides, QUERY_BLOCK), ", ".join(f"{c} binary" for c in ("about", *(f"v{i}" for i in range(len(sides))))))
-    return d.crossJoin(blocks.select(*(F.col(c).alias(f"q_{c}") for c in blocks.columns))).mapInArrow(multiply, shape)
+    sides_of = blocks.select(*(F.col(c).alias(f"q_{c}") for c in blocks.columns)).hint("shuffle_replicate_nl")  # neither side is broadcast, whatever its size
+    return d.crossJoin(sides_of).mapInArrow(multiply, shape)
 
 
 def first_by_product(queries: DataFrame, documents: DataFrame, vectors: tuple[str, ...], k: int, extra: tuple[str, ...] = (), final: nearest.Final | None = None, others: bool = False, products: list[int] | None = None) -> DataFrame:
