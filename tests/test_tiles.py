@@ -12,7 +12,7 @@ from veerrank.plans import fixture as X
 from veerrank.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-NO_PAIRS = ("p_mrr", "rank_change", "p_mrr_first", "reciprocal_change", "victims", "distribution_tau", "sweep_classic", "sweep_distribution", "sweep_pat", "engine_run", "gated_run", "engine_metrics", "membership_metrics", "engine_bundle", "tasks_summary", "engine_sweep", "experiment_results", "case_groups", "negative_hits", "saved_run", "victim_report", "lap_only_run", "hybrid_run", "task_tables", "distribution_report", "proportional_report")
+NO_PAIRS = ("p_mrr", "rank_change", "p_mrr_first", "reciprocal_change", "victims", "distribution_tau", "sweep_classic", "sweep_distribution", "sweep_pat", "engine_run", "gated_run", "engine_metrics", "membership_metrics", "engine_bundle", "tasks_summary", "engine_sweep", "experiment_results", "case_groups", "negative_hits", "saved_run", "interval_means", "victim_report", "lap_only_run", "hybrid_run", "task_tables", "distribution_report", "proportional_report")
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
@@ -114,3 +114,9 @@ def test_scores_of_pairs_are_made_once_and_never_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("MapInArrow multiply")]
     assert "Join" not in above and "Repartition" not in above
+
+
+def test_tenths_take_no_row_for_a_pair_in_one_part(spark, monkeypatch):
+    whole = {(r.q, r.tenth): r["mean"] for r in Q.QUERIES["interval_means"](spark, SF).collect()}
+    monkeypatch.setattr(tiles, "PART", 90)
+    assert {(r.q, r.tenth): r["mean"] for r in Q.QUERIES["interval_means"](spark, SF).collect()} == whole
