@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
-from veerrank.llm import components, decontaminate, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files  # noqa: E402
+from veerrank.llm import components, decontaminate, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files, word_pitman_yor  # noqa: E402
 from veerrank.llm import queries as llm_queries  # noqa: E402
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -180,6 +180,63 @@ def test_predictive_probabilities_sum_to_one(docs, monkeypatch):
             assert abs(own_part + (strength + d * t[r]) / (strength + c[r]) - 1) < 1e-9
 
 
+def test_words_of_one_ending_are_contexts_apart(spark, tmp_path):
+    """Words that end alike have different followers: a model of word pairs knows which, one of endings does not."""
+    random = np.random.default_rng(23)
+    rows = [(i, " ".join(f"{w}ending x{w}" for w in random.choice(list("abcdefgh"), 30))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = llm_queries.op2_lm_score(spark, str(tmp_path)).where("held_out").selectExpr("-sum(score) / sum(n_tokens) as x").first().x
+    # Every second token is one of eight (or the end), the others follow for certain.
+    assert 10 ** (2 * held) < 9.5
+
+
+def test_language_model_of_word_pairs(docs, empty):
+    got = word_pitman_yor.score(docs).collect()
+    tokens = [(i, WORD.findall(lower(t)) + ["\0end"]) for i, t, _, _ in ROWS]
+    count = Counter(w for i, ws in tokens if i is None or zlib.crc32(str(i).encode()) % 10 for w in ws)
+    n, v = sum(count.values()), len(count)
+    want = sorted((-1 if i is None else i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(ws), sum(count[w] > 0 for w in ws), round(sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
+    assert all(r.train_tokens == n and r.score < 0 for r in got)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, word_pitman_yor.score(docs).collect())) and word_pitman_yor.score(empty).count() == 0
+
+
+def test_contexts_of_whole_words_sum_to_one(docs, monkeypatch):
+    """Over all buckets every word's restaurant has the totals that its buckets were told, and probabilities that sum to one."""
+    seen = []
+    own = word_pitman_yor._answers
+    monkeypatch.setattr(word_pitman_yor, "_answers", lambda *given: seen.append(given) or own(*given))
+    monkeypatch.setattr(word_pitman_yor, "BATCH_BYTES", 2000)
+    word_pitman_yor.score(docs, burn_in=1, samples=1)
+    buckets, (sample,), customers, base = seen[0]
+    told = {r.bucket: word_pitman_yor._together([x.asDict() for x in r.got]) for r in customers.collect()}
+    (met, hyper), root = (sample.met, sample.hyper), 0.0
+    mass, tables, customers_of, heard = Counter(), Counter(), {}, {}
+    for r in sample.beside(buckets).collect():
+        row = r.asDict(recursive=True)
+        bucket = word_pitman_yor.Bucket(row)
+        every = bucket.root(met, base, hyper)
+        root += every[bucket.root_customers() > 0].sum()
+        got, asked = word_pitman_yor._together(row["got"]), bucket.context
+        shares = bucket.predictive(told[row["bucket"]], got, met, base, hyper)
+        for u, w, c, t, p in zip(asked, bucket.word, bucket.counts, bucket.tables, shares):
+            key = (int(told[row["bucket"]][u]), int(got[u]), row["bucket"], int(u))
+            heard[key] = heard.get(key, 0.0) + p - every[w] * (hyper.strengths[0] + hyper.discounts[0] * got[u]) / (hyper.strengths[0] + told[row["bucket"]][u])
+            mass[key[2:]] += int(c)
+            tables[key[2:]] += int(t)
+    unknown = (hyper.strengths[1] + hyper.discounts[1] * met[1]) / (hyper.strengths[1] + met[0]) * base
+    assert abs(root + unknown - 1) < 1e-9
+    keys = {r.bucket: word_pitman_yor.unpacked(r.keys) for r in buckets.select("bucket", "keys").collect()}
+    for (n, t, b, u), p in heard.items():
+        customers_of.setdefault(keys[b][u], []).append((n, t, mass[b, u], tables[b, u], p))
+    assert len(customers_of) > 300
+    for parts in customers_of.values():
+        (n, t), *others = {x[:2] for x in parts}
+        assert not others and n == sum(x[2] for x in parts) and t == sum(x[3] for x in parts)
+        assert abs(sum(x[4] for x in parts) + (hyper.strengths[0] + hyper.discounts[0] * t) / (hyper.strengths[0] + n) - 1) < 1e-9
+
+
 def test_sampler_agrees_with_one_customer_at_a_time(spark):
     """Held-out perplexity against a sampler that moves single customers between explicit tables, with live totals."""
     random = np.random.default_rng(17)

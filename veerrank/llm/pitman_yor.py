@@ -1,4 +1,7 @@
-"""Hierarchical Pitman-Yor language model over words, trained and scored on Spark.
+"""Hierarchical Pitman-Yor language model with endings of words as contexts, trained and scored on Spark.
+
+A coarse model with a bounded number of restaurants; op2 takes whole words as contexts (`word_pitman_yor`), with the
+law of seating, strengths and starting tables of this module.
 
 Restaurants: a token's context is the end of the word before it. A leaf restaurant stands for the last two bytes of
 that word (or the start of the text), its parent for the last byte, and all parents share the root; the root's base is
@@ -201,15 +204,24 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return series - sum(np.log(x + i) for i in range(8))
 
 
-def strength_of(customers: np.ndarray, tables: np.ndarray, discount: float, random: np.random.Generator) -> float:
-    """A level's strength, drawn by the likelihood of its restaurants' numbers of customers and tables."""
-    met = customers > 0
-    n, t = customers[met].astype(np.float64), tables[met].astype(np.float64)
-    fit = np.array([(_lgamma(s / discount + t) - _lgamma(np.full(1, s / discount + 1)) + _lgamma(np.full(1, s + 1)) - _lgamma(s + n)).sum() for s in STRENGTHS])
+def fits(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """The log likelihood of each of STRENGTHS, by the restaurants' numbers of customers and tables."""
+    met, wide = customers > 0, int(tables.max(initial=0)) + 1
+    both, times = np.unique(customers[met].astype(np.int64) * wide + tables[met].astype(np.int64), return_counts=True)
+    n, t = (both // wide).astype(np.float64), (both % wide).astype(np.float64)
+    return np.array([(times * (_lgamma(s / discount + t) - _lgamma(np.full(1, s / discount + 1)) + _lgamma(np.full(1, s + 1)) - _lgamma(s + n))).sum() for s in STRENGTHS])
+
+
+def strength_by(fit: np.ndarray, random: np.random.Generator) -> float:
     weight = np.exp(fit - fit.max())
     return float(random.choice(STRENGTHS, p=weight / weight.sum()))
 
 
+def strength_of(customers: np.ndarray, tables: np.ndarray, discount: float, random: np.random.Generator) -> float:
+    """A level's strength, drawn by the likelihood of its restaurants' numbers of customers and tables."""
+    return strength_by(fits(customers, tables, discount), random)
+
+
 def _totals(buckets: DataFrame, history: list[tuple[list[np.ndarray], Hyper]], base: float, seed: int) -> tuple[list[np.ndarray], Hyper]:
     """Customers and tables of every restaurant after the sweeps of history, and what they make of strengths and discounts."""
     share = buckets.sparkSession.sparkContext.broadcast(history)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamerly, hard_negatives, knn_quality, mixing, pitman_yor, quality_rules, secret_scan, simhash, substrings, token_counts, token_files, warc
+from . import decontaminate, hamerly, hard_negatives, knn_quality, mixing, quality_rules, secret_scan, simhash, substrings, token_counts, token_files, warc, word_pitman_yor
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -24,7 +24,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman_yor.score(table(spark, sf_dir, "documents"), folds=10)
+    return word_pitman_yor.score(table(spark, sf_dir, "documents"), folds=10)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
