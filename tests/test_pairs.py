@@ -11,7 +11,7 @@ from veerrank.plans import fixture as X
 from veerrank.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-INSIDE = ("composite_best", "metrics_macro")
+INSIDE = ("composite_best", "metrics_macro", "penalty_pat_hybrid")
 
 
 @pytest.fixture(scope="module")
