@@ -11,7 +11,7 @@ from veerrank.plans import fixture as X
 from veerrank.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-INSIDE = ("composite_best", "metrics_macro", "penalty_pat_hybrid", "penalty_pat_protected", "metrics_og", "metrics_wide", "metrics_changed", "deviation_bands", "inversions")
+INSIDE = ("composite_best", "metrics_macro", "penalty_pat_hybrid", "penalty_pat_protected", "metrics_og", "metrics_wide", "metrics_changed", "deviation_bands", "inversions", "ranking_losses")
 
 
 @pytest.fixture(scope="module")
