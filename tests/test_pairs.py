@@ -12,7 +12,7 @@ from veerrank.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 INSIDE = ("composite_best", "metrics_macro", "penalty_pat_hybrid", "penalty_pat_protected", "metrics_og", "metrics_wide", "metrics_changed", "deviation_bands", "inversions", "ranking_losses")
-EACH = ("default_thresholds",)
+EACH = ("default_thresholds", "method_scores")
 
 
 @pytest.fixture(scope="module")
