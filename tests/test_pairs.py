@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from veerrank.operators import tiles
+from veerrank.operators import ranking, tiles
 from veerrank.plans import fixture as X
 from veerrank.plans import queries as Q
 
@@ -57,3 +57,12 @@ def test_rows_of_pairs_are_never_joined_or_moved(spark, odd, name):
     assert not any(x in above for x in ("Join", "Repartition", "Window", "Aggregate", "Sort"))
     want = con.sql(Q.ORACLES[name]).df()
     assert len(want) and _rows(out.toPandas(), sorted(want.columns)) == _rows(want, sorted(want.columns))
+
+
+def test_blocks_are_full_however_queries_are_dealt(spark):
+    """Tasks grow with documents and full blocks of queries, not with the tasks that queries come in."""
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc long, embedding array<float>")
+    queries = spark.createDataFrame([(q, [1.0, float(q)], q % 2) for q in range(20)], "q long, v array<float>, kind int")
+    out = ranking.score_all(queries.repartition(20), docs, {"s": "v"}, about=("kind",))
+    assert out.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.q, r.doc, r.kind, r.s) for r in out.collect()) == [(q, d, q % 2, float(d + q)) for q in range(20) for d in range(30)]
