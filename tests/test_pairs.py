@@ -13,6 +13,7 @@ from veerrank.plans import queries as Q
 SF = "/root/testdata/sf0.001"
 INSIDE = ("composite_best", "metrics_macro", "penalty_pat_hybrid", "penalty_pat_protected", "metrics_og", "metrics_wide", "metrics_changed", "deviation_bands", "inversions", "ranking_losses")
 EACH = ("default_thresholds", "method_scores")
+HELD = ("penalty_triple",)
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +60,37 @@ def test_rows_of_pairs_are_never_joined_or_moved(spark, odd, name):
     assert len(want) and _rows(out.toPandas(), sorted(want.columns)) == _rows(want, sorted(want.columns))
 
 
+@pytest.mark.parametrize("name", HELD)
+def test_pairs_are_ranked_without_a_sort(spark, odd, name):
+    """A task keeps the first rows of each query as pairs come, and odd tables give what the SQL gives."""
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{odd}/embeddings.parquet'")
+    out, want = Q.QUERIES[name](spark, odd), con.sql(Q.ORACLES[name]).df()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow multiply")]
+    assert "Sort" not in above and "Window" not in above
+    assert len(want) and _rows(out.toPandas(), sorted(want.columns)) == _rows(want, sorted(want.columns))
+
+
+def test_first_rows_held_are_the_first_rows_sorted(spark):
+    """Missing keys, scores and ties, what is no number, zeros of both signs, repeated rows, the ends of whole numbers, and more keys than a task holds."""
+    ends = [(None, 1, 2.0, "a"), (None, 2, None, "b"), (1, None, 0.0, "c"), (1, 9, 0.0, "d"), (1, -(1 << 63), -0.0, "e"), (1, (1 << 63) - 1, 0.0, "f"), (1, 4, float("nan"), "g"), (1, 5, float("inf"), "h"), (1, 6, float("-inf"), "i"), (1, 3, None, None), (2, 7, 1.5, "k"), (2, 7, 1.5, "k")]
+    many = [(10 + i % 300, i, float(i % 7), str(i)) for i in range(3000)]
+    rows = spark.createDataFrame(ends + many, "q long, doc long, score double, note string").repartition(3)
+    plain = lambda df: (df.columns, df.dtypes, sorted(map(str, df.collect())))
+    for k in (1, 4, 20):
+        assert plain(ranking.top_k(rows, "score", k, held=True)) == plain(ranking.top_k(rows, "score", k))
+    assert ranking.top_k(rows.where("q < 0"), "score", 3, held=True).isEmpty()
+
+
+def test_a_task_meets_fewer_queries_than_an_aggregate_holds(spark):
+    """Beyond 127 keys Spark's aggregates of objects would sort the pairs of a task."""
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(700)], "q long, v array<float>").repartition(5)
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "doc long, embedding array<float>")
+    held = ranking.score_all(queries, docs, {"s": "v"}).rdd.mapPartitions(lambda rows: [len({r.q for r in rows})]).collect()
+    assert 0 < max(held) < 128
+
+
 def test_blocks_are_full_however_queries_are_dealt(spark):
     """Tasks grow with documents and full blocks of queries, not with the tasks that queries come in."""
     docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc long, embedding array<float>")
