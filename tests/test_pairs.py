@@ -13,7 +13,7 @@ from veerrank.plans import queries as Q
 SF = "/root/testdata/sf0.001"
 INSIDE = ("composite_best", "metrics_macro", "penalty_pat_hybrid", "penalty_pat_protected", "metrics_og", "metrics_wide", "metrics_changed", "deviation_bands", "inversions", "ranking_losses")
 EACH = ("default_thresholds", "method_scores")
-HELD = ("penalty_triple",)
+HELD = ("penalty_triple", "penalty_double_threshold_cut", "returned_scores", "merged_runs")
 
 
 @pytest.fixture(scope="module")
@@ -67,8 +67,8 @@ def test_pairs_are_ranked_without_a_sort(spark, odd, name):
     con.sql(f"create view embeddings as select * from '{odd}/embeddings.parquet'")
     out, want = Q.QUERIES[name](spark, odd), con.sql(Q.ORACLES[name]).df()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    above = plan[: plan.index("MapInArrow multiply")]
-    assert "Sort" not in above and "Window" not in above
+    at = plan.index("MapInArrow multiply")
+    assert "collect_top_k" in plan[:at] and "Sort" not in plan[:at] and "Window" not in plan[:at]
     assert len(want) and _rows(out.toPandas(), sorted(want.columns)) == _rows(want, sorted(want.columns))
 
 
@@ -91,6 +91,19 @@ def test_a_task_meets_fewer_queries_than_an_aggregate_holds(spark):
     assert 0 < max(held) < 128
 
 
+def test_documents_are_dealt_by_their_number_where_blocks_of_queries_make_tasks(spark, monkeypatch):
+    """Blocks of queries times parts of documents are the tasks: no more parts than keep all cores busy, unless a part would grow with the table."""
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(700)], "q long, v array<float>")
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1000)], "doc long, embedding array<float>")
+    few = ranking.score_all(queries, docs, {"s": "v"})
+    assert few.rdd.getNumPartitions() == 6 * -(-4 * spark.sparkContext.defaultParallelism // 6)
+    monkeypatch.setattr(ranking, "TASK_DOCUMENTS", 50)
+    monkeypatch.setattr(ranking, "DOCUMENT_BLOCK", 25)
+    many = ranking.score_all(queries, docs, {"s": "v"})
+    assert many.rdd.getNumPartitions() == 6 * 20
+    assert many.count() == few.count() == 700_000 and many.exceptAll(few).isEmpty()
+
+
 def test_blocks_are_full_however_queries_are_dealt(spark):
     """Tasks grow with documents and full blocks of queries, not with the tasks that queries come in."""
     docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc long, embedding array<float>")

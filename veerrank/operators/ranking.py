penalty_double_threshold_cut makes as many tasks as cores and documents need, and other whole lists are ranked without a sort too

Symptom: penalty_double_threshold_cut made 120 product tasks for 6 cores over 0.02 GB, and Python CPU followed the number of tasks, not of pairs.
Evidence: every block of queries met four parts of documents a core; a Python task that does nothing but import these modules took about 60 ms.
Fix: score_all deals documents to 4 parts a core over all blocks of queries together, more where a part would pass 65,536 documents; returned_scores, merged_runs and the lists of negatives hold their first rows too, as their larger tasks would else sort more.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 309 -> 167 s, shuffle 0.14 -> 0.07 GB, spill 0.00 -> 0.00 GB, read 0.26 -> 0.17 GB, longest task 3 -> 2 s, most memory of a task 168 -> 1 MB; at 6 GB of input CPU 8272 -> 2413 s, shuffle 0.86 -> 0.46 GB, spill 0.00 -> 0.00 GB, read 1.56 -> 1.04 GB, longest task 10 -> 4 s, most memory of a task 336 -> 7 MB; with hot keys, at 1 GB of input CPU 178 -> 107 s, shuffle 0.07 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 0.15 -> 0.10 GB, longest task 3 -> 1 s, most memory of a task 101 -> 0 MB.

@@ -18,6 +18,8 @@ from . import nearest
 
 #: Queries and documents of one block of vectors. A task meets one block of queries: fewer than the 128 keys that Spark's aggregates of objects hold before they sort.
 QUERY_BLOCK, DOCUMENT_BLOCK = 120, 2048
+#: Documents that a task meets at most, in about even parts.
+TASK_DOCUMENTS = 65_536
 
 
 def score_candidates(pairs: DataFrame, queries: DataFrame, documents: DataFrame, streams: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -65,10 +67,11 @@ def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str],
                 at, q = (pa.array(x) for x in np.indices(scores[0].shape).reshape(2, -1))
                 yield pa.RecordBatch.from_arrays([who["q"].take(q), docs["doc"].take(at), *(docs[c].take(at) for c in carry), *(who[c].take(q) for c in about), *(pa.array(x.ravel()) for x in scores)], names)
 
-    tasks = 4 * documents.sparkSession.sparkContext.defaultParallelism  # a table may be one file's one row group
-    d = documents.where("embedding is not null").select(*fields, "embedding").mapInArrow(packed(fields, ["embedding"], DOCUMENT_BLOCK), "about binary, v0 binary").repartition(tasks)
     asked = queries.select("q", *about, *sides).dropna(subset=sides)
-    full = asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK)))  # full blocks, however many tasks the queries come in
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    full = asked.repartition(parts)  # full blocks, however many tasks the queries come in
+    tasks = max(-(-4 * documents.sparkSession.sparkContext.defaultParallelism // parts), -(-documents.count() // TASK_DOCUMENTS))  # a table may be one file's one row group
+    d = documents.where("embedding is not null").select(*fields, "embedding").mapInArrow(packed(fields, ["embedding"], DOCUMENT_BLOCK), "about binary, v0 binary").repartition(tasks)
     blocks = full.mapInArrow(packed(["q", *about], sides, QUERY_BLOCK), ", ".join(f"{c} binary" for c in ("about", *(f"v{i}" for i in range(len(sides))))))
     sides_of = blocks.select(*(F.col(c).alias(f"q_{c}") for c in blocks.columns)).hint("shuffle_replicate_nl")  # neither side is broadcast, whatever its size
     return d.crossJoin(sides_of).mapInArrow(multiply, shape)
