@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from veerrank.operators import ranking, tiles
 from veerrank.plans import fixture as X
@@ -13,7 +14,7 @@ from veerrank.plans import queries as Q
 SF = "/root/testdata/sf0.001"
 INSIDE = ("composite_best", "metrics_macro", "penalty_pat_hybrid", "penalty_pat_protected", "metrics_og", "metrics_wide", "metrics_changed", "deviation_bands", "inversions", "ranking_losses")
 EACH = ("default_thresholds", "method_scores")
-HELD = ("penalty_triple", "penalty_double_threshold_cut", "returned_scores", "merged_runs")
+HELD = ("penalty_triple", "penalty_double_threshold_cut", "penalty_smart", "returned_scores", "merged_runs")
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +105,22 @@ def test_documents_are_dealt_by_their_number_where_blocks_of_queries_make_tasks(
     assert many.count() == few.count() == 700_000 and many.exceptAll(few).isEmpty()
 
 
+@pytest.mark.parametrize("kind,width", [("float", 4), ("double", 8)])
+def test_blocks_hold_vectors_as_wide_as_they_come(spark, monkeypatch, kind, width):
+    """Scores are the same double products, also of missing numbers, what is no number and missing vectors."""
+    some = [(0, [1.0, 0.1]), (1, [None, 2.0]), (2, [float("nan"), 1.0]), (3, None), (None, [0.3, 0.7]), (4, [1e-30, 3.0]), (4, [1e-30, 3.0])]
+    docs = spark.createDataFrame(some, f"doc long, embedding array<{kind}>")
+    queries = spark.createDataFrame([(7, [0.1, 0.2]), (8, None), (9, [0.5, 1e30])], f"q long, v array<{kind}>")
+    met, cross = [], type(docs).crossJoin
+    monkeypatch.setattr(type(docs), "crossJoin", lambda self, other: met.extend((self, other)) or cross(self, other))
+    out = ranking.score_all(queries, docs, {"s": "v"}).collect()
+    assert met[0].agg(F.sum(F.length("v0"))).first()[0] == 6 * 2 * width and met[1].agg(F.sum(F.length("q_v0"))).first()[0] == 2 * 2 * width
+    held = np.float32 if kind == "float" else np.float64
+    number = lambda v: np.array([np.nan if x is None else x for x in v], held).astype(np.float64)
+    want = [(q, d, float(number(e) @ number(v))) for q, v in ((7, [0.1, 0.2]), (9, [0.5, 1e30])) for d, e in some if e]
+    assert sorted(map(str, out)) == sorted(f"Row(q={q}, doc={d}, s={s})" for q, d, s in want)
+
+
 def test_blocks_are_full_however_queries_are_dealt(spark):
     """Tasks grow with documents and full blocks of queries, not with the tasks that queries come in."""
     docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc long, embedding array<float>")
