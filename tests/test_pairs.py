@@ -121,6 +121,21 @@ def test_blocks_hold_vectors_as_wide_as_they_come(spark, monkeypatch, kind, widt
     assert sorted(map(str, out)) == sorted(f"Row(q={q}, doc={d}, s={s})" for q, d, s in want)
 
 
+def test_queries_are_made_once(spark):
+    """Blocks are counted and made from the same stored rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    queries = spark.createDataFrame([(q, [1.0, float(q)] if q else None) for q in range(20)], "q long, v array<float>").mapInArrow(counted, "q long, v array<float>")
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc long, embedding array<float>")
+    assert ranking.score_all(queries, docs, {"s": "v"}).count() == 19 * 30
+    assert made.value == 20
+
+
 def test_blocks_are_full_however_queries_are_dealt(spark):
     """Tasks grow with documents and full blocks of queries, not with the tasks that queries come in."""
     docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "doc long, embedding array<float>")

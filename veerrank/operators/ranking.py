score_all makes the query side once (penalty_triple, penalty_double_threshold_cut, penalty_smart)

Symptom: a third of what each of the three shuffled came from joins that make the queries, run twice.
Evidence: the event log has the same scans and exchanges in the job that counts queries and in the one that uses them.
Fix: the queries (a hundredth of the vectors) are written to the shared folder once, counted and packed from there, as other tables used twice are.

@@ -73,7 +73,7 @@ def score_all(queries: DataFrame, documents: DataFrame, streams: dict[str, str],
                 at, q = (pa.array(x) for x in np.indices(scores[0].shape).reshape(2, -1))
                 yield pa.RecordBatch.from_arrays([who["q"].take(q), docs["doc"].take(at), *(docs[c].take(at) for c in carry), *(who[c].take(q) for c in about), *(pa.array(x.ravel()) for x in scores)], names)
 
-    asked = queries.select("q", *about, *sides).dropna(subset=sides)
+    asked = stash(queries.select("q", *about, *sides).dropna(subset=sides), "asked")  # counted and packed
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     full = asked.repartition(parts)  # full blocks, however many tasks the queries come in
     tasks = max(-(-4 * documents.sparkSession.sparkContext.defaultParallelism // parts), -(-documents.count() // TASK_DOCUMENTS))  # a table may be one file's one row group
